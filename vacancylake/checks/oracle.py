@@ -111,9 +111,11 @@ def terms_cte() -> str:
 def matches_cte(source: str = "cleaned", key: str = "job_id", column: str = "c") -> str:
     return f"""{terms_cte()},
 forms AS MATERIALIZED (SELECT {key}, ' ' || {match_form(column)} || ' ' AS t FROM {source}),
+found AS MATERIALIZED (SELECT f.{key}, d.form
+  FROM forms f JOIN (SELECT DISTINCT form FROM terms) d ON contains(f.t, ' ' || d.form || ' ')),
 hits AS (SELECT f.{key}, t.*,
   row_number() OVER (PARTITION BY f.{key}, dict, term ORDER BY alias_pos) AS rn
-  FROM forms f JOIN terms t ON contains(f.t, ' ' || t.form || ' ')),
+  FROM found f JOIN terms t USING (form)),
 matches AS MATERIALIZED (SELECT {key}, dict, term AS keyword, alias AS matched_text,
   CASE WHEN alias_pos = 0 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS score,
   CASE WHEN alias_pos = 0 THEN 'exact' ELSE 'alias' END AS match_type,
@@ -282,11 +284,11 @@ windows AS MATERIALIZED ({_WINDOWS}),
 vocabulary AS (SELECT DISTINCT words, phrase FROM windows),
 targets AS (SELECT dict, term, form, len(string_split(form, ' ')) AS words FROM terms
   WHERE alias_pos = 0 AND length(form) >= {MIN_TERM_LENGTH}),
-pairs AS MATERIALIZED (SELECT v.words, phrase, dict, term,
+scored AS MATERIALIZED (SELECT v.words, phrase, dict, term,
   1 - levenshtein(phrase, form)::DOUBLE / greatest(length(phrase), length(form)) AS score
   FROM vocabulary v JOIN targets t ON v.words = t.words
-   AND least(length(phrase), length(form)) >= {THRESHOLD} * greatest(length(phrase), length(form)) - 1e-9
-  WHERE 1 - levenshtein(phrase, form)::DOUBLE / greatest(length(phrase), length(form)) >= {THRESHOLD})
+   AND least(length(phrase), length(form)) >= {THRESHOLD} * greatest(length(phrase), length(form)) - 1e-9),
+pairs AS (SELECT * FROM scored WHERE score >= {THRESHOLD})
 SELECT job_id, dict, term AS keyword, round(max(score), 9) AS score
 FROM windows JOIN pairs USING (words, phrase) GROUP BY ALL"""
 

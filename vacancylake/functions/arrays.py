@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,3 +46,13 @@ def drop_members(array: Column, other: Column) -> Column:
 def tagged(array: Column, tag: str | int, name: str = "kind", value: str = "value") -> Column:
     """Elements as structs that carry a constant tag."""
     return F.transform(array, lambda x: F.struct(F.lit(tag).alias(name), x.alias(value)))
+
+
+def select_where(df: DataFrame, condition: Column, *columns: Column | str) -> DataFrame:
+    """The given columns of the rows that meet a condition on computed columns.
+
+    As a filter the condition would be pushed below the projections that compute its inputs,
+    and those be computed twice; a generator of no or one element stays where it is.
+    """
+    row = F.struct(*columns)
+    return df.select(F.explode(F.when(condition, F.array(row))).alias("_row")).select("_row.*")

@@ -22,6 +22,7 @@ class Rule(NamedTuple):
     pattern: str
     needs: tuple[str, ...] = ()  # literals of which a text must hold one, in lower case
     first: str = ""  # class of the characters a match can start with, lower case
+    part: str = ""  # a cheap pattern that every match contains
 
 
 # The patterns that define each extracted kind.
@@ -38,7 +39,7 @@ RULES: dict[str, list[Rule]] = {
     "dates": [
         Rule(rf"\b{_DAY}[/-]{_DAY}[/-]\d{{4}}\b", ("/", "-"), _DIGIT),
         Rule(rf"\b{_DAY}\.{_DAY}\.\d{{4}}\b", (".",), _DIGIT),
-        Rule(rf"\b(?:{_MONTHS})\s+\d{{4}}\b", (), "jfmasond"),
+        Rule(rf"\b(?:{_MONTHS})\s+\d{{4}}\b", (), "jfmasond", r"\s\d{4}"),
         Rule(
             r"\b(?:immediately|asap|urgent|within\s+\d+\s+(?:days?|weeks?|months?))\b",
             ("immediately", "asap", "urgent", "within"),
@@ -71,7 +72,7 @@ RULES: dict[str, list[Rule]] = {
     ],
     "phone_numbers": [
         Rule(r"\(\d{3}\)\s*\d{3}[-\s]?\d{4}\b", ("(",)),
-        Rule(r"\b\d{3}[-\s]?\d{3}[-\s]?\d{4}\b", (), _DIGIT),
+        Rule(r"\b\d{3}[-\s]?\d{3}[-\s]?\d{4}\b", (), _DIGIT, r"\d{4}"),
         Rule(r"\+\d{1,3}[-\s]?\d{1,4}[-\s]?\d{1,4}[-\s]?\d{1,9}", ("+",)),
         Rule(r"(?:\+84|0)\d{9,10}\b", ("0", "+84")),
     ],
@@ -175,6 +176,8 @@ def extract(text: Column, kind: str, lower: Column | None = None) -> Column:
     for rule in RULES[kind]:
         hit = F.regexp_extract_all(source, F.lit(_regex(rule, kind in CASE_SENSITIVE)), F.lit(0))
         gates = [F.contains(lower, F.lit(n)) for n in rule.needs]
+        if rule.part:
+            gates.append(text.rlike("(?U)" + rule.part))
         if gates:
             hit = F.when(reduce(Column.__or__, gates), hit).otherwise(empty_strings())
         found.append(hit)

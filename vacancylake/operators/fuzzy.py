@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,10 +61,10 @@ def phrases(text: Column, words: int) -> Column:
 
 def _targets(
     df: DataFrame, terms: Iterable[Term], threshold: float, min_length: int
-) -> tuple[DataFrame, list[int]]:
+) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
     """Term names long enough to be compared, once per phrase length they can match.
 
-    Also the word counts that occur among them.
+    Also, by word count, the shortest and longest phrase that can match any of them.
     """
     rows = []
     for term in terms:
@@ -81,7 +82,10 @@ def _targets(
         "dict string, keyword string, category string, subcategory string, weight double,"
         " form string, words int, length int",
     )
-    return targets, sorted({row[6] for row in rows})
+    lengths: dict[int, list[int]] = {}
+    for row in rows:
+        lengths.setdefault(row[6], []).append(row[7])
+    return targets, {n: (min(found), max(found)) for n, found in sorted(lengths.items())}
 
 
 def fuzzy_matches(
@@ -105,11 +109,19 @@ def fuzzy_matches(
     # Scores are rounded to whole percent, so pairs half a percent below still reach it.
     cutoff = threshold - 0.005 if scorer == "ratio" else threshold
     targets, sizes = _targets(df, terms, cutoff, min_length)
+    reachable = reduce(
+        Column.__or__,
+        [
+            (F.col("words") == n) & F.length("phrase").between(low, high)
+            for n, (low, high) in sizes.items()
+        ],
+    )
     texts = df.select(key, match_form(F.col(text)).alias("t"))
     every = F.flatten(
         F.array(*[tagged(phrases(F.col("t"), n), n, "words", "phrase") for n in sizes])
     )
     spans = texts.select(key, F.explode(every).alias("s")).select(key, "s.words", "s.phrase")
+    spans = spans.where(reachable)
     vocabulary = spans.select("words", "phrase").distinct()
     near = (
         vocabulary.withColumn("length", F.length("phrase"))

@@ -40,6 +40,16 @@ SALTS = 32
 
 _MATCH_FIELDS = ["keyword", "matched_text", "score", "match_type", "category", "weight", "subcategory"]
 
+_ROW = T.StructType(
+    [
+        T.StructField("owner", T.IntegerType()),
+        T.StructField("group", T.IntegerType()),
+        T.StructField("form", T.StringType()),
+        T.StructField("needle", T.StringType()),
+        T.StructField("record", MATCH),
+    ]
+)
+
 
 def plain_form(surface: str) -> str:
     """``functions.text.match_form`` for a surface form known on the driver."""
@@ -67,8 +77,8 @@ class TermIndex:
 
     def __init__(self, terms: Iterable[Term], labels: Iterable[str] = LABELS):
         self.terms = list(terms)
-        forms: list[tuple[str, str, dict]] = []  # (owner, normalised form, record)
-        self.groups: dict[str, tuple[int, int]] = {}  # owner -> first and last form number
+        forms: list[tuple[str, str, dict]] = []  # (dictionary or label, form, record)
+        self.groups: dict[str, int] = {}  # dictionary or label -> number
         owners: list[int] = []  # form number -> number of its term
         seen: dict[tuple[str, str], int] = {}
 
@@ -78,8 +88,7 @@ class TermIndex:
             owner = seen.setdefault((group, key), len(seen))
             forms.append((group, form, record))
             owners.append(owner)
-            low, _ = self.groups.get(group, (len(forms) - 1, 0))
-            self.groups[group] = (low, len(forms) - 1)
+            self.groups.setdefault(group, len(self.groups))
 
         by_dict: dict[str, list[Term]] = {}
         for term in self.terms:
@@ -109,46 +118,46 @@ class TermIndex:
         first: dict[str, list[int]] = {}
         for number, (_, form, _) in enumerate(forms):
             first.setdefault(form.split(" ")[0], []).append(number)
-        numbers = T.ArrayType(T.IntegerType())
         self._heads = constant(list(first), STRINGS)
-        self._by_head = F.map_from_arrays(
-            self._heads, constant(list(first.values()), T.ArrayType(numbers))
-        )
-        self._owners = constant(owners, numbers)
-        # One-word forms are settled by the word lookup and need no second look at the text.
-        needles = [f" {form} " if " " in form else None for _, form, _ in forms]
-        self._needles = constant(needles, STRINGS)
-        self._forms = constant([f" {form} " for _, form, _ in forms], STRINGS)
-        self._records = constant([record for _, _, record in forms], T.ArrayType(MATCH))
+        self._by_head = constant(first, T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
+        rows = [
+            {
+                "owner": owner,
+                "group": self.groups[group],
+                "form": f" {form} ",
+                # A one-word form is settled by the word lookup, without a look at the text.
+                "needle": f" {form} " if " " in form else None,
+                "record": record,
+            }
+            for owner, (group, form, record) in zip(owners, forms)
+        ]
+        self._rows = constant(rows, T.ArrayType(_ROW))
 
     @classmethod
     def builtin(cls, dictionaries: dict[str, dict] | None = None) -> TermIndex:
         return cls(flatten(dictionaries or DICTIONARIES))
 
     def _found(self, words: Column, padded: Column) -> Column:
-        """Ascending numbers of the best surface form of every term in the text."""
+        """Rows of the best surface form of every term in the text, in dictionary order."""
         heads = F.array_intersect(words, self._heads)
         candidates = F.flatten(F.transform(heads, lambda w: F.element_at(self._by_head, w)))
+        rows = F.transform(F.array_sort(candidates), lambda n: F.get(self._rows, n))
         hits = F.filter(
-            candidates,
-            lambda n: F.coalesce(F.contains(padded, F.get(self._needles, n)), F.lit(True)),
+            rows, lambda r: F.coalesce(F.contains(padded, r["needle"]), F.lit(True))
         )
         return let(
-            F.array_sort(hits),
+            hits,
             lambda h: F.filter(
-                h,
-                lambda n, i: (i == 0)
-                | (F.get(self._owners, n) != F.get(self._owners, F.get(h, i - 1))),
+                h, lambda r, i: (i == 0) | (r["owner"] != F.get(h, i - 1)["owner"])
             ),
         )
 
     def _group(self, found: Column, group: str) -> Column:
-        low, high = self.groups.get(group, (0, -1))
-        return F.filter(found, lambda n: n.between(low, high))
+        return F.filter(found, lambda r: r["group"] == self.groups.get(group, -1))
 
     def _matches(self, found: Column, name: str) -> Column:
         """Match records, best score first and dictionary order within a score."""
-        records = F.transform(self._group(found, name), lambda n: F.get(self._records, n))
+        records = F.transform(self._group(found, name), lambda r: r["record"])
         return let(
             records,
             lambda r: F.concat(
@@ -161,12 +170,11 @@ class TermIndex:
         """Phrases of a label in the order of their first occurrence."""
         placed = F.transform(
             self._group(found, f"label:{label}"),
-            lambda n: F.struct(
-                F.position(F.get(self._forms, n), padded).alias("at"),
-                n.alias("n"),
+            lambda r: F.struct(
+                F.position(r["form"], padded).alias("at"), r["record"]["keyword"].alias("keyword")
             ),
         )
-        return F.transform(F.array_sort(placed), lambda p: F.get(self._records, p["n"])["keyword"])
+        return F.transform(F.array_sort(placed), lambda p: p["keyword"])
 
     def match(self, text: Column) -> Column:
         """Struct with one array of match records per dictionary and one of phrases per label."""

@@ -57,12 +57,22 @@ def extract(
     index: TermIndex | None = None,
     mode: str = "patterns",
     cleaning: dict | None = None,
+    only: Column | None = None,
 ) -> DataFrame:
-    """Add ``description_cleaned``, ``extracted`` and ``confidence_scores`` to every row."""
+    """Add ``description_cleaned``, ``extracted`` and ``confidence_scores`` to every row.
+
+    Where ``only`` is given and false, every field is NULL.  The condition sits on the fields
+    and not on the structs, so that a reader of a few fields computes no others.
+    """
     if mode not in spotting.SPOTTING_MODES:
         raise ValueError(f"mode is one of {spotting.SPOTTING_MODES}")
     index = index or TermIndex.builtin()
-    df = df.withColumn("description_cleaned", clean(F.col(text), **(cleaning or {})))
+    df = df.withColumn("_only", F.lit(True) if only is None else only)
+
+    def gated(value: Column) -> Column:
+        return value if only is None else F.when(F.col("_only"), value)
+
+    df = df.withColumn("description_cleaned", gated(clean(F.col(text), **(cleaning or {}))))
     cleaned, matched = F.col("description_cleaned"), F.col("_matched")
     df = df.withColumns({"_lower": rules.lowered(cleaned), "_matched": index.match(cleaned)})
     fields = {
@@ -75,7 +85,7 @@ def extract(
         fields["seniority_levels"] = seniority(matched[SENIORITY_DICT])
     # Every field is a column of its own before it goes into the struct, so that the counters
     # computed from it do not compute it again.
-    df = df.withColumns({f"_{n}": c for n, c in fields.items()})
+    df = df.withColumns({f"_{n}": gated(c) for n, c in fields.items()})
     extracted = F.struct(*[F.col(f"_{n}").alias(n) for n in fields])
     total = reduce(
         Column.__add__, [size0(F.col(f"_{MATCH_FIELDS[n]}")) for n in index.names], F.lit(0)
@@ -83,23 +93,23 @@ def extract(
     spotted = [F.col(f"_{f}") for f in [*SPOTTED_FIELDS, "benefits"]]
     scored = [F.col(f"_{MATCH_FIELDS[n]}") for n in SCORED if n in index.names]
     confidence = F.struct(
-        (
+        gated(
             F.lit(spotting.SUBSTRING_CONFIDENCE)
             if mode == "substring"
             else spotting.pattern_confidence(spotted)
         ).alias("ner_confidence"),
-        keyword_confidence(scored, total).alias("keyword_confidence"),
-        total.alias("total_matches"),
+        gated(keyword_confidence(scored, total)).alias("keyword_confidence"),
+        gated(total).alias("total_matches"),
     )
     return df.withColumns({"extracted": extracted, "confidence_scores": confidence}).drop(
-        "_lower", "_matched", *[f"_{n}" for n in fields]
+        "_only", "_lower", "_matched", *[f"_{n}" for n in fields]
     )
 
 
-def extraction_stats(text: str = "description") -> Column:
-    """Ten counters describing what a posting yielded."""
+def extraction_stats(text: str = "description", only: Column | None = None) -> Column:
+    """Ten counters describing what a posting yielded, NULL where ``only`` is false."""
     e = F.col("extracted")
-    return F.struct(
+    counters = [
         size0(e["skills"]).alias("total_skills"),
         size0(e["technologies"]).alias("total_technologies"),
         size0(e["responsibilities"]).alias("total_responsibilities"),
@@ -110,9 +120,17 @@ def extraction_stats(text: str = "description") -> Column:
         size0(e["vietnamese_keywords"]).alias("vietnamese_keywords_count"),
         size0(e["seniority_levels"]).alias("seniority_levels_count"),
         size0(e["extended_technologies"]).alias("extended_technologies_count"),
-    )
+    ]
+    if only is not None:
+        counters = [F.when(only, c).alias(n) for c, n in zip(counters, STATS)]
+    return F.struct(*counters)
 
 
+STATS = [
+    "total_skills", "total_technologies", "total_responsibilities", "total_qualifications",
+    "total_matches", "text_length_original", "text_length_cleaned",
+    "vietnamese_keywords_count", "seniority_levels_count", "extended_technologies_count",
+]
 ENRICHED = ["extracted", "processing", "extraction_stats", DONE, "description_cleaned"]
 
 
@@ -130,24 +148,25 @@ def enrich(
     the added columns.
     """
     enough = longer_than(F.col("description"), min_length)
-    if not keep_short:
-        postings = postings.where(enough)
-    df = extract(postings, index=index, mode=mode)
+    if keep_short:
+        postings = postings.withColumn("_enough", enough)
+        only = F.col("_enough")
+    else:
+        postings, only = postings.where(enough), None
+    df = extract(postings, index=index, mode=mode, only=only)
+    done = F.lit(True)
     processing = F.struct(
-        F.current_timestamp().alias("processed_at"),
+        F.when(done if only is None else only, F.current_timestamp()).alias("processed_at"),
         F.lit(NLP_VERSION).alias("nlp_version"),
         F.col("confidence_scores"),
     )
-    added = {
-        "extracted": F.col("extracted"),
-        "processing": processing,
-        "extraction_stats": extraction_stats(),
-        DONE: F.lit(True),
-        "description_cleaned": F.col("description_cleaned"),
-    }
-    if keep_short:
-        added = {name: F.when(enough, value) for name, value in added.items()}
-    return df.withColumns(added).drop("confidence_scores")
+    return df.withColumns(
+        {
+            "processing": processing,
+            "extraction_stats": extraction_stats(only=only),
+            DONE: done if only is None else F.when(only, done),
+        }
+    ).drop("confidence_scores", "_enough")
 
 
 RECORD_LISTS = [

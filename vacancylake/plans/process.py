@@ -82,7 +82,7 @@ def backfill(
     """Postings of a source not analysed yet, enriched under the shorter length limit."""
     todo = postings.where(F.col("source") == source)
     if "extracted" in todo.columns:
-        todo = todo.where(F.col("extracted").isNull()).drop(*ENRICHED)
+        todo = todo.where(F.col("extracted.vietnamese_keywords").isNull()).drop(*ENRICHED)
     return enrich(todo, min_length=min_length, index=index)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacancylake.functions.arrays import drop_members, non_empty, size0
+from vacancylake.functions.arrays import drop_members, non_empty, select_where, size0
 from vacancylake.plans.enrich import DONE
 
 UNKNOWN = "Unknown"
@@ -145,18 +145,35 @@ def _names(column: str) -> Column:
     return F.coalesce(F.col(f"{column}.keyword"), F.array().cast("array<string>"))
 
 
+def _picked(jobs: DataFrame) -> DataFrame:
+    """The match lists as columns of their own.
+
+    A field that is read once is all that gets computed of ``extracted``; read twice, the whole
+    struct would be.
+    """
+    return jobs.select(
+        "job_id",
+        "title",
+        "company",
+        "description",
+        F.col(VIETNAMESE).alias("vn"),
+        F.col(SENIORITY).alias("sen"),
+        F.col(EXTENDED).alias("ext"),
+    )
+
+
 def detailed_jobs(jobs: DataFrame, source: str = "linkedin", preview_length: int = 100) -> DataFrame:
     """Postings of a source with keywords, and what a reader needs to judge them."""
-    return jobs.where(
-        (F.col("source") == source) & non_empty(F.col(VIETNAMESE)) & F.col(SENIORITY).isNotNull()
-    ).select(
+    return select_where(
+        _picked(jobs.where(F.col("source") == source)),
+        non_empty(F.col("vn")) & F.col("sen").isNotNull(),
         "job_id",
         "title",
         "company",
         F.substring("description", 1, preview_length).alias("preview"),
-        _names(VIETNAMESE).alias("vietnamese_keywords"),
-        _names(SENIORITY).alias("seniority_levels"),
-        _names(EXTENDED).alias("extended_technologies"),
+        _names("vn").alias("vietnamese_keywords"),
+        _names("sen").alias("seniority_levels"),
+        _names("ext").alias("extended_technologies"),
     )
 
 
@@ -245,15 +262,17 @@ def extraction_summary(extracted: Column, fields: list[str]) -> Column:
 
 def sample_jobs(jobs: DataFrame, limit: int = 3) -> DataFrame:
     """First postings with keywords, for a look."""
-    shown = jobs.where(non_empty(F.col(VIETNAMESE))).orderBy("job_id").limit(limit)
-    return shown.select(
+    shown = select_where(
+        _picked(jobs),
+        non_empty(F.col("vn")),
         "job_id",
         F.substring("title", 1, 40).alias("title"),
         F.substring(or_unknown("company"), 1, 30).alias("company"),
-        F.slice(_names(VIETNAMESE), 1, 4).alias("vietnamese"),
-        _names(SENIORITY).alias("seniority"),
-        F.slice(_names(EXTENDED), 1, 5).alias("technologies"),
+        F.slice(_names("vn"), 1, 4).alias("vietnamese"),
+        _names("sen").alias("seniority"),
+        F.slice(_names("ext"), 1, 5).alias("technologies"),
     )
+    return shown.orderBy("job_id").limit(limit)
 
 
 def statistics(jobs: DataFrame, source: str = "linkedin") -> dict[str, DataFrame]:
