@@ -35,7 +35,7 @@ def filter_members(
     how = "left_semi" if keep else "left_anti"
     keys, small = broadcast_if_small(member_keys(keys, key), max_broadcast)
     if small:
-        return df.join(keys, key, how)
+        return df.join(keys, key, how).select(*df.columns)
     rows = df.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
     rows = rows.withColumn("_has", F.col(key).isNotNull())
     rows = rows.withColumn(
@@ -46,7 +46,7 @@ def filter_members(
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
         F.lit(True).alias("_has"),
     )
-    return rows.join(spread, ["_key", "_salt", "_has"], how).drop("_key", "_salt", "_has")
+    return rows.join(spread, ["_key", "_salt", "_has"], how).select(*df.columns)
 
 
 def update_by_key(

@@ -177,20 +177,22 @@ class TermIndex:
         return F.transform(F.array_sort(placed), lambda p: p["keyword"])
 
     def match(self, text: Column) -> Column:
-        """Struct with one array of match records per dictionary and one of phrases per label."""
+        """Struct with one array of match records per dictionary and one of phrases per label.
+
+        Also ``seniority_levels``, the seniority matches, when their dictionary is there.
+        """
 
         def fields(padded: Column) -> Column:
             words = F.split(F.trim(padded), " ")
-            return let(
-                self._found(words, padded),
-                lambda found: F.struct(
-                    *[self._matches(found, name).alias(name) for name in self.names],
-                    *[
-                        self._labelled(found, padded, label).alias(f"label_{label}")
-                        for label in self.labels
-                    ],
-                ),
-            )
+            return let(self._found(words, padded), lambda found: struct(found, padded))
+
+        def struct(found: Column, padded: Column) -> Column:
+            matches = {name: self._matches(found, name) for name in self.names}
+            if SENIORITY_DICT in matches:
+                matches["seniority_levels"] = seniority(matches[SENIORITY_DICT])
+            for label in self.labels:
+                matches[f"label_{label}"] = self._labelled(found, padded, label)
+            return F.struct(*[value.alias(name) for name, value in matches.items()])
 
         return let(F.concat(F.lit(" "), F.coalesce(match_form(text), F.lit("")), F.lit(" ")), fields)
 

@@ -19,7 +19,6 @@ from vacancylake.operators.term_match import (
     SENIORITY_DICT,
     TermIndex,
     keyword_confidence,
-    seniority,
 )
 
 NLP_VERSION = "1.0"
@@ -61,8 +60,8 @@ def extract(
 ) -> DataFrame:
     """Add ``description_cleaned``, ``extracted`` and ``confidence_scores`` to every row.
 
-    Where ``only`` is given and false, every field is NULL.  The condition sits on the fields
-    and not on the structs, so that a reader of a few fields computes no others.
+    Where ``only`` is given and false, every field is NULL.  The condition sits on the matches
+    and the other fields, not on the structs, so that a reader of a few fields computes no others.
     """
     if mode not in spotting.SPOTTING_MODES:
         raise ValueError(f"mode is one of {spotting.SPOTTING_MODES}")
@@ -74,18 +73,20 @@ def extract(
 
     df = df.withColumn("description_cleaned", gated(clean(F.col(text), **(cleaning or {}))))
     cleaned, matched = F.col("description_cleaned"), F.col("_matched")
-    df = df.withColumns({"_lower": rules.lowered(cleaned), "_matched": index.match(cleaned)})
+    df = df.withColumns(
+        {"_lower": rules.lowered(cleaned), "_matched": gated(index.match(cleaned))}
+    )
     fields = {
-        **rules.extract_all(cleaned, F.col("_lower")),
-        **_spotted(cleaned, matched, mode),
-        "benefits": empty_strings(),
+        **{k: gated(c) for k, c in rules.extract_all(cleaned, F.col("_lower")).items()},
+        **{k: gated(c) if mode == "substring" else c for k, c in _spotted(cleaned, matched, mode).items()},
+        "benefits": gated(empty_strings()),
         **{field: matched[name] for name, field in MATCH_FIELDS.items() if name in index.names},
     }
     if SENIORITY_DICT in index.names:
-        fields["seniority_levels"] = seniority(matched[SENIORITY_DICT])
+        fields["seniority_levels"] = matched["seniority_levels"]
     # Every field is a column of its own before it goes into the struct, so that the counters
     # computed from it do not compute it again.
-    df = df.withColumns({f"_{n}": gated(c) for n, c in fields.items()})
+    df = df.withColumns({f"_{n}": c for n, c in fields.items()})
     extracted = F.struct(*[F.col(f"_{n}").alias(n) for n in fields])
     total = reduce(
         Column.__add__, [size0(F.col(f"_{MATCH_FIELDS[n]}")) for n in index.names], F.lit(0)

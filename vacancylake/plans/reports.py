@@ -206,20 +206,26 @@ def detection_rates(jobs: DataFrame) -> DataFrame:
 
 def run_summary(jobs: DataFrame) -> DataFrame:
     """What a run over these postings did: rows processed and skipped, and detections."""
-    return jobs.agg(
+    counted = jobs.agg(
+        F.count("*").alias("selected"),
         F.count_if(done()).alias("processed"),
-        F.count_if(~done()).alias("skipped"),
         F.count_if(non_empty(F.col(VIETNAMESE))).alias("vietnamese_detected"),
         F.count_if(non_empty(F.col(SENIORITY))).alias("seniority_detected"),
         F.count_if(non_empty(F.col(EXTENDED))).alias("extended_tech_detected"),
     )
+    return counted.select(
+        "processed",
+        (F.col("selected") - F.col("processed")).alias("skipped"),
+        "vietnamese_detected",
+        "seniority_detected",
+        "extended_tech_detected",
+    )
 
 
 def success_rate(jobs: DataFrame) -> DataFrame:
-    return jobs.agg(
-        F.count_if(done()).alias("updated"),
-        F.count("*").alias("selected"),
-        percent(F.count_if(done()), F.count("*")).alias("success_rate"),
+    counted = jobs.agg(F.count_if(done()).alias("updated"), F.count("*").alias("selected"))
+    return counted.select(
+        "*", percent(F.col("updated"), F.col("selected")).alias("success_rate")
     )
 
 

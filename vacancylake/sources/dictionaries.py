@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from vacancylake.schemas import TERM
 from vacancylake.sources.vocabulary import DICTIONARIES, Term, flatten
 
-_ENTRY = "struct<category:string,weight:double,aliases:array<string>>"
-
 
 def builtin_terms(spark: SparkSession, dictionaries: dict[str, dict] | None = None) -> DataFrame:
     """The built-in dictionaries, one row per surface form."""
@@ -39,17 +37,16 @@ def read_dictionary(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def surface_forms(entries: DataFrame, name: str) -> DataFrame:
     """``(category, term, body)`` rows to one row per term or alias; weight defaults to 1."""
-    entry = F.from_json("body", _ENTRY)
-    parsed = entries.select("category", "term", entry.alias("e"), "body")
-    aliases = F.coalesce(
-        F.col("e.aliases"), F.from_json(F.get_json_object("body", "$.aliases"), "array<string>"), F.array()
-    )
-    return parsed.select(
+    # Path by path, since a flat entry comes with its parts as text.
+    weight = F.get_json_object("body", "$.weight").try_cast("double")
+    aliases = F.from_json(F.get_json_object("body", "$.aliases"), "array<string>")
+    aliases = F.coalesce(aliases, F.array())
+    return entries.select(
         F.lit(name).alias("dict"),
         "category",
-        F.coalesce("e.category", F.lit("")).alias("subcategory"),
+        F.coalesce(F.get_json_object("body", "$.category"), F.lit("")).alias("subcategory"),
         "term",
-        F.coalesce("e.weight", F.lit(1.0)).alias("weight"),
+        F.coalesce(weight, F.lit(1.0)).alias("weight"),
         F.posexplode(F.concat(F.array("term"), aliases)).alias("alias_pos", "alias"),
     ).select(*TERM.fieldNames())
 
