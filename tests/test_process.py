@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from vacancylake.plans import reports
 from vacancylake.plans.enrich import DONE, enrich, full_record
-from vacancylake.plans.process import backfill, process_all, process_urls, quick_sample, run, select_pending
+from vacancylake.plans.process import backfill, process_all, process_urls, quick_sample, reprocess, run, select_pending
 from vacancylake.schemas import POSTING
 from vacancylake.sources.postings import append_postings, from_records, get_postings, read_postings, write_json
-from vacancylake.sources.store import current_version, read_current
+from vacancylake.sources.store import current_parts, read_current
 
 TEXT = "Senior engineer with 5+ years of experience in Python and AWS. "
 
@@ -83,16 +83,36 @@ def test_short_rows_stay_empty(postings):
     assert rows[1].processing.confidence_scores.total_matches > 0
 
 
-def test_process_all_twice(spark, postings, tmp_path):
+def test_process_all_adds_what_is_new(spark, postings, tmp_path):
     root = str(tmp_path / "store")
+    assert read_current(spark, root) is None
     first = process_all(spark, postings.where("job_id < 5"), root).first()
-    assert (first.processed, first.skipped, current_version(spark, root)) == (2, 1, 1)
+    assert (first.processed, first.skipped, current_parts(spark, root)) == (2, 1, [1])
     second = process_all(spark, postings, root).first()
     assert (second.processed, second.skipped) == (2, 2)
-    stored = read_current(spark, root)
-    assert sorted(r.job_id for r in stored.collect()) == [1, 2, 6, 7]
-    pending = {r.job_id for r in select_pending(postings, stored).collect()}
-    assert pending == {3, 7, 8}  # too short ones, and the one that cannot be told by its url
+    assert current_parts(spark, root) == [1, 2]
+    assert sorted(r.job_id for r in read_current(spark, root).collect()) == [1, 2, 6, 7]
+    third = process_all(spark, postings, root).first()
+    assert (third.processed, third.skipped) == (0, 2)  # the too short ones
+    assert read_current(spark, root).count() == 4
+
+
+def test_limit_counts_new_postings(spark, postings, tmp_path):
+    root = str(tmp_path / "store")
+    for wanted in ([1], [1, 2], [1, 2]):
+        process_all(spark, postings.where("job_id in (1, 2)"), root, limit=1)
+        assert sorted(r.job_id for r in read_current(spark, root).collect()) == wanted
+
+
+def test_reprocess(spark, postings, tmp_path):
+    root = str(tmp_path / "store")
+    process_all(spark, postings.where("job_id < 5"), root)
+    changed = from_records(spark, [posting(1, TEXT + "Kotlin"), posting(9)])
+    assert reprocess(spark, changed, root).first().processed == 2
+    assert current_parts(spark, root) == [2]
+    skills = {r.job_id: r.s for r in read_current(spark, root).select(
+        "job_id", F.col("extracted.matched_skills.keyword").alias("s")).collect()}
+    assert skills == {1: ["python", "kotlin"], 2: ["python"], 9: ["python"]}
 
 
 def test_urls(spark, postings):

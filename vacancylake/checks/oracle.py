@@ -99,12 +99,12 @@ BASE = f"WITH {POSTINGS}, {CLEANED}"
 
 def terms_cte() -> str:
     rows = ",\n".join(
-        "(" + ", ".join(q(v) for v in t) + ")" for t in flatten(DICTIONARIES)
+        "(" + ", ".join(q(v) for v in (*t, n)) + ")" for n, t in enumerate(flatten(DICTIONARIES))
     )
     form = match_form("alias")
     return (
         f"terms AS MATERIALIZED (SELECT *, {form} AS form FROM (VALUES {rows}) "
-        "v(dict, category, subcategory, term, weight, alias, alias_pos))"
+        "v(dict, category, subcategory, term, weight, alias, alias_pos, place))"
     )
 
 
@@ -119,7 +119,7 @@ hits AS (SELECT f.{key}, t.*,
 matches AS MATERIALIZED (SELECT {key}, dict, term AS keyword, alias AS matched_text,
   CASE WHEN alias_pos = 0 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS score,
   CASE WHEN alias_pos = 0 THEN 'exact' ELSE 'alias' END AS match_type,
-  category, weight::DOUBLE AS weight, subcategory FROM hits WHERE rn = 1)"""
+  category, weight::DOUBLE AS weight, subcategory, place FROM hits WHERE rn = 1)"""
 
 
 def spotted_cte() -> str:
@@ -394,8 +394,8 @@ SELECT job_id, o::INTEGER AS original_length, n::INTEGER AS cleaned_length,
         "substring_mode": f"{BASE} SELECT job_id, count(value) FILTER (kind = 'skills')::INTEGER AS skills,"
         " 0 AS responsibilities, 0.5::DOUBLE AS ner_confidence FROM cleaned"
         f" LEFT JOIN (VALUES {_SUBSTRINGS}) v(kind, value) ON contains(lower(c), value) GROUP BY job_id",
-        "dictionary_matches": f"{BASE}, {matches_cte()} SELECT * FROM matches",
-        "dictionary_matches_in_documents": f"WITH {matches_cte('documents', 'doc_id', 'text')} SELECT * FROM matches",
+        "dictionary_matches": f"{BASE}, {matches_cte()} SELECT * EXCLUDE (place) FROM matches",
+        "dictionary_matches_in_documents": f"WITH {matches_cte('documents', 'doc_id', 'text')} SELECT * EXCLUDE (place) FROM matches",
         "seniority_matches": f"{BASE}, {matches_cte()} SELECT job_id, keyword, matched_text, subcategory"
         f" FROM matches WHERE {SEN}",
         "confidence_scores": f"""{BASE}, {matches_cte()}, {spotted_cte()},
@@ -461,6 +461,23 @@ SELECT count(j.job_id) AS processed, count(*) - count(j.job_id) AS skipped,
 FROM sel LEFT JOIN per_job j USING (job_id)""",
         "run_enriched": f"{COUNTS} SELECT job_id, n_vietnamese_keywords::INTEGER AS n FROM per_job"
         f" JOIN postings USING (job_id) WHERE {_TOPCV_DONE}",
+        "stored_after_two_runs": f"{COUNTS} SELECT job_id, n_vietnamese_keywords::INTEGER AS n FROM per_job",
+        "streamed": f"{COUNTS} SELECT job_id, n_vietnamese_keywords::INTEGER AS n FROM per_job",
+        "quick_sample": f"""{ENRICHED}, chosen AS (SELECT * FROM postings WHERE source = 'linkedin' ORDER BY job_id LIMIT 20),
+s AS (SELECT job_id, string_agg(keyword, '|' ORDER BY keyword) AS seniority FROM matches WHERE {SEN} GROUP BY job_id)
+SELECT job_id, left(title, 40) AS title, left(description, 200) AS preview,
+  CASE WHEN coalesce(length({strip('description')}), 0) >= 2 THEN coalesce(seniority, '') END AS seniority
+FROM chosen LEFT JOIN s USING (job_id)""",
+        "job_details": f"""{COUNTS}, v AS (SELECT job_id,
+  list(keyword ORDER BY score DESC, place) FILTER ({VN}) AS vn,
+  list(keyword ORDER BY score DESC, place) FILTER ({SEN}) AS sen FROM matches GROUP BY job_id)
+SELECT job_id, coalesce(title, 'Unknown') AS title, coalesce(company, 'Unknown') AS company,
+  s_skills::INTEGER AS skills_count, s_technologies::INTEGER AS technologies_count, s_roles::INTEGER AS roles_count,
+  s_responsibilities::INTEGER AS responsibilities_count, n_vietnamese_keywords::INTEGER AS vietnamese_keywords_count,
+  n_seniority::INTEGER AS seniority_levels_count, n_extended_technologies::INTEGER AS extended_technologies_count,
+  coalesce(array_to_string(list_slice(vn, 1, 3), '|'), '') AS sample_vietnamese,
+  coalesce(array_to_string(list_slice(sen, 1, 2), '|'), '') AS sample_seniority
+FROM per_job JOIN postings USING (job_id) LEFT JOIN v USING (job_id)""",
         "backfilled": f"""{BASE}, {matches_cte()} SELECT job_id,
   count(*) FILTER (dict = 'soft_skills')::INTEGER AS soft, count(*) FILTER (dict = 'industry_terms')::INTEGER AS industry,
   count(*) FILTER ({VN})::INTEGER AS vn FROM postings LEFT JOIN matches USING (job_id)

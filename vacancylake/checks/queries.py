@@ -6,6 +6,7 @@ be asked the same question (``checks.oracle``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,13 +25,22 @@ from vacancylake.operators.term_match import (
     match_by_join,
     top_matches,
 )
-from vacancylake.plans import reports
+from vacancylake.plans import process, reports
 from vacancylake.plans.enrich import DONE, enrich, extract, full_record, long_form
-from vacancylake.plans.process import backfill, process_urls, run, select_pending, status
-from vacancylake.session import spread
+from vacancylake.plans.process import (
+    backfill,
+    process_all,
+    process_urls,
+    run,
+    select_pending,
+    status,
+)
+from vacancylake.session import shared_dir, spread
 from vacancylake.sources import postings as source
 from vacancylake.sources.dictionaries import builtin_terms, surface_forms
+from vacancylake.sources.store import read_current
 from vacancylake.sources.vocabulary import DICTIONARIES, flatten
+from vacancylake.streaming.incremental import enrich_stream, read_arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -589,6 +599,36 @@ def backfilled(spark, sf_dir):
     )
 
 
+@query
+def stored_after_two_runs(spark, sf_dir):
+    """The store after a run over one site and another over all."""
+    postings, root = jobs(spark, sf_dir), f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    process_all(spark, postings.where(F.col("source") == "topcv"), root)
+    process_all(spark, postings, root)
+    return read_current(spark, root).select(
+        "job_id", F.col("extraction_stats.vietnamese_keywords_count").alias("n")
+    )
+
+
+@query
+def streamed(spark, sf_dir):
+    """The stream's output once all postings, written as files, went through it."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    arriving = jobs(spark, sf_dir)
+    arriving.write.parquet(f"{root}/in")
+    stream = read_arrivals(spark, f"{root}/in", spark.read.parquet(f"{root}/in").schema)
+    enrich_stream(stream, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(
+        "job_id", F.col("extraction_stats.vietnamese_keywords_count").alias("n")
+    )
+
+
+@query
+def quick_sample(spark, sf_dir):
+    s = process.quick_sample(jobs(spark, sf_dir), limit=20)
+    return s.select("job_id", "title", "preview", F.array_join(F.array_sort("seniority"), "|").alias("seniority"))
+
+
 @query
 def success_rate(spark, sf_dir):
     linkedin = jobs(spark, sf_dir).where(F.col("source") == "linkedin")

@@ -1,8 +1,7 @@
 """Cleaning and normalisation of posting descriptions.
 
 Patterns carry ``(?U)`` so that letters, digits and whitespace are meant in the Unicode
-sense, and ``(?d)`` with ``(?m)`` so that only a newline ends a line.  Where a plain character
-replacement does, none of the slower patterns is used.
+sense, and ``(?d)`` with ``(?m)`` so that only a newline ends a line.
 """
 
 from __future__ import annotations
@@ -10,17 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vacancylake.functions.arrays import let
 from vacancylake.functions.entities import unescape
 
 # Whitespace inside a character class under (?U): the Unicode property and the four ASCII
 # information separators.
 SPACE = r"\s\x1c-\x1f"
-_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 # Markers, tags and patterns that define the cleaned text.
 BULLETS = "•·▪▫◦‣⁃"
 BULLET = "• "
-LINE_TAGS = [r"(?U)<br\s*/?>", r"</?p[^>]*>", r"</?div[^>]*>"]
+LINE_TAGS = [r"<br(?U:\s)*/?>", r"</?p[^>]*>", r"</?div[^>]*>"]
 ITEM_TAG = r"</?li[^>]*>"
 LIST_TAGS = [r"</?ul[^>]*>", r"</?ol[^>]*>"]
 ANY_TAG = r"<[^>]+>"
@@ -61,16 +60,26 @@ def preview(text: Column, length: int) -> Column:
     return F.substring(text, 1, length)
 
 
-def tags_to_layout(text: Column) -> Column:
-    """Block tags become line breaks, list items bullets on lines of their own, others a space."""
-    for tag in LINE_TAGS:
+def _replace_tags(text: Column, line_tags: list[str], list_tags: list[str]) -> Column:
+    for tag in line_tags:
         text = F.regexp_replace(text, "(?i)" + tag, "\n")
     text = F.regexp_replace(text, "(?i)" + ITEM_TAG, "\n" + BULLET)
-    for tag in LIST_TAGS:
+    for tag in list_tags:
         text = F.regexp_replace(text, "(?i)" + tag, "\n")
     return F.regexp_replace(text, ANY_TAG, " ")
 
 
+def tags_to_layout(text: Column) -> Column:
+    """Block tags become line breaks, list items bullets on lines of their own, others a space."""
+    # The order of the tags only matters where one sits inside another's angle brackets.
+    return let(
+        text,
+        lambda t: F.when(
+            t.rlike("<[^>]*<"), _replace_tags(t, LINE_TAGS, LIST_TAGS)
+        ).otherwise(_replace_tags(t, ["|".join(LINE_TAGS + LIST_TAGS)], [])),
+    )
+
+
 def symbol_bullets(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?mdU)^[{SPACE}]*[{BULLETS}][{SPACE}]*", BULLET)
 
@@ -100,7 +109,8 @@ def remove_special(text: Column) -> Column:
 
 def collapse_whitespace(text: Column) -> Column:
     """Runs of whitespace become one space."""
-    return F.regexp_replace(F.translate(text, _SPACES, " " * len(_SPACES)), " {2,}", " ")
+    # Single spaces before a word are most of the whitespace and stay as they are.
+    return F.regexp_replace(text, rf"(?U)(?! [^{SPACE}])[{SPACE}]+", " ")
 
 
 def tidy_lines(text: Column) -> Column:
@@ -116,8 +126,7 @@ def tidy_punctuation(text: Column) -> Column:
 
 def _tidy_line(text: Column) -> Column:
     """``tidy_punctuation`` for text whose only whitespace is single spaces."""
-    for mark in ",.!?;:":
-        text = F.replace(text, F.lit(f" {mark}"), F.lit(mark))
+    text = F.regexp_replace(text, " (?=[,.!?;:])", "")
     return F.regexp_replace(text, r"([.!?]) ?(?=[A-Z])", "$1 ")
 
 
@@ -156,7 +165,8 @@ def normalize(text: Column) -> Column:
 
 def match_form(text: Column) -> Column:
     """Text as terms are compared: lower-case words of letters, digits, ``+`` and ``#``."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}+#]+", " "))
+    word = r"\p{L}\p{M}\p{N}+#"
+    return F.trim(F.regexp_replace(F.lower(text), rf"(?! [{word}])[^{word}]+", " "))
 
 
 def _section(text: Column, headers: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancylake.session import broadcast_if_small
+from vacancylake.session import within
 
 MAX_BROADCAST_KEYS = 1_000_000
 SALTS = 8
@@ -33,8 +33,10 @@ def filter_members(
     of ``df`` is spread over ``salts`` tasks; rows without key go by their own id.
     """
     how = "left_semi" if keep else "left_anti"
-    keys, small = broadcast_if_small(member_keys(keys, key), max_broadcast)
+    small = within(keys.select(key), max_broadcast)
+    keys = member_keys(keys, key)
     if small:
+        keys = F.broadcast(keys)
         return df.join(keys, key, how).select(*df.columns)
     rows = df.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
     rows = rows.withColumn("_has", F.col(key).isNotNull())

@@ -119,7 +119,12 @@ class TermIndex:
         for number, (_, form, _) in enumerate(forms):
             first.setdefault(form.split(" ")[0], []).append(number)
         self._heads = constant(list(first), STRINGS)
-        self._by_head = constant(first, T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
+        # Maps are searched entry by entry, so the first letter narrows the search down.
+        by_letter: dict[str, dict[str, list[int]]] = {}
+        for head, members in first.items():
+            by_letter.setdefault(head[0], {})[head] = members
+        by_head = T.MapType(T.StringType(), T.ArrayType(T.IntegerType()))
+        self._by_letter = constant(by_letter, T.MapType(T.StringType(), by_head))
         rows = [
             {
                 "owner": owner,
@@ -140,7 +145,11 @@ class TermIndex:
     def _found(self, words: Column, padded: Column) -> Column:
         """Rows of the best surface form of every term in the text, in dictionary order."""
         heads = F.array_intersect(words, self._heads)
-        candidates = F.flatten(F.transform(heads, lambda w: F.element_at(self._by_head, w)))
+        candidates = F.flatten(
+            F.transform(
+                heads, lambda w: F.element_at(F.element_at(self._by_letter, F.substring(w, 1, 1)), w)
+            )
+        )
         rows = F.transform(F.array_sort(candidates), lambda n: F.get(self._rows, n))
         hits = F.filter(
             rows, lambda r: F.coalesce(F.contains(padded, r["needle"]), F.lit(True))

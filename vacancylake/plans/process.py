@@ -18,7 +18,7 @@ from vacancylake.plans.enrich import (
 from vacancylake.plans.reports import done, run_summary
 from vacancylake.session import materialize
 from vacancylake.sources.postings import known_urls
-from vacancylake.sources.store import read_current, write_version
+from vacancylake.sources.store import read_current, write_part
 
 
 def select_pending(
@@ -50,16 +50,31 @@ def run(
 def process_all(
     spark: SparkSession, postings: DataFrame, root: str, limit: int | None = None
 ) -> DataFrame:
-    """Enrich what the store at ``root`` lacks, write it as a new version, return the summary."""
+    """Enrich what the store at ``root`` lacks, add it there, return the summary.
+
+    Postings stored under their id are done too, which tells those without url.  The cost is
+    that of the new postings; what is stored is read for its keys only.
+    """
     stored = read_current(spark, root)
-    selected = enrich(select_pending(postings, stored, limit), keep_short=True)
-    # Written once, so that neither the merge nor the summary computes it again.
-    written = materialize(selected, "run")
-    fresh = written.where(done())
-    write_version(fresh if stored is None else merge(stored, fresh), root)
+    pending = select_pending(postings, stored)
+    if stored is not None:
+        pending = filter_members(pending, stored, "job_id", keep=False)
+    if limit:
+        pending = pending.orderBy("job_id").limit(limit)
+    # Written once, so that neither the store nor the summary computes it again.
+    written = materialize(enrich(pending, keep_short=True), "run")
+    write_part(written.where(done()), root)
     return run_summary(written)
 
 
+def reprocess(spark: SparkSession, changed: DataFrame, root: str) -> DataFrame:
+    """Enrich postings again and set them in the store by id; rewrites the table."""
+    fresh = materialize(enrich(changed), "run")
+    stored = read_current(spark, root)
+    write_part(fresh if stored is None else merge(stored, fresh), root, replace=True)
+    return run_summary(fresh)
+
+
 def merge(stored: DataFrame, fresh: DataFrame, key: str = "job_id") -> DataFrame:
     """Stored rows with fresh columns set, then the fresh rows the store lacks."""
     updated = update_by_key(stored, fresh, key)
