@@ -10,14 +10,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacancylake.functions.arrays import tagged
 from vacancylake.functions.text import match_form
 from vacancylake.operators.term_match import plain_form
 from vacancylake.session import broadcast_if_small, materialize
@@ -47,16 +45,25 @@ def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([score(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
-def phrases(text: Column, words: int) -> Column:
-    """Distinct runs of ``words`` words of a text in match form."""
-    tokens = F.split(text, " ")
-    if words == 1:
-        return F.array_distinct(tokens)
-    # Each list of tokens is shifted by one and zipped with the former ones.
-    shifted = [F.slice(tokens, i + 1, F.greatest(F.size(tokens) - words + 1, F.lit(0))) for i in range(words)]
-    zipped = F.arrays_zip(*[s.alias(f"w{i}") for i, s in enumerate(shifted)])
-    joined = F.transform(zipped, lambda z: F.concat_ws(" ", *[z[f"w{i}"] for i in range(words)]))
-    return F.array_distinct(joined)
+def spans(
+    df: DataFrame, key: str, text: str, lengths: dict[int, tuple[int, int]]
+) -> DataFrame:
+    """``(key, words, phrase)`` for every run of words of a text whose length is in range.
+
+    ``lengths`` gives the shortest and longest phrase per word count.  Words are picked by
+    position, which stays in generated code, where nested functions over arrays would not.
+    """
+    words = df.select(key, F.split(match_form(F.col(text)), " ").alias("w"))
+    at = words.select(key, "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
+
+    def phrase(n: int, low: int, high: int) -> Column:
+        joined = F.concat_ws(" ", *[F.get("w", F.col("i") + k) for k in range(n)])
+        fits = (F.col("i") + n <= F.size("w")) & F.length(joined).between(low, high)
+        return F.when(fits, F.struct(F.lit(n).alias("words"), joined.alias("phrase")))
+
+    runs = F.array(*[phrase(n, low, high) for n, (low, high) in lengths.items()])
+    picked = at.select(key, F.explode(runs).alias("s")).where("s is not null")
+    return picked.select(key, "s.words", "s.phrase")
 
 
 def _targets(
@@ -108,29 +115,18 @@ def fuzzy_matches(
         raise ValueError(f"scorer is one of {SCORERS}")
     # Scores are rounded to whole percent, so pairs half a percent below still reach it.
     cutoff = threshold - 0.005 if scorer == "ratio" else threshold
-    targets, sizes = _targets(df, terms, cutoff, min_length)
-    reachable = reduce(
-        Column.__or__,
-        [
-            (F.col("words") == n) & F.length("phrase").between(low, high)
-            for n, (low, high) in sizes.items()
-        ],
-    )
-    texts = df.select(key, match_form(F.col(text)).alias("t"))
-    every = F.flatten(
-        F.array(*[tagged(phrases(F.col("t"), n), n, "words", "phrase") for n in sizes])
-    )
-    spans = texts.select(key, F.explode(every).alias("s")).select(key, "s.words", "s.phrase")
-    spans = spans.where(reachable)
-    vocabulary = spans.select("words", "phrase").distinct()
+    targets, lengths = _targets(df, terms, cutoff, min_length)
+    found = spans(df, key, text, lengths)
+    vocabulary = found.select("words", "phrase").distinct()
     near = (
         vocabulary.withColumn("length", F.length("phrase"))
         .join(F.broadcast(targets), ["words", "length"])
         .withColumn("total", F.col("length") + F.length("form"))
         .withColumn("limit", F.floor((1 - F.lit(cutoff)) * F.col("total") + 1e-9).cast("int"))
         .where("abs(length - length(form)) <= limit")
-        .withColumn("distance", F.levenshtein("phrase", "form"))
-        .where("distance <= limit")
+        # Gives up beyond the limit, with -1.
+        .withColumn("distance", F.expr("levenshtein(phrase, form, limit)"))
+        .where("distance >= 0")
     )
     if scorer == "ratio":
         scored = near.withColumn("score", ratio("phrase", "form"))
@@ -143,11 +139,11 @@ def fuzzy_matches(
     hits, small = broadcast_if_small(materialize(hits, "fuzzy-hits"), max_broadcast)
     on = ["words", "phrase"]
     if not small:
-        spans = spans.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+        found = found.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
         hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         on = [*on, "salt"]
     return (
-        spans.join(hits, on)
+        found.join(hits, on)
         .groupBy(key, "dict", "keyword", "category", "subcategory", "weight")
         .agg(F.max("score").alias("score"))
     )
