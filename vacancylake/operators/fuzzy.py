@@ -12,11 +12,11 @@ import math
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacancylake.functions.text import match_form
+from vacancylake.operators.phrases import phrases
 from vacancylake.operators.term_match import plain_form
 from vacancylake.session import broadcast_if_small, materialize
 from vacancylake.sources.vocabulary import Term
@@ -45,27 +45,6 @@ def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([score(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
-def spans(
-    df: DataFrame, key: str, text: str, lengths: dict[int, tuple[int, int]]
-) -> DataFrame:
-    """``(key, words, phrase)`` for every run of words of a text whose length is in range.
-
-    ``lengths`` gives the shortest and longest phrase per word count.  Words are picked by
-    position, which stays in generated code, where nested functions over arrays would not.
-    """
-    words = df.select(key, F.split(match_form(F.col(text)), " ").alias("w"))
-    at = words.select(key, "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
-
-    def phrase(n: int, low: int, high: int) -> Column:
-        joined = F.concat_ws(" ", *[F.get("w", F.col("i") + k) for k in range(n)])
-        fits = (F.col("i") + n <= F.size("w")) & F.length(joined).between(low, high)
-        return F.when(fits, F.struct(F.lit(n).alias("words"), joined.alias("phrase")))
-
-    runs = F.array(*[phrase(n, low, high) for n, (low, high) in lengths.items()])
-    picked = at.select(key, F.explode(runs).alias("s")).where("s is not null")
-    return picked.select(key, "s.words", "s.phrase")
-
-
 def _targets(
     df: DataFrame, terms: Iterable[Term], threshold: float, min_length: int
 ) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
@@ -116,7 +95,7 @@ def fuzzy_matches(
     # Scores are rounded to whole percent, so pairs half a percent below still reach it.
     cutoff = threshold - 0.005 if scorer == "ratio" else threshold
     targets, lengths = _targets(df, terms, cutoff, min_length)
-    found = spans(df, key, text, lengths)
+    found = phrases(df, key, text, lengths)
     vocabulary = found.select("words", "phrase").distinct()
     near = (
         vocabulary.withColumn("length", F.length("phrase"))

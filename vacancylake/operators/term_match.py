@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 from vacancylake.functions.arrays import constant, let, tagged
 from vacancylake.functions.spotting import LABELS, token_forms
 from vacancylake.functions.text import match_form
+from vacancylake.operators.phrases import phrases
 from vacancylake.schemas import MATCH, STRINGS
-from vacancylake.session import broadcast_if_small
+from vacancylake.session import within
 from vacancylake.sources.vocabulary import DICTIONARIES, Term, flatten
 
 EXACT_SCORE = 1.0
@@ -262,28 +263,27 @@ def match_by_join(
 ) -> DataFrame:
     """``long_matches`` for a dictionary given as a table of ``schemas.TERM`` rows.
 
-    The dictionary is broadcast when its checked size allows.  A larger one is joined by
-    shuffle with the texts' words salted, so that a frequent word is spread over ``SALTS``
-    tasks.  Only the few matches are grouped afterwards, never the texts.
+    The dictionary is broadcast when its checked size allows: words of the texts meet the first
+    words of the forms, and the whole form is looked up in the text at hand.  A larger one is
+    joined by shuffle on whole phrases, which carry no text along, with a salt from the text's
+    key, so that a frequent phrase is spread over ``SALTS`` tasks.  Only matches are grouped.
     """
-    forms = (
-        terms.withColumn("form", match_form(F.col("alias")))
-        .where("form != ''")
-        .withColumn("head", F.substring_index("form", " ", 1))
-    )
-    texts = df.select(key, match_form(F.col(text)).alias("t"))
-    words = texts.select(key, "t", F.explode(F.array_distinct(F.split("t", " "))).alias("head"))
-    forms, small = broadcast_if_small(forms, max_broadcast)
-    on = ["head"]
-    if not small:
-        words = words.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-        forms = forms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        on = ["head", "salt"]
-    hits = words.join(forms, on).where(
-        F.contains(
-            F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "form", F.lit(" "))
+    forms = terms.withColumn("form", match_form(F.col("alias"))).where("form != ''")
+    if within(forms, max_broadcast):
+        heads = forms.withColumn("head", F.substring_index("form", " ", 1))
+        texts = df.select(key, match_form(F.col(text)).alias("t"))
+        words = texts.select(key, "t", F.explode(F.array_distinct(F.split("t", " "))).alias("head"))
+        padded, needle = [F.concat(F.lit(" "), c, F.lit(" ")) for c in ("t", "form")]
+        hits = words.join(F.broadcast(heads), "head").where(F.contains(padded, needle))
+    else:
+        # One small number per distinct word count of the forms.
+        counts = forms.select(F.size(F.split("form", " ")).alias("n")).distinct().collect()
+        found = phrases(df, key, text, dict.fromkeys(sorted(r.n for r in counts)))
+        salted = found.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+        spread = forms.withColumnRenamed("form", "phrase").withColumn(
+            "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
         )
-    )
+        hits = salted.join(spread, ["phrase", "salt"])
     best = hits.groupBy(key, "dict", F.col("term").alias("keyword")).agg(
         F.min_by(
             F.struct("alias", "alias_pos", "category", "weight", "subcategory"),
