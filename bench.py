@@ -32,7 +32,7 @@ HEADLINES = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = local_session(cpus, shuffle_partitions=cpus)
+    spark = local_session(cpus, shuffle_partitions=4 * cpus)
     postings = QUERIES["count_per_source"](spark, sf_dir).groupBy().sum("n").first()[0]
     seconds = {}
     for name in HEADLINES:

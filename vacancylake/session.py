@@ -15,6 +15,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("vacancylake")
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
+        # Text work is bound by CPU: few bytes are no reason for few tasks.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionNum", shuffle_partitions)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
@@ -57,16 +59,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     return (F.broadcast(df) if small else df), small
 
 
+TASKS_PER_CORE = 4
+
+
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """A table scan with at least one task per core.
+    """A table scan with a few tasks per core.
 
-    Text work is bound by CPU, so a scan of few splits would leave cores idle.  Scans of large
-    tables already have more splits than cores and are returned as they are.
+    Text work is bound by CPU and texts differ in length, so a scan of few splits would leave
+    cores idle.  Scans of large tables already have more splits and are returned as they are.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
+    tasks = TASKS_PER_CORE * scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= tasks:
         return scan
-    return scan.repartition(cores, *keys)
+    return scan.repartition(tasks, *keys)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
