@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vacancylake.llm.packing import pack
+from vacancylake.llm.sharding import shard
 from vacancylake.llm.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +29,8 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 @query
 def op1_best_fit_packing(spark, sf_dir):
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+@query
+def op2_balanced_shards(spark, sf_dir):
+    return shard(read_table(spark, sf_dir, "documents"))
