@@ -3,18 +3,21 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from vacancylake.llm.packing import best_fit, pack
+from vacancylake.llm.packing import WordTokenizer, best_fit, pack
 from vacancylake.llm.registry import tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, bin long"
 
 
+TOKENIZER = Tokenizer.from_file(tokenizer_file())
+
+
 def plain_ids(text):
-    tokenizer = Tokenizer.from_file(tokenizer_file())
-    return tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def test_places_hold_the_ids(spark):
@@ -45,6 +48,22 @@ def test_places_hold_the_ids(spark):
     assert len(by_doc[None]) == 1
 
 
+def test_words_as_the_tokenizer_splits_them():
+    rng = random.Random(11)
+    signs = ["a", "B", "é", "W\u030a", "e\u0301", "'", "'s", "''", "n't", "'LL", "3", "42", ".", "),", "_", "\u2026", " ", "\n", "\u00a0", "\x0b",
+             "<", "|", "<|endoftext|>", "\u0130", "\u03a3", "\u1100\u1161", "\u6f22", "\x00", "\x1f", "\x85"]
+    texts = ["".join(rng.choice(signs[: 26 if n % 4 else len(signs)]) for _ in range(rng.randrange(30))) for n in range(3000)]
+    texts = [t if n % 4 == 0 else t.replace("<|", "< ") for n, t in enumerate(texts)]
+    for step in (1, 400):
+        coder = WordTokenizer(tokenizer_file(), max_words=700)
+        for at in range(0, 800 if step == 1 else 3000, step):
+            part = texts[at : at + step]
+            ids, bounds = coder.encode(pa.array([*part, None], pa.large_string()))
+            for n, text in enumerate(part):
+                assert ids[bounds[n] : bounds[n + 1]].tolist() == plain_ids(text)[:-1], text
+            assert bounds[-1] == bounds[-2]
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], SCHEMA), tokenizer_file()).collect() == []
 

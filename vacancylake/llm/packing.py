@@ -28,6 +28,12 @@ from vacancylake.llm.tables import stored
 SLICE_BYTES = 4 << 20
 END_ID = 1
 
+#: Of each byte: 0 whitespace or part of a longer sign, 1 ASCII letter, 2 other ASCII, 3 apostrophe.
+SIGN = np.zeros(256, dtype=np.uint8)
+SIGN[33:127] = 2
+SIGN[65:91] = SIGN[97:123] = 1
+SIGN[39] = 3
+
 PIECES = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, "
     "bin long, place long, fill long, part int, carried boolean"
@@ -38,18 +44,21 @@ MOVES = "bin long, target long, shift long, fill long, part int, carried boolean
 class WordTokenizer:
     """Token ids of texts by way of their words.
 
-    The vocabulary drops whitespace and never joins across it, so the ids of a text are those of
-    its words in order.  Words seen before are looked up; the table starts anew when it holds
-    ``max_words``.
+    The vocabulary lower-cases, drops whitespace and joins neither across it nor across the border of
+    a letter and another sign, so the ids of a text are those of such parts in order.  Parts seen
+    before are looked up; the table starts anew when it holds ``max_words``.
     """
 
-    def __init__(self, path: str, separator: str = "<|startoftext|>", max_words: int = 250_000):
+    def __init__(self, path: str, separator: str = "<|startoftext|>", max_words: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = separator
         self.separator_id = self.tokenizer.token_to_id(separator)
         self.max_words = max_words
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -59,46 +68,75 @@ class WordTokenizer:
         self.lengths = np.zeros(1 << 15, np.int64)
         self.used = 0
 
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word; many words go through the tokenizer at once, parted by a special token."""
-        plain = [w for w in words if self.separator not in w]
-        found: dict[str, np.ndarray] = {}
-        for at in range(0, len(plain), 512):
-            part = plain[at : at + 512]
-            text = f" {self.separator} ".join(part)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-            found.update(zip(part, np.split(ids, np.flatnonzero(ids == self.separator_id))))
-        out = []
-        for word in words:
-            ids = found.get(word)
-            if ids is None:
-                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=np.uint32)
-            elif len(ids) and ids[0] == self.separator_id:
-                ids = ids[1:]
-            out.append(ids)
-        return out
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, lengths)`` of the words, one after another.
+
+        Words of letters end in one token that says so; other parts go through the tokenizer
+        parted by a special token.
+        """
+        ids: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        for at in range(0, len(words), 1024):
+            part = words[at : at + 1024]
+            if all(map(str.isalpha, part)):
+                found = self._ids(" ".join(part))
+                ends = np.flatnonzero(self.ends_word[found]) + 1
+                if len(ends) == len(part) and ends[-1] == len(found):
+                    ids.append(found)
+                    lengths.append(np.diff(ends, prepend=0))
+                    continue
+            if any(self.separator in word for word in part):
+                each = [self._ids(word) for word in part]
+                ids.extend(each)
+                lengths.append(np.array([len(x) for x in each], dtype=np.int64))
+                continue
+            found = self._ids(f" {self.separator} ".join([*part, ""]).rstrip(" "))
+            between = found == self.separator_id
+            ids.append(found[~between])
+            lengths.append(np.diff(np.flatnonzero(between), prepend=-1) - 1)
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def _learn(self, words: list[str]) -> None:
-        encoded = self._encode(words)
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        have, need = len(self.places), int(lengths.sum())
+        words = sorted(words, key=str.isalpha)
+        ids, lengths = self._encode(words)
+        have, need = len(self.places), len(ids)
         while self.used + need > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         while have + len(words) > len(self.starts):
             self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
             self.lengths = np.concatenate((self.lengths, np.zeros_like(self.lengths)))
-        self.ids[self.used : self.used + need] = np.concatenate(encoded) if need else []
+        self.ids[self.used : self.used + need] = ids
         self.starts[have : have + len(words)] = self.used + np.cumsum(lengths) - lengths
         self.lengths[have : have + len(words)] = lengths
         self.used += need
         self.places.update(zip(words, range(have, have + len(words))))
 
+    @staticmethod
+    def _parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes, lower-cased where that is safe, and spans of the parts that words fall into."""
+        kind = SIGN[data]
+        follows = np.concatenate((data[1:], [32]))
+        lowered = np.where((data >= 65) & (data <= 90) & (follows < 128), data | 32, data).astype(np.uint8)
+        # 1 letter, 2 other sign, 3 apostrophe, which may join the letters after it
+        cut = ((kind[:-1] == 1) & (kind[1:] >= 2)) | ((kind[:-1] == 2) & (kind[1:] == 1))
+        cuts = np.flatnonzero(cut) + 1
+        begins, stops = np.zeros(len(data), dtype=bool), np.zeros(len(data) + 1, dtype=bool)
+        begins[starts] = begins[cuts] = True  # where texts touch, a border is there already
+        stops[ends] = stops[cuts] = True
+        return lowered, np.flatnonzero(begins), np.flatnonzero(stops)
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, bounds)``: row ``r`` of the text column has ``ids[bounds[r]:bounds[r + 1]]``."""
         data, offsets = text_bytes(column)
-        starts, ends, bounds = word_spans(data, offsets)
+        starts, ends, _ = word_spans(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        if not np.any((data[:-1] == 60) & (data[1:] == 124)):  # no "<|" that may begin a special token
+            data, starts, ends = self._parts(data, starts, ends)
+        bounds = np.searchsorted(starts, offsets)
         sizes = ends - starts
         letters = data[runs_expanded(starts, sizes)]
         places = np.concatenate(([0], np.cumsum(sizes)))

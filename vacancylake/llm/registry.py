@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vacancylake.llm.language import identify
 from vacancylake.llm.packing import pack
 from vacancylake.llm.sharding import shard
 from vacancylake.llm.tables import read_table
@@ -34,3 +35,8 @@ def op1_best_fit_packing(spark, sf_dir):
 @query
 def op2_balanced_shards(spark, sf_dir):
     return shard(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_language(spark, sf_dir):
+    return identify(read_table(spark, sf_dir, "documents"))
