@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vacancylake.llm import quality
 from vacancylake.llm.language import identify
 from vacancylake.llm.packing import pack
 from vacancylake.llm.sharding import shard
@@ -40,3 +41,9 @@ def op2_balanced_shards(spark, sf_dir):
 @query
 def op10_language(spark, sf_dir):
     return identify(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_quality(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
