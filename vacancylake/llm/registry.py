@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacancylake.llm import quality
+from vacancylake.llm import quality, substrings
 from vacancylake.llm.language import identify
 from vacancylake.llm.packing import pack
 from vacancylake.llm.sharding import shard
@@ -47,3 +47,8 @@ def op10_language(spark, sf_dir):
 def op7_quality(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+@query
+def op4_substring_dedup(spark, sf_dir):
+    return substrings.deduplicate(read_table(spark, sf_dir, "documents"))
