@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacancylake.llm import quality, substrings
+from vacancylake.llm import quality, substrings, suffixes
 from vacancylake.llm.language import identify
 from vacancylake.llm.packing import pack
 from vacancylake.llm.sharding import shard
@@ -52,3 +52,8 @@ def op7_quality(spark, sf_dir):
 @query
 def op4_substring_dedup(spark, sf_dir):
     return substrings.deduplicate(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_suffix_dedup(spark, sf_dir):
+    return suffixes.deduplicate(read_table(spark, sf_dir, "documents"))

@@ -166,7 +166,7 @@ def _shares_prefix(order: np.ndarray, depths: dict[int, np.ndarray], length: int
 def word_index(width: int):
     """Earliest document of each window of the segments of a shard."""
 
-    def index(segments: list[bytes], first_d: np.ndarray, first_start: np.ndarray):
+    def index(segments: list[bytes], routes: np.ndarray, first_d: np.ndarray, first_start: np.ndarray):
         column = pa.array([s + b" " for s in segments], pa.large_binary()).view(pa.large_string())
         offsets = np.frombuffer(column.buffers()[1], np.int64)
         data = np.frombuffer(column.buffers()[2], np.uint8)

@@ -44,8 +44,9 @@ SLICE_BYTES = 1 << 20
 BLOCK = 1 << 23
 LAST = (1 << 63) - 1
 
-#: ``(segments, segment ends, first documents, first starts) -> per window (document, start)``.
-Index = Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: ``(segments, anchors, first documents, first starts)``, in order of anchors, to the first document
+#: and start of each window of each segment, and the number of windows of each.
+Index = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 @dataclass(frozen=True)
@@ -215,7 +216,10 @@ def _indexed(index: Index):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["route", "segment"])
         firsts, starts, counts = index(
-            rows["segment"].tolist(), rows["first_d"].to_numpy(), rows["first_start"].to_numpy()
+            rows["segment"].tolist(),
+            rows["route"].to_numpy(),
+            rows["first_d"].to_numpy(),
+            rows["first_start"].to_numpy(),
         )
         cuts = np.cumsum(counts)[:-1]
         return pd.DataFrame(
@@ -336,11 +340,9 @@ def repeated_spans(docs: DataFrame, spec: Windows, index: Index) -> DataFrame:
         .unionByName(single.withColumn("deal", F.xxhash64("route", "segment")))
         .withColumns({"key_a": key_a, "key_b": key_b})
     )
-    # the largest place rules nothing out: a segment that occurs once needs no answer for itself
     different = stored(
         parts.groupBy("key_a", "key_b", "segment", "route", "deal").agg(
             F.min("d").alias("first_d"),
-            F.max("d").alias("last_d"),
             *([F.min(F.struct("d", "start")).alias("first")] if spec.within else []),
         ),
         "different",
