@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vacancylake.llm import quality, substrings, suffixes
+from vacancylake.llm.decontamination import leaks
 from vacancylake.llm.language import identify
 from vacancylake.llm.packing import pack
 from vacancylake.llm.sharding import shard
@@ -57,3 +58,8 @@ def op4_substring_dedup(spark, sf_dir):
 @query
 def op5_suffix_dedup(spark, sf_dir):
     return suffixes.deduplicate(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_decontamination(spark, sf_dir):
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
