@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vacancylake.llm import quality, substrings, suffixes
 from vacancylake.llm.decontamination import leaks
 from vacancylake.llm.language import identify
+from vacancylake.llm.ngram_join import linked_documents
 from vacancylake.llm.packing import pack
 from vacancylake.llm.sharding import shard
 from vacancylake.llm.tables import read_table
