@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vacancylake.llm import quality, substrings, suffixes
+from vacancylake.llm import fuzzy_lines, quality, substrings, suffixes
 from vacancylake.llm.decontamination import leaks
 from vacancylake.llm.language import identify
 from vacancylake.llm.ngram_join import linked_documents
@@ -64,3 +65,15 @@ def op5_suffix_dedup(spark, sf_dir):
 @query
 def op6_decontamination(spark, sf_dir):
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_ngram_join(spark, sf_dir):
+    return linked_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_line_dedup(spark, sf_dir):
+    kept = fuzzy_lines.deduplicate(read_table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(text, 256).alias("kept_sha256"))
