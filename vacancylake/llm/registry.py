@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancylake.llm import fuzzy_lines, quality, substrings, suffixes
+from vacancylake.llm import fuzzy_lines, language_model, quality, substrings, suffixes
 from vacancylake.llm.decontamination import leaks
 from vacancylake.llm.language import identify
 from vacancylake.llm.ngram_join import linked_documents
@@ -77,3 +77,8 @@ def op9_line_dedup(spark, sf_dir):
     kept = fuzzy_lines.deduplicate(read_table(spark, sf_dir, "documents"))
     text = F.coalesce("text", F.lit("")).cast("binary")
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(text, 256).alias("kept_sha256"))
+
+
+@query
+def op3_lm_score(spark, sf_dir):
+    return language_model.score(read_table(spark, sf_dir, "documents"))
