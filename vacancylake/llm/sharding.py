@@ -44,46 +44,42 @@ def _links(rows: DataFrame, more: DataFrame | None) -> DataFrame:
     return links.join(shared, "hub")
 
 
-def _round(labels: DataFrame, links: DataFrame, step: int, quota: float) -> DataFrame:
+def _round(labels: DataFrame, links: DataFrame, step: int, shards: int, quota: float) -> DataFrame:
     """Labels after one round of moves."""
-    counts = labels.groupBy("label").agg(F.count("*").alias("rows"))  # a row per shard
-    shut = counts.where(F.col("rows") >= quota).select(F.col("label").alias("to"))
+    rows = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    room = [quota - rows.get(j, 0) for j in range(shards)]
     at = links.join(labels, "row")
-    tally = at.groupBy("hub", "label").agg(F.count("*").alias("n"))
-    votes = tally.groupBy("hub").agg(
-        F.collect_list(F.struct(F.col("label").alias("to"), "n")).alias("votes")  # one for each shard at most
+    votes = (
+        at.groupBy("hub", "label")
+        .agg(F.count("*").alias("n"))
+        .groupBy("hub")
+        .agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("votes"))  # one for each shard at most
     )
-    towards = (
-        at.join(votes, "hub")
-        .select("row", "label", F.explode("votes").alias("vote"))
-        .groupBy("row", "label", F.col("vote.to").alias("to"))
-        .agg(F.sum("vote.n").alias("n"))
-    )
-    open_to = towards.join(F.broadcast(shut.withColumn("is_shut", F.lit(True))), "to", "left")
-    allowed = F.col("to") > F.col("label") if step % 2 else F.col("to") < F.col("label")
-    best = (
-        open_to.groupBy("row", "label")
-        .agg(
-            F.max(F.when(F.col("to") == F.col("label"), F.col("n"))).alias("here"),
-            F.max(
-                F.when(allowed & F.col("is_shut").isNull(), F.struct("n", (-F.col("to")).alias("minus")))
-            ).alias("there"),
+    asked = at.join(votes, "hub").groupBy("row", "label").agg(F.collect_list("votes").alias("ballots"))
+
+    def total(shard: Column) -> Column:
+        return F.aggregate(
+            "ballots", F.lit(0).cast("long"), lambda n, ballot: n + F.coalesce(F.try_element_at(ballot, shard), F.lit(0))
         )
-        .where("there.n >= here")  # the row itself is one of those here
-        .select("row", (-F.col("there.minus")).alias("to"))
+
+    upwards = bool(step % 2)
+    targets = F.array(*[F.lit(j) for j in range(shards) if room[j] > 0] or [F.lit(None).cast("int")])
+    allowed = F.filter(targets, lambda j: (j > F.col("label")) if upwards else (j < F.col("label")))
+    best = F.array_max(F.transform(allowed, lambda j: F.struct(total(j).alias("n"), (-j).alias("minus"))))
+    wishes = stored(
+        asked.select("row", "label", best.alias("best"), total(F.col("label")).alias("here"))
+        .where("best.n >= here and best.n > 0")  # the row itself is one of those here
+        .select("row", "label", (-F.col("best.minus")).alias("to")),
+        "wishes",
     )
-    wished = labels.join(best, "row", "left")
-    leaving = wished.groupBy("label").agg(F.count("to").alias("leaving"))
-    room = F.lit(quota) - F.col("rows") + F.col("leaving") / 2
-    admitted = (
-        wished.groupBy("to")
-        .agg(F.count("*").alias("asking"))
-        .join(counts.join(leaving, "label").withColumnRenamed("label", "to"), "to")
-        .select("to", (F.greatest(F.lit(0.0), room) / F.col("asking")).alias("part"))
+    flows = wishes.groupBy("label", "to").agg(F.count("*").alias("n")).collect()  # a row per pair of shards
+    for flow in flows:
+        room[flow["label"]] += flow["n"] / 2
+    part = [min(1.0, max(0.0, room[j]) / max(1, sum(f["n"] for f in flows if f["to"] == j))) for j in range(shards)]
+    admitted = _share("row", F.lit(step)) < F.array(*map(F.lit, part))[F.col("to")]
+    return labels.join(wishes.where(admitted).select("row", "to"), "row", "left").select(
+        "row", F.coalesce("to", "label").alias("label")
     )
-    chosen = wished.join(F.broadcast(admitted), "to", "left")
-    moves = F.col("to").isNotNull() & (_share("row", F.lit(step)) < F.col("part"))
-    return chosen.select("row", F.when(moves, F.col("to")).otherwise(F.col("label")).alias("label"))
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
@@ -120,7 +116,7 @@ def shard(
 
     The law is ``rows``: shards hold equally many rows, give or take one, and ``slot`` counts the
     rows of each from 0.  Documents of equal text are linked, and those that share a ``hub`` of
-    ``links`` (``doc_id, hub``).  The driver sees one count per shard.
+    ``links`` (``doc_id, hub``).  The driver sees one count per pair of shards.
 
     A null text has no bytes and no equal texts; empty texts equal each other.  Null and repeated
     ``doc_id`` are rows like others.  A vote that is tied goes to the lowest shard.  With fewer
@@ -143,7 +139,7 @@ def shard(
         linked.select("row").distinct().select("row", _bucket("row", shards).cast("int").alias("label")), "labels"
     )
     for step in range(rounds):
-        labels = stored(_round(labels, linked.select("row", "hub"), step, total / shards * (1 + slack)), "labels")
+        labels = stored(_round(labels, linked.select("row", "hub"), step, shards, total / shards * (1 + slack)), "labels")
     # the largest hub of a row says which rows keep their seats together
     main = linked.groupBy("row").agg(F.max(F.struct("members", "hub")).alias("main"))
     spread = F.when(F.col("main.members") > large_hub, F.col("row")).otherwise(F.col("main.hub"))
