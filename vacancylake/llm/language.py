@@ -154,24 +154,29 @@ def train(
 SCALE = 30.0
 
 
+def guesses(model: LanguageModel, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Language and probability of each text."""
+    grams, offsets, has_letter = _grams(column)
+    rows = len(column)
+    logits, total = np.zeros((rows, len(model.languages))), np.zeros(rows)
+    for buckets in grams:
+        total += row_sums(buckets < 1 << BITS, offsets)
+        for k, table in enumerate(model.tables):
+            logits[:, k] += row_sums(table[buckets], offsets)
+    logits = logits / np.maximum(total, 1)[:, None] + model.bias
+    known = has_letter & bool(model.languages)
+    names, score = np.full(rows, UNDETERMINED, dtype=object), np.zeros(rows)
+    if known.any():
+        chances = softmax(logits[known] / model.temperature)
+        names[known] = np.array(model.languages, dtype=object)[chances.argmax(axis=1)]
+        score[known] = chances.max(axis=1)
+    return names, score
+
+
 def _scorer(model: LanguageModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
-            grams, offsets, has_letter = _grams(batch.column(1))
-            logits = np.zeros((batch.num_rows, len(model.languages)))
-            total = np.zeros(batch.num_rows)
-            for buckets in grams:
-                total += row_sums(buckets < 1 << BITS, offsets)
-                for k, table in enumerate(model.tables):
-                    logits[:, k] += row_sums(table[buckets], offsets)
-            logits = logits / np.maximum(total, 1)[:, None] + model.bias
-            known = has_letter & bool(model.languages)
-            names = np.full(batch.num_rows, UNDETERMINED, dtype=object)
-            score = np.zeros(batch.num_rows)
-            if known.any():
-                chances = softmax(logits[known] / model.temperature)
-                names[known] = np.array(model.languages, dtype=object)[chances.argmax(axis=1)]
-                score[known] = chances.max(axis=1)
+            names, score = guesses(model, batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"]
             )
@@ -184,6 +189,19 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_scorer(model), "doc_id long, lang_pred string, score double")
 
 
+def in_languages(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is determined with a probability of ``least``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE_BYTES):
+            names, score = guesses(model, batch.column(at))
+            out = batch.filter(pa.array((names != UNDETERMINED) & (score >= least)))
+            yield out.set_column(at, "text", out.column(at).cast(pa.string()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learned_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` to learn from: three of four by the CRC-32 of the id."""
     return docs.where(bucket_of("doc_id", 4) != 2)
