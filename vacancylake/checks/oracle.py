@@ -454,7 +454,7 @@ FROM per_job JOIN r USING (job_id)""",
         "run_status": f"{p} SELECT CASE WHEN {LONG} THEN 'processed' ELSE 'skipped' END AS status, count(*) AS n"
         f" FROM postings WHERE {_DESCRIBED} GROUP BY 1",
         "run_summary": f"""{COUNTS}, sel AS (SELECT job_id FROM postings WHERE {_DESCRIBED} AND {_TOPCV_DONE})
-SELECT count(j.job_id) AS processed, count(*) - count(j.job_id) AS skipped,
+SELECT count(j.job_id) AS processed, count(*) - count(j.job_id) AS skipped, 0::BIGINT AS errors,
   count(*) FILTER (n_vietnamese_keywords > 0) AS vietnamese_detected,
   count(*) FILTER (n_seniority > 0) AS seniority_detected,
   count(*) FILTER (n_extended_technologies > 0) AS extended_tech_detected
@@ -485,8 +485,9 @@ WHERE source = 'linkedin' AND length({strip('description')}) >= 20 GROUP BY job_
         "success_rate": f"""{p}, s AS (SELECT coalesce(length({strip('description')}), 0) >= 20 AS ok FROM postings
   WHERE source = 'linkedin') SELECT count(*) FILTER (ok) AS updated, count(*) AS selected,
   count(*) FILTER (ok) * 100.0::DOUBLE / count(*) AS success_rate FROM s""",
-        "overview": f"""{COUNTS}, o AS (SELECT (SELECT count(*) FROM postings WHERE source = 'linkedin') AS total_jobs,
-  count(*) AS processed, count(*) FILTER (n_vietnamese_keywords > 0) AS with_keywords FROM per_job)
+        "overview": f"""{COUNTS}, o AS (SELECT count(*) AS total_jobs, count(j.job_id) AS processed,
+  count(*) FILTER (n_vietnamese_keywords > 0) AS with_keywords
+  FROM postings LEFT JOIN per_job j USING (job_id) WHERE source = 'linkedin')
 SELECT *, processed * 100.0::DOUBLE / total_jobs AS coverage,
   with_keywords * 100.0::DOUBLE / processed AS detection_rate FROM o""",
         "seniority_distribution": f"""{ENRICHED} SELECT keyword, count(*) AS n, count(*) * 100.0::DOUBLE /

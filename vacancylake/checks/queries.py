@@ -135,10 +135,10 @@ def not_yet_processed(spark, sf_dir):
 
 @query
 def not_yet_processed_by_shuffle(spark, sf_dir):
-    """The same through the salted join that large key sets take."""
+    """The same through the shuffle that large key sets take."""
     postings = jobs(spark, sf_dir).where(text.has_text(F.col("description"))).select("job_id", "url")
     done = source.known_urls(processed_before(jobs(spark, sf_dir)))
-    return filter_members(postings, done, "url", keep=False, max_broadcast=0)
+    return filter_members(postings, done, "url", keep=False, hint="merge")
 
 
 def _wanted(spark, sf_dir):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vacancylake.functions.text import has_text, longer_than, preview
-from vacancylake.operators.joins import filter_members, lookup, update_by_key
+from vacancylake.operators.joins import filter_members, first_by_key, lookup
 from vacancylake.operators.term_match import TermIndex
 from vacancylake.plans.enrich import (
     DONE,
@@ -15,10 +18,9 @@ from vacancylake.plans.enrich import (
     MIN_DESCRIPTION,
     enrich,
 )
-from vacancylake.plans.reports import done, run_summary
-from vacancylake.session import materialize
+from vacancylake.plans.reports import RUN_SUMMARY, done, run_counts, run_summary
 from vacancylake.sources.postings import known_urls
-from vacancylake.sources.store import read_current, write_part
+from vacancylake.sources.store import read_current, update_rows, write_part
 
 
 def select_pending(
@@ -28,7 +30,7 @@ def select_pending(
     pending = postings.where(has_text(F.col("description")))
     if processed is not None:
         pending = filter_members(pending, known_urls(processed), "url", keep=False)
-    return pending.orderBy("job_id").limit(limit) if limit else pending
+    return first_by_key(pending, "job_id", limit) if limit else pending
 
 
 def status(min_length: int = MIN_DESCRIPTION) -> Column:
@@ -47,38 +49,76 @@ def run(
     return selected.where(done()), run_summary(selected)
 
 
+def _counted_write(spark: SparkSession, selected: DataFrame, write) -> DataFrame:
+    """``write`` the processed rows of ``selected`` and return the summary of the run.
+
+    The counts are taken while the rows are written, so nothing is computed or stored twice.
+    """
+    seen = Observation(f"run-{uuid.uuid4().hex}")
+    started = datetime.now(timezone.utc)
+    write(selected.observe(seen, *[c.alias(n) for n, c in run_counts().items()]).where(done()))
+    ended = datetime.now(timezone.utc)
+    counts = seen.get
+    seconds = (ended - started).total_seconds()
+    processed = counts["processed"]
+    row = {
+        **{n: counts[n] for n in run_counts()},
+        "started_at": started,
+        "ended_at": ended,
+        "total_seconds": seconds,
+        "avg_seconds": seconds / processed if processed else None,
+    }
+    return spark.createDataFrame([row], RUN_SUMMARY)
+
+
 def process_all(
-    spark: SparkSession, postings: DataFrame, root: str, limit: int | None = None
+    spark: SparkSession, postings: DataFrame, root: str, limit: int | None = None, **options
 ) -> DataFrame:
     """Enrich what the store at ``root`` lacks, add it there, return the summary.
 
     Postings stored under their id are done too, which tells those without url.  The cost is
-    that of the new postings; what is stored is read for its keys only.
+    that of the new postings; what is stored is read for its keys only.  ``options`` go to
+    ``enrich``.
     """
     stored = read_current(spark, root)
     pending = select_pending(postings, stored)
     if stored is not None:
         pending = filter_members(pending, stored, "job_id", keep=False)
     if limit:
-        pending = pending.orderBy("job_id").limit(limit)
-    # Written once, so that neither the store nor the summary computes it again.
-    written = materialize(enrich(pending, keep_short=True), "run")
-    write_part(written.where(done()), root)
-    return run_summary(written)
+        pending = first_by_key(pending, "job_id", limit)
+    selected = enrich(pending, keep_short=True, **options)
+    return _counted_write(spark, selected, lambda rows: write_part(rows, root))
 
 
-def reprocess(spark: SparkSession, changed: DataFrame, root: str) -> DataFrame:
-    """Enrich postings again and set them in the store by id; rewrites the table."""
-    fresh = materialize(enrich(changed), "run")
-    stored = read_current(spark, root)
-    write_part(fresh if stored is None else merge(stored, fresh), root, replace=True)
-    return run_summary(fresh)
+def reprocess(spark: SparkSession, changed: DataFrame, root: str, **options) -> DataFrame:
+    """Enrich postings again and set them in the store by id; rewrites the buckets they fall into."""
+    fresh = enrich(changed, keep_short=True, **options)
+
+    def write(rows: DataFrame) -> None:
+        update_rows(spark, root, changed, lambda stored: rows if stored is None else merge(stored, rows))
+
+    return _counted_write(spark, fresh, write)
 
 
 def merge(stored: DataFrame, fresh: DataFrame, key: str = "job_id") -> DataFrame:
-    """Stored rows with fresh columns set, then the fresh rows the store lacks."""
-    updated = update_by_key(stored, fresh, key)
-    return updated.unionByName(filter_members(fresh, stored, key, keep=False, row_id=key))
+    """Stored rows with fresh columns set, then the fresh rows the store lacks; one row per key.
+
+    Both come from one outer join, so the fresh rows are computed once.
+    """
+    columns = [*stored.columns, *[c for c in fresh.columns if c not in stored.columns]]
+    one = fresh.groupBy(key).agg(F.max_by(F.struct(*fresh.columns), F.to_json(F.struct(*fresh.columns))).alias("_f"))
+    both = stored.withColumn("_s", F.lit(True)).join(one, key, "full_outer")
+    has = F.col("_f").isNotNull()
+
+    def value(column: str) -> Column:
+        if column == key:
+            return F.col(key)
+        if column not in fresh.columns:
+            return F.col(column)
+        old = F.col(column) if column in stored.columns else F.lit(None)
+        return F.when(has, F.col(f"_f.{column}")).otherwise(old).alias(column)
+
+    return both.select(*[value(c) for c in columns])
 
 
 def process_urls(postings: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +148,7 @@ def quick_sample(postings: DataFrame, source: str = "linkedin", limit: int = 3)
     """
     postings = postings.where(F.col("source") == source)
     if DONE not in postings.columns:
-        chosen = postings.orderBy("job_id").limit(limit)
+        chosen = first_by_key(postings, "job_id", limit)
         return _shown(enrich(chosen, min_length=2, keep_short=True), F.lit(False))
     # Unprocessed first; processed rows only count when there are no unprocessed ones.
     first = postings.orderBy(done(), "job_id").limit(limit)

@@ -50,10 +50,11 @@ def _ranked(counts: DataFrame, limit: int | None, *keys: str) -> DataFrame:
     return ordered.limit(limit) if limit else ordered
 
 
-def overview(jobs: DataFrame, source: str = "linkedin") -> DataFrame:
-    """Totals, coverage and detection rate."""
+def overview(jobs: DataFrame, source: str | None = "linkedin") -> DataFrame:
+    """Totals, coverage and detection rate of one site, or of all; every count is over the same rows."""
+    jobs = jobs if source is None else jobs.where(F.col("source") == source)
     counted = jobs.agg(
-        F.count_if(F.col("source") == source).alias("total_jobs"),
+        F.count("*").alias("total_jobs"),
         F.count_if(done()).alias("processed"),
         F.count_if(non_empty(F.col(VIETNAMESE))).alias("with_keywords"),
     )
@@ -98,18 +99,21 @@ def category_mentions(
 
 def category_keyword_mentions(jobs: DataFrame, array: str = VIETNAMESE) -> DataFrame:
     """Mentions per group and keyword, in group order."""
-    x = _members(jobs, array)
+    return _keyword_counts(jobs, array).orderBy("category", "keyword")
+
+
+def _keyword_counts(jobs: DataFrame, array: str) -> DataFrame:
     return _counts(
-        x,
+        _members(jobs, array),
         F.coalesce("x.category", F.lit(UNKNOWN)).alias("category"),
         F.coalesce("x.keyword", F.lit(UNKNOWN)).alias("keyword"),
-    ).orderBy("category", "keyword")
+    )
 
 
 def top_keywords_per_category(jobs: DataFrame, array: str = VIETNAMESE, limit: int = 3) -> DataFrame:
     """Most mentioned keywords of each group; ranks counts, of which there is one per keyword."""
     rank = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("n"), "keyword"))
-    ranked = category_keyword_mentions(jobs, array).withColumn("rank", rank)
+    ranked = _keyword_counts(jobs, array).withColumn("rank", rank)
     return ranked.where(F.col("rank") <= limit)
 
 
@@ -204,22 +208,31 @@ def detection_rates(jobs: DataFrame) -> DataFrame:
     )
 
 
+RUN_SUMMARY = (
+    "processed long, skipped long, errors long, vietnamese_detected long, seniority_detected long, "
+    "extended_tech_detected long, started_at timestamp, ended_at timestamp, total_seconds double, avg_seconds double"
+)
+
+
+def run_counts() -> dict[str, Column]:
+    """Aggregates over the rows a run selected: outcomes, and detections among the processed.
+
+    An error is a posting that was done and has nothing to show for it.
+    """
+    failed = done() & (F.col("description_cleaned").isNull() | F.col("extracted").isNull())
+    return {
+        "processed": F.count_if(done()),
+        "skipped": F.count_if(~done()),
+        "errors": F.count_if(failed),
+        "vietnamese_detected": F.count_if(non_empty(F.col(VIETNAMESE))),
+        "seniority_detected": F.count_if(non_empty(F.col(SENIORITY))),
+        "extended_tech_detected": F.count_if(non_empty(F.col(EXTENDED))),
+    }
+
+
 def run_summary(jobs: DataFrame) -> DataFrame:
-    """What a run over these postings did: rows processed and skipped, and detections."""
-    counted = jobs.agg(
-        F.count("*").alias("selected"),
-        F.count_if(done()).alias("processed"),
-        F.count_if(non_empty(F.col(VIETNAMESE))).alias("vietnamese_detected"),
-        F.count_if(non_empty(F.col(SENIORITY))).alias("seniority_detected"),
-        F.count_if(non_empty(F.col(EXTENDED))).alias("extended_tech_detected"),
-    )
-    return counted.select(
-        "processed",
-        (F.col("selected") - F.col("processed")).alias("skipped"),
-        "vietnamese_detected",
-        "seniority_detected",
-        "extended_tech_detected",
-    )
+    """What a run over these postings did: rows processed, skipped and failed, and detections."""
+    return jobs.agg(*[c.alias(n) for n, c in run_counts().items()])
 
 
 def success_rate(jobs: DataFrame) -> DataFrame:

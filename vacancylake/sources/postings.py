@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacancylake.functions.text import has_text
+from vacancylake.operators.joins import first_by_key
 from vacancylake.schemas import POSTING
 from vacancylake.session import spread
 
@@ -92,7 +93,7 @@ def get_postings(
     """Postings of one source, or the first ``limit`` of them by key."""
     if source:
         postings = postings.where(F.col("source") == source)
-    return postings.orderBy(key).limit(limit) if limit else postings
+    return first_by_key(postings, key, limit) if limit else postings
 
 
 def count_postings(postings: DataFrame, source: str | None = None) -> DataFrame:
