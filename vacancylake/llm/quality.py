@@ -243,19 +243,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, calibrati
         .mapInArrow(
             _features, "share double, quality int, toxic int, buckets binary, counts binary, present binary"
         )
-        .collect()
+        .toArrow()
     )
-    sample.sort(key=lambda r: (r["share"], r["buckets"], r["quality"], r["toxic"]))
-    sample = [r for r in sample if r["present"] or r["buckets"]]
-    aside = np.array([r["share"] >= 1 - calibration_part for r in sample], dtype=bool)
+    rows = [r for r in zip(*(sample.column(c).to_pylist() for c in ("share", "buckets", "quality", "toxic", "counts", "present")))]
+    del sample
+    rows = sorted(r for r in rows if r[1] or r[5])
+    aside = np.array([r[0] >= 1 - calibration_part for r in rows], dtype=bool)
+    good = np.array([r[2] == 1 for r in rows], dtype=bool)
+    toxic = np.array([r[3] == 1 for r in rows], dtype=bool)
     shares, presence = [], []
-    for r in sample:
-        index, counts = np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.int32)
-        shares.append((index, counts / max(counts.sum(), 1) * SCALE))
-        index = np.frombuffer(r["present"], np.int32)
-        presence.append((index, np.ones(len(index))))
-    good = np.array([r["quality"] == 1 for r in sample], dtype=bool)
-    toxic = np.array([r["toxic"] == 1 for r in sample], dtype=bool)
+    for _, buckets, _, _, counts, present in rows:
+        counts = np.frombuffer(counts, np.int32)
+        shares.append((np.frombuffer(buckets, np.int32), (counts / max(counts.sum(), 1) * SCALE).astype(np.float32)))
+        index = np.frombuffer(present, np.int32)
+        presence.append((index, np.ones(len(index), dtype=np.float32)))
     if good.all() or not good.any():  # nothing to tell apart: every text counts as good
         empty = np.zeros((1 << BITS) + 1)
         quality = (empty, 10.0, (1.0, 0.0))
