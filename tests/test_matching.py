@@ -13,7 +13,9 @@ from vacancylake.operators.term_match import (
     seniority,
     top_matches,
 )
-from vacancylake.sources.dictionaries import builtin_terms, collect_terms, read_dictionary
+from vacancylake.plans.enrich import MATCH_FIELDS, enrich
+from vacancylake.sources.dictionaries import builtin_terms, collect_terms, read_dictionary, surface_forms
+from vacancylake.sources.postings import from_records
 from vacancylake.sources.vocabulary import COMPACT_DICTIONARIES, DICTIONARIES, Term, flatten
 
 FIELDS = ["keyword", "matched_text", "score", "match_type", "category", "weight", "subcategory"]
@@ -52,12 +54,12 @@ def test_index_and_joins_agree_with_plain_search(spark, rows, texts):
     wanted = {(i, *m) for i, t in enumerate(texts) for m in brute_force(t or "", terms)}
     assert keyed(long_matches(rows, "id", "t", TermIndex(terms))) == wanted
     assert keyed(match_by_join(rows, "id", "t", builtin_terms(spark))) == wanted
-    assert keyed(match_by_join(rows, "id", "t", builtin_terms(spark), max_broadcast=0)) == wanted
+    assert keyed(match_by_join(rows, "id", "t", builtin_terms(spark), whole_phrases=True)) == wanted
 
 
 def test_one_text_may_hold_a_third_of_all_rows(spark):
     hot = spark.range(600).select("id", F.lit("python and machine learning on aws").alias("t"))
-    got = match_by_join(hot, "id", "t", builtin_terms(spark), max_broadcast=0)
+    got = match_by_join(hot, "id", "t", builtin_terms(spark), whole_phrases=True)
     assert got.where("dict = 'skills'").count() == 1200
 
 
@@ -100,14 +102,12 @@ def test_dictionary_files(spark, tmp_path):
         '{"tools": {"ant": {"category": "build", "weight": 2.0, "aliases": ["apache ant"]}, "bee": {}},'
         ' "cat": {"category": "flat", "weight": 0.5, "aliases": ["kitty"]}}', encoding="utf-8"
     )
-    terms = collect_terms(read_dictionary(spark, str(path), "mine"), 10)
+    terms = collect_terms(read_dictionary(spark, str(path), "mine"))
     assert {(t.category, t.term, t.alias, t.alias_pos, t.weight, t.subcategory) for t in terms} == {
         ("tools", "ant", "ant", 0, 2.0, "build"), ("tools", "ant", "apache ant", 1, 2.0, "build"),
         ("tools", "bee", "bee", 0, 1.0, ""), ("mine", "cat", "cat", 0, 0.5, "flat"),
         ("mine", "cat", "kitty", 1, 0.5, "flat"),
     }
-    with pytest.raises(ValueError):
-        collect_terms(read_dictionary(spark, str(path), "mine"), 2)
     df = spark.createDataFrame([(1, "Apache Ant and kitty")], "id long, t string")
     assert {r.keyword for r in long_matches(df, "id", "t", TermIndex(terms)).collect()} == {"ant", "cat"}
 
@@ -134,17 +134,16 @@ def common(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("max_broadcast", [1000, 0])
-def test_fuzzy_agrees_with_every_pair(spark, max_broadcast):
+def test_fuzzy_agrees_with_every_pair(spark):
     terms = [t for t in flatten(DICTIONARIES) if t.dict in ("skills", "industry_terms")]
-    texts = ["javascrpt and pythn", "machin learning enginer", "tensor flow; tenserflow", "product manger", "postgresq", ""]
+    texts = ["javascrpt and pythn", "machin learning enginer", "tensor flow; tenserflow", "product manger", "postgresq", "", "reactt, scalla; sq", "x" * 70 + " gow"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     wanted = {}
     for i, text in enumerate(texts):
         words = plain_form(text).split()
         for t in terms:
             form = plain_form(t.alias)
-            if t.alias_pos or len(form) < 6:
+            if t.alias_pos:
                 continue
             n = len(form.split())
             for at in range(len(words) - n + 1):
@@ -153,7 +152,7 @@ def test_fuzzy_agrees_with_every_pair(spark, max_broadcast):
                 if score >= 0.8:
                     key = (i, t.dict, t.term)
                     wanted[key] = max(score, wanted.get(key, 0))
-    got = fuzzy_matches(df, "id", "t", terms, max_broadcast=max_broadcast).collect()
+    got = fuzzy_matches(df, "id", "t", terms).collect()
     assert {(r.id, r.dict, r.keyword): r.score for r in got} == pytest.approx(wanted)
     assert wanted
 
@@ -166,3 +165,35 @@ def test_fuzzy_only_fills_gaps(spark):
     assert {(r.keyword, r.match_type) for r in both} == {("javascript", "exact"), ("kotlin", "fuzzy")}
     with pytest.raises(ValueError):
         fuzzy_matches(df, "id", "t", terms, scorer="other")
+
+
+@pytest.mark.parametrize("fuzzy", [False, True])
+def test_enrichment_with_a_dictionary_of_any_size(spark, fuzzy, monkeypatch):
+    """The plan for small dictionaries and the one for large ones give equal matches."""
+    terms = builtin_terms(spark)
+    texts = [
+        "Senior engineer with Python, javascript and machine learning, tiếng anh", "reactt and kubernets, deep lerning team lead " * 3,
+        None, "", "short", "thực tập, bảo hiểm, fresher level with 5+ years of experience in C++ and Node.js",
+    ]
+    postings = from_records(spark, [{"job_id": i, "title": "t", "description": t} for i, t in enumerate(texts)])
+
+    def shown():
+        e = enrich(postings, terms=terms, fuzzy=fuzzy, min_length=2, keep_short=True)
+        rows = e.select("job_id", "extracted.*", "processing.confidence_scores.*").collect()
+        lists = [f for f in [*MATCH_FIELDS.values(), "seniority_levels"]]
+        return {r.job_id: ({f: sorted(map(str, r[f] or [])) for f in lists}, r.total_matches, r.keyword_confidence) for r in rows}
+
+    small = shown()
+    monkeypatch.setattr(TermIndex, "holds", classmethod(lambda cls, terms: False))
+    large = shown()
+    assert small == large
+    kinds = {m.split("match_type=")[1].split(",")[0] for row in small.values() for found in row[0].values() for m in found}
+    assert ("'fuzzy'" in kinds) == fuzzy
+
+
+def test_user_dictionary_fields(spark):
+    entries = spark.createDataFrame([("tools", "hammer", '{"aliases": ["mallet"]}')], "category string, term string, body string")
+    df = from_records(spark, [{"job_id": 1, "title": "t", "description": "a mallet and a hamer " * 5}])
+    e = enrich(df, terms=surface_forms(entries, "mine"), fuzzy=True).first()
+    assert [(m.keyword, m.match_type) for m in e.extracted.matched_mine] == [("hammer", "alias")]
+    assert e.extracted.matched_skills == [] and e.extraction_stats.total_matches == 0

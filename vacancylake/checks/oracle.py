@@ -8,7 +8,7 @@ boundaries) run on text whose other letters are masked by an underscore.
 from __future__ import annotations
 
 from vacancylake.functions import cards, spotting, text
-from vacancylake.operators.fuzzy import MIN_TERM_LENGTH, THRESHOLD
+from vacancylake.operators.fuzzy import THRESHOLD
 from vacancylake.operators.term_match import SCORED
 from vacancylake.sources.postings import DERIVED_FROM, DERIVED_POSTINGS_SQL
 from vacancylake.sources.vocabulary import DICTIONARIES, flatten
@@ -150,7 +150,7 @@ SEN = f"{VN} AND category = 'seniority_levels'"
 EXT = "dict = 'extended_technologies'"
 PROCESSED_MATCHES = "(SELECT m.* FROM matches m JOIN ok USING (job_id))"
 
-# The patterns as the rules state them, each run on its own.
+# The patterns as the rules state them, each run on its own.
 _MONTH = (
     "January|February|March|April|May|June|July|August|September|October|November|December"
     "|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
@@ -278,20 +278,65 @@ _WINDOWS = " UNION ALL ".join(
     f" for i in range(1, len(w) - {n - 2})])) AS phrase FROM toks"
     for n in (1, 2, 3, 4)
 )
-_FUZZY = f"""{BASE}, {terms_cte()},
-toks AS (SELECT job_id, string_split({match_form('c')}, ' ') AS w FROM cleaned),
-windows AS MATERIALIZED ({_WINDOWS}),
-vocabulary AS (SELECT DISTINCT words, phrase FROM windows),
-targets AS (SELECT dict, term, form, len(string_split(form, ' ')) AS words FROM terms
-  WHERE alias_pos = 0 AND length(form) >= {MIN_TERM_LENGTH}),
-scored AS MATERIALIZED (SELECT v.words, phrase, dict, term,
-  1 - levenshtein(phrase, form)::DOUBLE / greatest(length(phrase), length(form)) AS score
-  FROM vocabulary v JOIN targets t ON v.words = t.words
-   AND least(length(phrase), length(form)) >= {THRESHOLD} * greatest(length(phrase), length(form)) - 1e-9),
-pairs AS (SELECT * FROM scored WHERE score >= {THRESHOLD})
-SELECT job_id, dict, term AS keyword, round(max(score), 9) AS score
-FROM windows JOIN pairs USING (words, phrase) GROUP BY ALL"""
+# Bits of the places where the common subsequence does not grow; phrases have under 62 letters.
+_PLACES = """list_transform(string_split(phrase, ''), lambda ch: list_sum(list_transform(range(length(form)),
+  lambda i: CASE WHEN substr(form, (i + 1)::INTEGER, 1) = ch THEN 1::BIGINT << i::INTEGER ELSE 0 END))::BIGINT)"""
+_OPEN = "((1::BIGINT << length(form)::INTEGER) - 1)"
+_COMMON = f"""length(form) - bit_count(list_reduce(list_prepend({_OPEN}, {_PLACES}),
+  lambda v, m: ((v + (v & m)) | (v & ~m)) & {_OPEN}))"""
+# This engine counts edits of bytes, so letters of two or three bytes become signs that no phrase holds.
+_LONG_LETTERS = "".join(
+    sorted({c for t in flatten(DICTIONARIES) for c in t.alias.lower() if c.isalpha() and ord(c) > 127}
+           | {chr(c) for c in range(0xDF, 0x100) if c != 0xF7})
+)
+_FREE_SIGNS = "".join(
+    c for c in map(chr, [*range(65, 91), *range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127), *range(1, 32)])
+    if c not in "+#'"
+)
+assert len(_LONG_LETTERS) <= len(_FREE_SIGNS)
+
+
+def one_byte(expr: str) -> str:
+    return f"translate({expr}, {q(_LONG_LETTERS)}, {q(_FREE_SIGNS[: len(_LONG_LETTERS)])})"
 
+
+_EDITS = f"levenshtein({one_byte('phrase')}, {one_byte('form')})"
+_SCORES = {
+    "levenshtein": f"1 - {_EDITS}::DOUBLE / greatest(length(phrase), length(form))",
+    "ratio": f"round(200.0::DOUBLE * ({_COMMON}) / (length(phrase) + length(form))) / 100.0",
+}
+
+
+def fuzzy_cte(scorer: str) -> str:
+    """``fuzzy``: best score of every term and text; edits never exceed insertions and deletions."""
+    cutoff = THRESHOLD - 0.005 if scorer == "ratio" else THRESHOLD
+    return f"""toks AS (SELECT job_id, string_split({match_form('c')}, ' ') AS w FROM cleaned),
+windows AS MATERIALIZED ({_WINDOWS}),
+vocabulary AS (SELECT DISTINCT words, phrase FROM windows WHERE phrase <> ''),
+targets AS (SELECT DISTINCT dict, term, category, subcategory, weight, form, len(string_split(form, ' ')) AS words
+  FROM terms WHERE alias_pos = 0 AND form <> ''),
+close AS MATERIALIZED (SELECT v.words, phrase, t.* EXCLUDE (words) FROM vocabulary v JOIN targets t ON v.words = t.words
+  AND CASE WHEN abs(length(phrase) - length(form)) <= (1 - {cutoff}) * (length(phrase) + length(form)) + 1e-9
+    THEN {_EDITS} <= (1 - {cutoff}) * (length(phrase) + length(form)) + 1e-9 ELSE FALSE END),
+pairs AS MATERIALIZED (SELECT *, {_SCORES[scorer]} AS score FROM close),
+fuzzy AS MATERIALIZED (SELECT job_id, dict, term AS keyword, category, subcategory, weight::DOUBLE AS weight, max(score) AS score
+  FROM windows JOIN pairs USING (words, phrase) WHERE score >= {THRESHOLD} GROUP BY ALL),
+spelt AS MATERIALIZED (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY f.job_id, dict, keyword ORDER BY category) AS rn
+  FROM fuzzy f ANTI JOIN matches m USING (job_id, dict, keyword)) WHERE rn = 1)"""
+
+
+_FUZZY = f"""{BASE}, {matches_cte()}, {fuzzy_cte("levenshtein")}
+SELECT job_id, dict, keyword, round(max(score), 9) AS score FROM fuzzy GROUP BY ALL"""
+_FUZZY_RATIO = f"""{BASE}, {matches_cte()}, {fuzzy_cte("ratio")}
+SELECT job_id, dict, keyword, matched_text, score, match_type, category, weight, subcategory FROM matches
+UNION ALL SELECT job_id, dict, keyword, keyword, score, 'fuzzy', category, weight, subcategory FROM spelt"""
+_FUZZY_COUNTS = f"""{BASE}, {matches_cte()}, {fuzzy_cte("ratio")},
+every AS (SELECT job_id, dict, keyword, score, category FROM matches UNION ALL SELECT job_id, dict, keyword, score, category FROM spelt)
+SELECT job_id, {", ".join(f"count(*) FILTER (dict = '{d}')::INTEGER AS {d}" for d in DICTIONARIES)},
+  coalesce(string_agg(dict || ':' || keyword || ':' || score, '|' ORDER BY dict || ':' || keyword || ':' || score), '') AS found
+FROM postings LEFT JOIN every USING (job_id) WHERE {LONG} GROUP BY job_id"""
+
+_PART_ALIASES = "[p_brand || ' ' || p_type, p_brand || ' size ' || p_size]"
 _URL_OF = "'https://jobs.example.org/view/' || CAST(c_custkey * 17 AS STRING)"
 _WANTED = f"wanted AS (SELECT DISTINCT {_URL_OF} AS url FROM customer)"
 _TOPCV_DONE = "(url IS NULL OR url NOT IN (SELECT url FROM postings WHERE source = 'topcv'))"
@@ -351,6 +396,24 @@ def _oracle() -> dict[str, str]:
         "dictionary_from_table": "SELECT 'parts' AS dict, p_type AS category, p_brand AS subcategory,"
         " p_name AS term, 1.0::DOUBLE AS weight, unnest([p_name, p_brand, p_type]) AS alias,"
         " unnest([0, 1, 2])::INTEGER AS alias_pos FROM part",
+        "dictionary_from_json": f"""WITH e AS (SELECT p_type, p_name, p_brand, {_PART_ALIASES} AS aliases FROM part),
+one AS (SELECT p_type, p_name, arg_max(e, '{{"category":"' || p_brand || '","aliases":["' || array_to_string(aliases, '","') || '"]}}') AS e
+  FROM e GROUP BY p_type, p_name),
+l AS (SELECT p_type, p_name, e.p_brand AS b, list_prepend(p_name, e.aliases) AS a FROM one)
+SELECT 'parts' AS dict, p_type AS category, b AS subcategory, p_name AS term, 1.0::DOUBLE AS weight,
+  unnest(a) AS alias, unnest(range(len(a)))::INTEGER AS alias_pos FROM l""",
+        "enriched_with_user_dictionary": f"""WITH {POSTINGS},
+named AS (SELECT job_id, description || ' Handles ' || p_name || ', ' || p_brand || ' ' || p_type || '.' AS description
+  FROM postings JOIN part ON job_id % (SELECT count(*) FROM part) + 1 = p_partkey),
+texts AS MATERIALIZED (SELECT job_id, ' ' || {match_form(clean('description'))} || ' ' AS t FROM named WHERE {LONG}),
+aliases AS (SELECT p_type AS category, p_name AS term, unnest(list_prepend(p_name, {_PART_ALIASES})) AS alias,
+  unnest([0, 1, 2])::INTEGER AS alias_pos FROM part),
+forms AS MATERIALIZED (SELECT *, {match_form('alias')} AS form FROM aliases),
+words AS (SELECT DISTINCT job_id, unnest(string_split(trim(t), ' ')) AS head FROM texts),
+hits AS (SELECT job_id, f.* FROM words JOIN forms f ON head = string_split(form, ' ')[1] JOIN texts USING (job_id)
+  WHERE contains(t, ' ' || form || ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY job_id, term ORDER BY alias_pos, category, alias) AS rn FROM hits)
+SELECT job_id, term || '|' || CASE alias_pos WHEN 0 THEN 'exact' ELSE 'alias' END || '|' || alias AS value FROM best WHERE rn = 1""",
         "clean_descriptions": f"{BASE} SELECT job_id, c FROM cleaned",
         "clean_pages": f"SELECT page_id, {clean('html')} AS c FROM pages",
         "clean_documents": f"SELECT doc_id, {clean('text')} AS c FROM documents",
@@ -413,6 +476,8 @@ SELECT job_id, score, rank::INTEGER AS rank FROM r WHERE rank < 10""",
         "matches_by_score": f"""{BASE}, {matches_cte()} SELECT job_id,
   (row_number() OVER (PARTITION BY job_id ORDER BY score DESC) - 1)::INTEGER AS at, score FROM matches WHERE {VN}""",
         "fuzzy_by_levenshtein": _FUZZY,
+        "fuzzy_by_ratio": _FUZZY_RATIO,
+        "enriched_with_fuzzy": _FUZZY_COUNTS,
         "cards_linkedin": _card("linkedin"),
         "cards_itviec": _card("itviec"),
         "cards_topcv": _card("topcv", salary="salary"),

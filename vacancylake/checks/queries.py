@@ -26,7 +26,7 @@ from vacancylake.operators.term_match import (
     top_matches,
 )
 from vacancylake.plans import process, reports
-from vacancylake.plans.enrich import DONE, enrich, extract, full_record, long_form
+from vacancylake.plans.enrich import DONE, MATCH_FIELDS, enrich, extract, full_record, long_form
 from vacancylake.plans.process import (
     backfill,
     process_all,
@@ -37,7 +37,7 @@ from vacancylake.plans.process import (
 )
 from vacancylake.session import shared_dir, spread
 from vacancylake.sources import postings as source
-from vacancylake.sources.dictionaries import builtin_terms, surface_forms
+from vacancylake.sources.dictionaries import builtin_terms, read_dictionary, surface_forms
 from vacancylake.sources.store import read_current
 from vacancylake.sources.vocabulary import DICTIONARIES, flatten
 from vacancylake.streaming.incremental import enrich_stream, read_arrivals
@@ -384,8 +384,8 @@ def dictionary_matches_by_join(spark, sf_dir):
 
 @query
 def dictionary_matches_by_shuffle(spark, sf_dir):
-    """With the dictionary treated as too large to broadcast."""
-    return match_by_join(cleaned(spark, sf_dir), "job_id", "c", builtin_terms(spark), max_broadcast=0)
+    """On whole phrases, as a dictionary too large to broadcast is matched."""
+    return match_by_join(cleaned(spark, sf_dir), "job_id", "c", builtin_terms(spark), whole_phrases=True)
 
 
 @query
@@ -421,7 +421,7 @@ def top_matches_per_job(spark, sf_dir):
 
 @query
 def matches_by_score(spark, sf_dir):
-    """Scores of the skill matches in the order they are listed."""
+    """The matches of one dictionary in the order they are listed."""
     m = cleaned(spark, sf_dir).select("job_id", index().match(F.col("c")).alias("m"))
     r = m.select("job_id", F.posexplode(F.concat(F.col("m.vietnamese_keywords"))).alias("at", "x"))
     return r.select("job_id", "at", "x.score")
@@ -440,6 +440,59 @@ def fuzzy_by_ratio(spark, sf_dir):
     return add_fuzzy(long_matches(c, "job_id", "c", index()), fuzzy, "job_id")
 
 
+@query
+def enriched_with_fuzzy(spark, sf_dir):
+    """Matches of every kind that enrichment finds when spelling may differ."""
+    e = enrich(jobs(spark, sf_dir), fuzzy=True)
+    lists = {d: F.col(f"extracted.{MATCH_FIELDS[d]}") for d in DICTIONARIES}
+
+    def named(dictionary: str, found: Column) -> Column:
+        return F.transform(found, lambda m: F.concat_ws(":", F.lit(dictionary), m["keyword"], m["score"].cast("string")))
+
+    return e.select(
+        "job_id",
+        *[F.size(c).alias(d) for d, c in lists.items()],
+        F.array_join(F.array_sort(F.concat(*[named(d, c) for d, c in lists.items()])), "|").alias("found"),
+    )
+
+
+def _part_entries(spark, sf_dir):
+    """Parts as a dictionary: names are terms, brand and type or brand and size aliases."""
+    parts = table(spark, sf_dir, "part")
+    aliases = F.array(F.concat_ws(" ", "p_brand", "p_type"), F.concat_ws(" ", "p_brand", F.lit("size"), F.col("p_size").cast("string")))
+    body = F.to_json(F.struct(F.col("p_brand").alias("category"), aliases.alias("aliases")))
+    return parts.select(F.col("p_type").alias("category"), F.col("p_name").alias("term"), body.alias("body"))
+
+
+def _with_parts(spark, sf_dir):
+    """Postings that name a part, and others by its brand and type."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    n = table(spark, sf_dir, "part").agg(F.count("*").alias("n"))
+    rows = jobs(spark, sf_dir).join(F.broadcast(n), F.lit(True))
+    named = rows.join(parts, F.col("job_id") % F.col("n") + 1 == F.col("p_partkey"))
+    text_ = F.concat(F.col("description"), F.lit(" Handles "), "p_name", F.lit(", "), "p_brand", F.lit(" "), "p_type", F.lit("."))
+    return named.select(*[c for c in rows.columns if c not in ("n", "description")], text_.alias("description"))
+
+
+@query
+def enriched_with_user_dictionary(spark, sf_dir):
+    """Enrichment with a dictionary of parts: beyond scale 0.01 over 5,000 surface forms."""
+    e = enrich(_with_parts(spark, sf_dir), terms=surface_forms(_part_entries(spark, sf_dir), "parts"))
+    return _long(e, F.transform("extracted.matched_parts", lambda m: F.concat_ws("|", m["keyword"], m["match_type"], m["matched_text"])))
+
+
+@query
+def dictionary_from_json(spark, sf_dir):
+    """The dictionary of parts, groups by type, written as a JSON file and read back."""
+    entries = _part_entries(spark, sf_dir).groupBy("category", "term").agg(F.max("body").alias("body"))
+    body = F.from_json("body", "category string, aliases array<string>")
+    groups = entries.groupBy("category").agg(F.map_from_entries(F.collect_list(F.struct("term", body))).alias("terms"))
+    whole = groups.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("category", "terms")))).alias("value"))
+    path = f"{shared_dir(spark)}/dictionary-{uuid.uuid4().hex}"
+    whole.coalesce(1).write.text(path)
+    return read_dictionary(spark, path, "parts")
+
+
 # --- cards
 
 

@@ -17,75 +17,75 @@ from vacancylake.functions.text import SPACE, strip
 SPOTTING_MODES = ("patterns", "substring")
 LABELS = ["skills", "roles", "technologies", "responsibilities", "qualifications"]
 
-# Token sequences per label, one tuple of alternatives per token.
-TOKEN_PATTERNS: dict[str, list[list[str]]] = {
+# Token sequences per label, one list of alternatives per token.
+TOKEN_PATTERNS: dict[str, list[list[list[str]]]] = {
     "skills": [
-        ["python|java|javascript|c++|c#|php|ruby|go|rust|swift"],
-        ["machine", "learning"],
-        ["data", "science"],
-        ["artificial", "intelligence"],
-        ["deep", "learning"],
-        ["natural", "language", "processing"],
-        ["computer", "vision"],
-        ["big", "data"],
-        ["data", "analysis"],
-        ["data", "visualization"],
-        ["problem", "solving"],
-        ["critical", "thinking"],
-        ["team", "work"],
-        ["communication", "skills"],
-        ["leadership"],
-        ["project", "management"],
-        ["time", "management"],
+        [["python", "java", "javascript", "c++", "c#", "php", "ruby", "go", "rust", "swift"]],
+        [["machine"], ["learning"]],
+        [["data"], ["science"]],
+        [["artificial"], ["intelligence"]],
+        [["deep"], ["learning"]],
+        [["natural"], ["language"], ["processing"]],
+        [["computer"], ["vision"]],
+        [["big"], ["data"]],
+        [["data"], ["analysis"]],
+        [["data"], ["visualization"]],
+        [["problem"], ["solving"]],
+        [["critical"], ["thinking"]],
+        [["team"], ["work"]],
+        [["communication"], ["skills"]],
+        [["leadership"]],
+        [["project"], ["management"]],
+        [["time"], ["management"]],
     ],
     "roles": [
-        ["developer|engineer|programmer|architect|analyst|scientist"],
-        ["software", "developer|engineer"],
-        ["data", "scientist|engineer|analyst"],
-        ["machine", "learning", "engineer"],
-        ["full", "stack", "developer"],
-        ["frontend", "developer"],
-        ["backend", "developer"],
-        ["devops", "engineer"],
-        ["product", "manager"],
-        ["project", "manager"],
-        ["tech", "lead"],
-        ["team", "lead"],
+        [["developer", "engineer", "programmer", "architect", "analyst", "scientist"]],
+        [["software"], ["developer", "engineer"]],
+        [["data"], ["scientist", "engineer", "analyst"]],
+        [["machine"], ["learning"], ["engineer"]],
+        [["full"], ["stack"], ["developer"]],
+        [["frontend"], ["developer"]],
+        [["backend"], ["developer"]],
+        [["devops"], ["engineer"]],
+        [["product"], ["manager"]],
+        [["project"], ["manager"]],
+        [["tech"], ["lead"]],
+        [["team"], ["lead"]],
     ],
     "technologies": [
-        ["react|angular|vue|django|flask|spring|laravel|express"],
-        ["react", "js"],
-        ["node", "js"],
-        ["vue", "js"],
-        ["mysql|postgresql|mongodb|redis|elasticsearch|cassandra"],
-        ["sql", "server"],
-        ["aws|azure|gcp|docker|kubernetes"],
-        ["amazon", "web", "services"],
-        ["google", "cloud", "platform"],
-        ["git|jenkins|jira|confluence|slack|tableau|powerbi"],
+        [["react", "angular", "vue", "django", "flask", "spring", "laravel", "express"]],
+        [["react"], ["js"]],
+        [["node"], ["js"]],
+        [["vue"], ["js"]],
+        [["mysql", "postgresql", "mongodb", "redis", "elasticsearch", "cassandra"]],
+        [["sql"], ["server"]],
+        [["aws", "azure", "gcp", "docker", "kubernetes"]],
+        [["amazon"], ["web"], ["services"]],
+        [["google"], ["cloud"], ["platform"]],
+        [["git", "jenkins", "jira", "confluence", "slack", "tableau", "powerbi"]],
     ],
     "responsibilities": [
-        ["develop|design|implement|maintain|create|build"],
-        ["work", "with"],
-        ["collaborate", "with"],
-        ["responsible", "for"],
-        ["manage"],
-        ["lead"],
-        ["coordinate"],
-        ["ensure"],
-        ["support"],
-        ["participate", "in"],
+        [["develop", "design", "implement", "maintain", "create", "build"]],
+        [["work"], ["with"]],
+        [["collaborate"], ["with"]],
+        [["responsible"], ["for"]],
+        [["manage"]],
+        [["lead"]],
+        [["coordinate"]],
+        [["ensure"]],
+        [["support"]],
+        [["participate"], ["in"]],
     ],
     "qualifications": [
-        ["bachelor", "degree"],
-        ["master", "degree"],
-        ["phd"],
-        ["years|year", "experience"],
-        ["experience", "in"],
-        ["knowledge", "of"],
-        ["familiar", "with"],
-        ["proficient", "in"],
-        ["expert", "in"],
+        [["bachelor"], ["degree"]],
+        [["master"], ["degree"]],
+        [["phd"]],
+        [["years", "year"], ["experience"]],
+        [["experience"], ["in"]],
+        [["knowledge"], ["of"]],
+        [["familiar"], ["with"]],
+        [["proficient"], ["in"]],
+        [["expert"], ["in"]],
     ],
 }
 
@@ -111,6 +111,7 @@ SKILL_CONTEXTS = [
     "experience with", "knowledge of", "proficient in", "skilled in", "expert in",
 ]
 NO_SKILL = ["and", "or", "the", "of", "in", "to", "for"]
+#: How many skills of a context count; the rest of the sentence is seldom a list.
 SKILLS_PER_CONTEXT = 3
 MIN_SKILL_LENGTH = 3
 
@@ -121,7 +122,7 @@ def token_forms(label: str) -> list[str]:
     for tokens in TOKEN_PATTERNS[label]:
         phrases = [""]
         for alternatives in tokens:
-            phrases = [f"{p} {a}".strip() for p in phrases for a in alternatives.split("|")]
+            phrases = [f"{p} {a}".strip() for p in phrases for a in alternatives]
         forms.extend(phrases)
     return forms
 
@@ -134,21 +135,21 @@ def substrings(text: Column, kind: str) -> Column:
     )
 
 
-def _skills_after(sentence: Column, context: str) -> Column:
+def _skills_after(sentence: Column, context: str, limit: int | None) -> Column:
     tail = F.regexp_extract(sentence, rf"(?U){context}[{SPACE}]+([^.]+)", 1)
     items = F.transform(F.split(tail, r"(?U)[,;]|\band\b"), strip)
     kept = F.filter(
         items, lambda i: (F.length(i) >= MIN_SKILL_LENGTH) & ~i.isin(NO_SKILL)
     )
-    return F.slice(kept, 1, SKILLS_PER_CONTEXT)
+    return kept if limit is None else F.slice(kept, 1, limit)
 
 
-def contextual_skills(text: Column) -> Column:
-    """Up to three phrases after each context, per sentence."""
+def contextual_skills(text: Column, limit: int | None = SKILLS_PER_CONTEXT) -> Column:
+    """Up to ``limit`` phrases after each context, per sentence; all of them where it is None."""
     lowered = F.lower(text)
     sentences = F.split(lowered, rf"(?U)(?<=[.!?])[{SPACE}]+")
     hits = F.flatten(
-        F.transform(sentences, lambda s: F.concat(*[_skills_after(s, c) for c in SKILL_CONTEXTS]))
+        F.transform(sentences, lambda s: F.concat(*[_skills_after(s, c, limit) for c in SKILL_CONTEXTS]))
     )
     gate = reduce(Column.__or__, [F.contains(lowered, F.lit(c)) for c in SKILL_CONTEXTS])
     return F.when(gate, hits).otherwise(empty_strings())

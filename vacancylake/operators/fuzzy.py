@@ -1,89 +1,126 @@
 """Fuzzy matching of dictionary terms against texts.
 
-Spelling is compared once per distinct word or phrase of the whole table, not per occurrence.
-Phrases meet only the terms of their own word count and of a length that can still reach the
-threshold, by an equality join on both, and a bounded edit distance discards nearly all of
-those before the exact score is computed.
+Spelling is compared once per distinct word or phrase of the whole table, not per occurrence.  A
+phrase meets the terms of its own word count and of a length that can still reach the threshold.
+Terms and phrases that differ in too many letters are told by one look at two bit masks, a bounded
+edit distance discards nearly all others, and the exact score is computed for the rest.  All of it
+are column expressions, and all terms take part, however short.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from vacancylake.functions.text import match_form
 from vacancylake.operators.phrases import phrases
-from vacancylake.operators.term_match import plain_form
-from vacancylake.session import broadcast_if_small, materialize
+from vacancylake.schemas import TERM
+from vacancylake.session import materialize
 from vacancylake.sources.vocabulary import Term
 
 THRESHOLD = 0.8
-MIN_TERM_LENGTH = 6
-MAX_BROADCAST_HITS = 1_000_000
-SALTS = 16
 SCORERS = ("ratio", "levenshtein")
+#: Longest phrase whose places fit in the bits of a long.
+MASK_BITS = 62
 
 
-@F.pandas_udf(T.DoubleType())
-def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Twice the common subsequence over both lengths, in whole percent."""
-
-    def score(a: str, b: str) -> float:
-        row = [0] * (len(b) + 1)
-        for x in a:
-            diagonal = 0
-            for j, y in enumerate(b, 1):
-                above = row[j]
-                row[j] = diagonal + 1 if x == y else max(above, row[j - 1])
-                diagonal = above
-        return round(100.0 * 2 * row[-1] / (len(a) + len(b))) / 100.0
-
-    return pd.Series([score(a, b) for a, b in zip(left, right)], dtype="float64")
+def _letters(text: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)))
 
 
-def _targets(
-    df: DataFrame, terms: Iterable[Term], threshold: float, min_length: int
-) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
-    """Term names long enough to be compared, once per phrase length they can match.
+def common_length(left: Column, right: Column) -> Column:
+    """Length of the longest common subsequence of two texts that are not empty.
 
-    Also, by word count, the shortest and longest phrase that can match any of them.
+    Up to ``MASK_BITS`` letters on the right, all places are updated at once: a bit stays set
+    where the common subsequence does not grow.  Longer texts go letter by letter.
     """
-    rows = []
-    for term in terms:
-        form = plain_form(term.alias)
-        if term.alias_pos == 0 and len(form) >= min_length:
-            shortest = math.ceil(len(form) * threshold / (2 - threshold))
-            longest = math.floor(len(form) * (2 - threshold) / threshold)
-            rows += [
-                (term.dict, term.term, term.category, term.subcategory, term.weight, form,
-                 form.count(" ") + 1, length)
-                for length in range(shortest, longest + 1)
-            ]
-    targets = df.sparkSession.createDataFrame(
-        rows,
-        "dict string, keyword string, category string, subcategory string, weight double,"
-        " form string, words int, length int",
+    size, letters = F.length(right), _letters(right)
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(size, F.lit(MASK_BITS))) - 1
+
+    def places(letter: Column) -> Column:
+        bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+        return F.aggregate(
+            F.sequence(F.lit(0), size - 1),
+            F.lit(0).cast("long"),
+            lambda mask, i: mask.bitwiseOR(F.when(F.get(letters, i) == letter, bit(i)).otherwise(F.lit(0).cast("long"))),
+        )
+
+    def grown(open_: Column, mask: Column) -> Column:
+        hit = open_.bitwiseAND(mask)
+        return (open_ + hit).bitwiseOR(open_.bitwiseAND(F.bitwise_not(mask))).bitwiseAND(full)
+
+    short = size - F.bit_count(F.aggregate(F.transform(_letters(left), places), full, grown))
+
+    def row(before: Column, letter: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), size),
+            F.array(F.lit(0)),
+            lambda done, j: F.concat(
+                done,
+                F.array(
+                    F.when(F.get(letters, j - 1) == letter, F.get(before, j - 1) + 1).otherwise(
+                        F.greatest(F.get(before, j), F.get(done, j - 1))
+                    )
+                ),
+            ),
+        )
+
+    nothing = F.array_repeat(F.lit(0), size + 1)
+    long = F.get(F.aggregate(_letters(left), nothing, row), size)
+    return F.when(size <= MASK_BITS, short).otherwise(long)
+
+
+def ratio(left: str, right: str) -> Column:
+    """Twice the common subsequence over both lengths, in whole percent."""
+    total = F.length(left) + F.length(right)
+    return F.round(F.lit(200.0) * common_length(F.col(left), F.col(right)) / total) / 100.0
+
+
+def _letter_mask(text: Column) -> Column:
+    """A bit for each letter that occurs, several letters sharing one."""
+    return F.aggregate(
+        _letters(text),
+        F.lit(0).cast("long"),
+        lambda mask, c: mask.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(61)))
+        ),
     )
-    lengths: dict[int, list[int]] = {}
-    for row in rows:
-        lengths.setdefault(row[6], []).append(row[7])
-    return targets, {n: (min(found), max(found)) for n, found in sorted(lengths.items())}
+
+
+def term_table(df: DataFrame, terms: DataFrame | Iterable[Term]) -> DataFrame:
+    """Terms given as rows of ``schemas.TERM`` or in a Python collection, as a table."""
+    return terms if isinstance(terms, DataFrame) else df.sparkSession.createDataFrame(list(terms), TERM)
+
+
+def _targets(terms: DataFrame, threshold: float) -> DataFrame:
+    """Term names, once per phrase length they can match."""
+    named = terms.where("alias_pos = 0").withColumn("form", match_form(F.col("alias"))).where("form != ''")
+    size = F.length("form")
+    shortest = F.ceil(size * threshold / (2 - threshold) - 1e-9).cast("int")
+    longest = F.floor(size * (2 - threshold) / threshold + 1e-9).cast("int")
+    return named.select(
+        "dict",
+        F.col("term").alias("keyword"),
+        "category",
+        "subcategory",
+        "weight",
+        "form",
+        _letter_mask(F.col("form")).alias("form_letters"),
+        F.size(F.split("form", " ")).alias("words"),
+        F.explode(F.sequence(shortest, longest)).alias("length"),
+    ).distinct()
 
 
 def fuzzy_matches(
     df: DataFrame,
     key: str,
     text: str,
-    terms: Iterable[Term],
+    terms: DataFrame | Iterable[Term],
     *,
     threshold: float = THRESHOLD,
     scorer: str = "ratio",
-    min_length: int = MIN_TERM_LENGTH,
-    max_broadcast: int = MAX_BROADCAST_HITS,
 ) -> DataFrame:
     """Best score of every term at or above the threshold in every text.
 
@@ -94,35 +131,37 @@ def fuzzy_matches(
         raise ValueError(f"scorer is one of {SCORERS}")
     # Scores are rounded to whole percent, so pairs half a percent below still reach it.
     cutoff = threshold - 0.005 if scorer == "ratio" else threshold
-    targets, lengths = _targets(df, terms, cutoff, min_length)
-    found = phrases(df, key, text, lengths)
+    targets = _targets(term_table(df, terms), cutoff)
+    # One small number per distinct word count of the term names.
+    counts = [r["words"] for r in targets.select("words").distinct().collect()]
+    forms = materialize(df.select(key, match_form(F.col(text)).alias("t")), "forms")
+    found = phrases(forms, key, "t", counts)
     vocabulary = found.select("words", "phrase").distinct()
+    # Every insertion or deletion changes one letter at most.
+    allowed = F.floor((1 - F.lit(cutoff)) * (F.col("length") + F.length("form")) + 1e-9).cast("int")
+    masks = F.bit_count(F.col("letters").bitwiseXOR(F.col("form_letters")))
+    most = allowed if scorer == "ratio" else allowed * 2
     near = (
-        vocabulary.withColumn("length", F.length("phrase"))
-        .join(F.broadcast(targets), ["words", "length"])
-        .withColumn("total", F.col("length") + F.length("form"))
-        .withColumn("limit", F.floor((1 - F.lit(cutoff)) * F.col("total") + 1e-9).cast("int"))
-        .where("abs(length - length(form)) <= limit")
+        vocabulary.where("phrase != ''")
+        .withColumns({"length": F.length("phrase"), "letters": _letter_mask(F.col("phrase"))})
+        .join(targets, ["words", "length"])
+        .where((F.abs(F.col("length") - F.length("form")) <= allowed) & (masks <= most))
         # Gives up beyond the limit, with -1.
-        .withColumn("distance", F.expr("levenshtein(phrase, form, limit)"))
+        .withColumn("distance", F.call_function("levenshtein", F.col("phrase"), F.col("form"), allowed))
         .where("distance >= 0")
     )
     if scorer == "ratio":
         scored = near.withColumn("score", ratio("phrase", "form"))
     else:
-        longer = F.greatest("length", F.length("form"))
-        scored = near.withColumn("score", 1 - F.col("distance") / longer)
-    hits = scored.where(F.col("score") >= threshold).select(
-        "words", "phrase", "dict", "keyword", "category", "subcategory", "weight", "score"
+        scored = near.withColumn("score", 1 - F.col("distance") / F.greatest("length", F.length("form")))
+    hits = materialize(
+        scored.where(F.col("score") >= threshold).select(
+            "words", "phrase", "dict", "keyword", "category", "subcategory", "weight", "score"
+        ),
+        "fuzzy-hits",
     )
-    hits, small = broadcast_if_small(materialize(hits, "fuzzy-hits"), max_broadcast)
-    on = ["words", "phrase"]
-    if not small:
-        found = found.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-        hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        on = [*on, "salt"]
     return (
-        found.join(hits, on)
+        found.join(hits, ["words", "phrase"])
         .groupBy(key, "dict", "keyword", "category", "subcategory", "weight")
         .agg(F.max("score").alias("score"))
     )

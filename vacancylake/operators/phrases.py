@@ -2,30 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Iterable
 
-from vacancylake.functions.text import match_form
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def phrases(
-    df: DataFrame, key: str, text: str, lengths: dict[int, tuple[int, int] | None]
-) -> DataFrame:
-    """``(key, words, phrase)`` for every run of as many words as ``lengths`` has keys for.
+def phrases(forms: DataFrame, key: str, form: str, counts: Iterable[int]) -> DataFrame:
+    """``(key, words, phrase)`` for every run of as many words as ``counts`` names.
 
-    A value gives the shortest and longest phrase wanted.  Words are picked by position, which
-    stays in generated code, where nested functions over arrays would not.
+    ``form`` went through ``functions.text.match_form``.  The runs of a text are one array until
+    they become rows, so a long text is not copied along with each of its words.
     """
-    words = df.select(key, F.split(match_form(F.col(text)), " ").alias("w"))
-    at = words.select(key, "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
-
-    def phrase(n: int, bounds: tuple[int, int] | None) -> Column:
-        joined = F.concat_ws(" ", *[F.get("w", F.col("i") + k) for k in range(n)])
-        fits = F.col("i") + n <= F.size("w")
-        if bounds:
-            fits = fits & F.length(joined).between(*bounds)
-        return F.when(fits, F.struct(F.lit(n).alias("words"), joined.alias("phrase")))
-
-    runs = F.array(*[phrase(n, bounds) for n, bounds in lengths.items()])
-    picked = at.select(key, F.explode(runs).alias("s")).where("s is not null")
-    return picked.select(key, "s.words", "s.phrase")
+    words = forms.select(key, F.split(F.col(form), " ").alias("w"))
+    numbers = F.array(*[F.lit(n) for n in sorted(counts)]).cast("array<int>")
+    places = F.transform(
+        F.filter(numbers, lambda n: n <= F.size("w")),
+        lambda n: F.transform(
+            F.sequence(F.lit(1), F.size("w") - n + 1),
+            lambda at: F.struct(n.alias("words"), F.array_join(F.slice("w", at, n), " ").alias("phrase")),
+        ),
+    )
+    return words.select(key, F.explode(F.flatten(places)).alias("s")).select(key, "s.words", "s.phrase")

@@ -5,7 +5,10 @@ Two plans give the same matches:
 * ``TermIndex`` holds a bounded dictionary as literals and matches inside the row.  Nothing
   is shuffled, so a long or often repeated text costs no more than its own scan.
 * ``match_by_join`` takes a dictionary of any size as a DataFrame: texts are exploded to
-  their distinct words and joined on the first word of each surface form.
+  their distinct words and joined on the first word of each surface form, or to phrases and
+  joined on whole forms.
+
+``plans.enrich`` chooses between them by the number of forms; the matches are the same.
 
 A surface form counts when it occurs as whole words after both sides went through
 ``functions.text.match_form``.  The term itself beats its aliases, an earlier alias a later.
@@ -25,7 +28,6 @@ from vacancylake.functions.spotting import LABELS, token_forms
 from vacancylake.functions.text import match_form
 from vacancylake.operators.phrases import phrases
 from vacancylake.schemas import MATCH, STRINGS
-from vacancylake.session import within
 from vacancylake.sources.vocabulary import DICTIONARIES, Term, flatten
 
 EXACT_SCORE = 1.0
@@ -36,8 +38,6 @@ SENIORITY_DICT = "vietnamese_keywords"
 SENIORITY_MARKS = ["level", "seniority"]
 
 MAX_INDEX_FORMS = 5_000
-MAX_BROADCAST_FORMS = 2_000_000
-SALTS = 32
 
 _MATCH_FIELDS = ["keyword", "matched_text", "score", "match_type", "category", "weight", "subcategory"]
 
@@ -162,6 +162,11 @@ class TermIndex:
             ),
         )
 
+    @classmethod
+    def holds(cls, terms: DataFrame) -> bool:
+        """The dictionary is small enough for a literal."""
+        return terms.limit(MAX_INDEX_FORMS + 1).count() <= MAX_INDEX_FORMS // 2
+
     def _group(self, found: Column, group: str) -> Column:
         return F.filter(found, lambda r: r["group"] == self.groups.get(group, -1))
 
@@ -259,31 +264,27 @@ def long_matches(df: DataFrame, key: str, text: str, index: TermIndex) -> DataFr
 
 
 def match_by_join(
-    df: DataFrame, key: str, text: str, terms: DataFrame, max_broadcast: int = MAX_BROADCAST_FORMS
+    df: DataFrame, key: str, text: str, terms: DataFrame, *, whole_phrases: bool = False
 ) -> DataFrame:
     """``long_matches`` for a dictionary given as a table of ``schemas.TERM`` rows.
 
-    The dictionary is broadcast when its checked size allows: words of the texts meet the first
-    words of the forms, and the whole form is looked up in the text at hand.  A larger one is
-    joined by shuffle on whole phrases, which carry no text along, with a salt from the text's
-    key, so that a frequent phrase is spread over ``SALTS`` tasks.  Only matches are grouped.
+    Words of the texts meet the first words of the forms, and the whole form is looked up in the
+    text at hand; the planner broadcasts a dictionary that is small in bytes.  With
+    ``whole_phrases`` the texts' phrases, which carry no text along, are joined instead: for
+    dictionaries too large to broadcast.  Only matches are grouped.
     """
     forms = terms.withColumn("form", match_form(F.col("alias"))).where("form != ''")
-    if within(forms, max_broadcast):
+    texts = df.select(key, match_form(F.col(text)).alias("t"))
+    if whole_phrases:
+        # One small number per distinct word count of the forms.
+        counts = forms.select(F.size(F.split("form", " ")).alias("n")).distinct().collect()
+        found = phrases(texts, key, "t", [r.n for r in counts])
+        hits = found.join(forms.withColumnRenamed("form", "phrase"), "phrase")
+    else:
         heads = forms.withColumn("head", F.substring_index("form", " ", 1))
-        texts = df.select(key, match_form(F.col(text)).alias("t"))
         words = texts.select(key, "t", F.explode(F.array_distinct(F.split("t", " "))).alias("head"))
         padded, needle = [F.concat(F.lit(" "), c, F.lit(" ")) for c in ("t", "form")]
-        hits = words.join(F.broadcast(heads), "head").where(F.contains(padded, needle))
-    else:
-        # One small number per distinct word count of the forms.
-        counts = forms.select(F.size(F.split("form", " ")).alias("n")).distinct().collect()
-        found = phrases(df, key, text, dict.fromkeys(sorted(r.n for r in counts)))
-        salted = found.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-        spread = forms.withColumnRenamed("form", "phrase").withColumn(
-            "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        )
-        hits = salted.join(spread, ["phrase", "salt"])
+        hits = words.join(heads, "head").where(F.contains(padded, needle))
     best = hits.groupBy(key, "dict", F.col("term").alias("keyword")).agg(
         F.min_by(
             F.struct("alias", "alias_pos", "category", "weight", "subcategory"),
@@ -302,3 +303,15 @@ def match_by_join(
         "b.weight",
         "b.subcategory",
     )
+
+
+def by_dictionary(rows: DataFrame, key: str) -> DataFrame:
+    """``(key, matches)``: the matches of each text as a map from dictionary to an array.
+
+    Best score first, then by group and keyword.
+    """
+    match = F.struct(*[F.col(f).cast(MATCH[f].dataType).alias(f) for f in _MATCH_FIELDS])
+    ordered = F.struct((-F.col("score")).alias("s"), "category", "keyword", match.alias("m"))
+    one = rows.groupBy(key, "dict").agg(F.sort_array(F.collect_list(ordered)).alias("o"))
+    entry = F.struct("dict", F.transform("o", lambda x: x["m"]).alias("found"))
+    return one.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("matches"))

@@ -1,7 +1,8 @@
 """From postings to enriched postings.
 
 Enrichment is one pass over the rows: cleaning, rules, spotting and matching are columns, so
-nothing is shuffled however long the texts or skewed the sources are.
+nothing is shuffled however long the texts or skewed the sources are.  Only a dictionary too large
+for a literal, and fuzzy matching, join.
 """
 
 from __future__ import annotations
@@ -10,16 +11,23 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vacancylake.functions import rules, spotting
 from vacancylake.functions.arrays import empty_strings, size0, tagged
 from vacancylake.functions.text import clean, longer_than
+from vacancylake.operators.fuzzy import add_fuzzy, fuzzy_matches
 from vacancylake.operators.term_match import (
     SCORED,
     SENIORITY_DICT,
     TermIndex,
+    by_dictionary,
     keyword_confidence,
+    match_by_join,
+    seniority,
 )
+from vacancylake.schemas import MATCH
+from vacancylake.sources.dictionaries import builtin_terms, collect_terms
 
 NLP_VERSION = "1.0"
 MIN_DESCRIPTION = 50
@@ -49,23 +57,82 @@ def _spotted(clean_text: Column, matched: Column, mode: str) -> dict[str, Column
     return found
 
 
+def _no_matches() -> Column:
+    return F.array().cast(T.ArrayType(MATCH))
+
+
+def _with_joined(
+    df: DataFrame, text: str, terms: DataFrame | None, fuzzy: bool, key: str, cleaning: dict
+) -> tuple[DataFrame, list[str]]:
+    """``df`` with the matches of a large dictionary and the fuzzy ones as maps, and its names.
+
+    Texts are told by ``key``; those without one get no such matches.
+    """
+    cleaned = df.where(F.col(key).isNotNull()).select(key, clean(F.col(text), **cleaning).alias("_c"))
+    cleaned = cleaned.dropDuplicates([key])
+    names: list[str] = []
+    if terms is not None:
+        names = sorted(r["dict"] for r in terms.select("dict").distinct().collect())
+        rows = match_by_join(cleaned, key, "_c", terms, whole_phrases=True)
+        df = df.join(by_dictionary(rows, key).withColumnRenamed("matches", "_by_join"), key, "left")
+    if fuzzy:
+        known = terms if terms is not None else builtin_terms(df.sparkSession)
+        rows = fuzzy_matches(cleaned, key, "_c", known)
+        none = rows.sparkSession.createDataFrame([], LONG_MATCH.format(rows.schema[key].dataType.simpleString(), key=key))
+        found = by_dictionary(add_fuzzy(none, rows, key), key)
+        df = df.join(found.withColumnRenamed("matches", "_by_spelling"), key, "left")
+    return df, names
+
+
+LONG_MATCH = (
+    "{key} {0}, dict string, keyword string, matched_text string, score double, match_type string, "
+    "category string, weight double, subcategory string"
+)
+
+
+def _completed(found: Column, spelt: Column) -> Column:
+    """Matches, and fuzzy ones of the terms that have none, best score first."""
+    known = F.transform(found, lambda m: m["keyword"])
+    new = F.filter(F.coalesce(spelt, _no_matches()), lambda m: ~F.array_contains(known, m["keyword"]))
+    placed = F.transform(
+        F.concat(found, new), lambda m, i: F.struct((-m["score"]).alias("s"), i.alias("i"), m.alias("m"))
+    )
+    return F.transform(F.array_sort(placed), lambda p: p["m"])
+
+
 def extract(
     df: DataFrame,
     text: str = "description",
     *,
     index: TermIndex | None = None,
+    terms: DataFrame | None = None,
+    fuzzy: bool = False,
     mode: str = "patterns",
     cleaning: dict | None = None,
     only: Column | None = None,
+    key: str = "job_id",
 ) -> DataFrame:
     """Add ``description_cleaned``, ``extracted`` and ``confidence_scores`` to every row.
 
+    The dictionary is the built-in one, an ``index``, or a table of ``terms`` of any size; a small
+    table is matched inside the row, a large one by joins, with the same matches.  ``fuzzy`` adds
+    terms that are nearly spelt like a phrase of the text, which joins on ``key``.
+
     Where ``only`` is given and false, every field is NULL.  The condition sits on the matches
     and the other fields, not on the structs, so that a reader of a few fields computes no others.
     """
     if mode not in spotting.SPOTTING_MODES:
         raise ValueError(f"mode is one of {spotting.SPOTTING_MODES}")
+    large = terms is not None and not TermIndex.holds(terms)
+    if large:
+        index = TermIndex([])
+    elif terms is not None:
+        index = TermIndex(collect_terms(terms))
     index = index or TermIndex.builtin()
+    names = list(index.names)
+    if large or fuzzy:
+        df, joined = _with_joined(df, text, terms, fuzzy, key, cleaning or {})
+        names += [n for n in joined if n not in names] if large else []
     df = df.withColumn("_only", F.lit(True) if only is None else only)
 
     def gated(value: Column) -> Column:
@@ -76,23 +143,35 @@ def extract(
     df = df.withColumns(
         {"_lower": rules.lowered(cleaned), "_matched": gated(index.match(cleaned))}
     )
+
+    def matches(name: str) -> Column:
+        if large:
+            found = F.coalesce(F.try_element_at("_by_join", F.lit(name)), _no_matches())
+        else:
+            found = matched[name]
+        return gated(_completed(found, F.try_element_at("_by_spelling", F.lit(name)))) if fuzzy else gated(found)
+
     fields = {
         **{k: gated(c) for k, c in rules.extract_all(cleaned, F.col("_lower")).items()},
         **{k: gated(c) if mode == "substring" else c for k, c in _spotted(cleaned, matched, mode).items()},
         "benefits": gated(empty_strings()),
-        **{field: matched[name] for name, field in MATCH_FIELDS.items() if name in index.names},
+        **{field: matches(name) if name in names else gated(_no_matches()) for name, field in MATCH_FIELDS.items()},
+        **{f"matched_{name}": matches(name) for name in names if name not in MATCH_FIELDS},
     }
-    if SENIORITY_DICT in index.names:
+    if SENIORITY_DICT not in names:
+        fields["seniority_levels"] = gated(_no_matches())
+    elif large or fuzzy:
+        fields["seniority_levels"] = gated(seniority(matches(SENIORITY_DICT)))
+    else:
         fields["seniority_levels"] = matched["seniority_levels"]
     # Every field is a column of its own before it goes into the struct, so that the counters
     # computed from it do not compute it again.
     df = df.withColumns({f"_{n}": c for n, c in fields.items()})
     extracted = F.struct(*[F.col(f"_{n}").alias(n) for n in fields])
-    total = reduce(
-        Column.__add__, [size0(F.col(f"_{MATCH_FIELDS[n]}")) for n in index.names], F.lit(0)
-    )
+    every = {n: F.col(f"_{MATCH_FIELDS.get(n, f'matched_{n}')}") for n in names}
+    total = reduce(Column.__add__, [size0(c) for c in every.values()], F.lit(0))
     spotted = [F.col(f"_{f}") for f in [*SPOTTED_FIELDS, "benefits"]]
-    scored = [F.col(f"_{MATCH_FIELDS[n]}") for n in SCORED if n in index.names]
+    scored = [F.col(f"_{MATCH_FIELDS[n]}") for n in SCORED]
     confidence = F.struct(
         gated(
             F.lit(spotting.SUBSTRING_CONFIDENCE)
@@ -103,7 +182,7 @@ def extract(
         gated(total).alias("total_matches"),
     )
     return df.withColumns({"extracted": extracted, "confidence_scores": confidence}).drop(
-        "_only", "_lower", "_matched", *[f"_{n}" for n in fields]
+        "_only", "_lower", "_matched", "_by_join", "_by_spelling", *[f"_{n}" for n in fields]
     )
 
 
@@ -141,9 +220,11 @@ def enrich(
     min_length: int = MIN_DESCRIPTION,
     keep_short: bool = False,
     index: TermIndex | None = None,
+    terms: DataFrame | None = None,
+    fuzzy: bool = False,
     mode: str = "patterns",
 ) -> DataFrame:
-    """Enriched postings.
+    """Enriched postings; ``index``, ``terms`` and ``fuzzy`` as in ``extract``.
 
     Rows whose description is too short are left out, or with ``keep_short`` kept with NULL in
     the added columns.
@@ -154,7 +235,7 @@ def enrich(
         only = F.col("_enough")
     else:
         postings, only = postings.where(enough), None
-    df = extract(postings, index=index, mode=mode, only=only)
+    df = extract(postings, index=index, terms=terms, fuzzy=fuzzy, mode=mode, only=only)
     done = F.lit(True)
     processing = F.struct(
         F.when(done if only is None else only, F.current_timestamp()).alias("processed_at"),

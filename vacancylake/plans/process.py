@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from vacancylake.functions.text import has_text, longer_than, preview
 from vacancylake.operators.joins import filter_members, first_by_key, lookup
-from vacancylake.operators.term_match import TermIndex
 from vacancylake.plans.enrich import (
     DONE,
     ENRICHED,
@@ -121,10 +120,10 @@ def merge(stored: DataFrame, fresh: DataFrame, key: str = "job_id") -> DataFrame
     return both.select(*[value(c) for c in columns])
 
 
-def process_urls(postings: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+def process_urls(postings: DataFrame, wanted: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """Enriched postings of the wanted urls, and the urls that no posting has."""
     found, missing = lookup(postings, wanted, "url")
-    return enrich(found), missing
+    return enrich(found, **options), missing
 
 
 def backfill(
@@ -132,13 +131,16 @@ def backfill(
     source: str = "linkedin",
     *,
     min_length: int = MIN_BACKFILL_DESCRIPTION,
-    index: TermIndex | None = None,
+    **options,
 ) -> DataFrame:
-    """Postings of a source not analysed yet, enriched under the shorter length limit."""
+    """Postings of a source not analysed yet, enriched under the shorter length limit.
+
+    ``options`` go to ``enrich``.
+    """
     todo = postings.where(F.col("source") == source)
     if "extracted" in todo.columns:
         todo = todo.where(F.col("extracted.vietnamese_keywords").isNull()).drop(*ENRICHED)
-    return enrich(todo, min_length=min_length, index=index)
+    return enrich(todo, min_length=min_length, **options)
 
 
 def quick_sample(postings: DataFrame, source: str = "linkedin", limit: int = 3) -> DataFrame:

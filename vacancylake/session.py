@@ -45,20 +45,6 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def within(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
-
-    A plain count, which each task answers with one number; a limit would bring rows together.
-    """
-    return df.count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """``df`` with a broadcast hint when its row count was checked to be within the bound."""
-    small = within(df, max_rows)
-    return (F.broadcast(df) if small else df), small
-
-
 TASKS_PER_CORE = 4
 
 

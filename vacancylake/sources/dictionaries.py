@@ -51,9 +51,7 @@ def surface_forms(entries: DataFrame, name: str) -> DataFrame:
     ).select(*TERM.fieldNames())
 
 
-def collect_terms(terms: DataFrame, max_forms: int) -> Iterable[Term]:
-    """Terms of a dictionary table of checked size, for a ``TermIndex``."""
-    rows = terms.select(*TERM.fieldNames()).limit(max_forms + 1).collect()
-    if len(rows) > max_forms:
-        raise ValueError(f"more than {max_forms} surface forms; use match_by_join")
+def collect_terms(terms: DataFrame) -> Iterable[Term]:
+    """Terms of a dictionary table known to be small, for a ``TermIndex``."""
+    rows = terms.select(*TERM.fieldNames()).collect()
     return [Term(*row) for row in sorted(rows, key=lambda r: (r.dict, r.category, r.term, r.alias_pos))]
