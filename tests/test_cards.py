@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacancylake.functions import cards
-from vacancylake.operators.html_cards import parse_cards, parse_descriptions
+from vacancylake.operators.html_cards import parse_cards, parse_descriptions, postings_from_pages
+from vacancylake.schemas import POSTING
 
 
 @pytest.mark.parametrize(
@@ -103,3 +104,24 @@ def test_descriptions(spark):
         F.coalesce(cards.join_fragments(F.col("parts")), cards.join_panel_fragments(F.col("fragments"))).alias("d"),
     )
     assert {r.id: r.d for r in got.collect()} == {1: "A\n\nB", 2: long, 3: None}
+
+
+def test_postings(spark):
+    card = '<div class="job-card"><div class="job-title"><a href="/{0}">T{0}</a></div><p>{1}</p>{2}</div>'
+    page = '<div class="jobs-list">' + card.format(1, "Posted 3 days ago", "<span>25 applicants</span>") + (
+        card.format(2, "now", '<!-- <b> --><span aria-label="be among the first" title="a > b">x</span>')
+    ) + "</div>"
+    details = '<div class="scaffold-layout__detail"><span class="nav">away with this long text</span><p>' + "what one does there " * 2 + "</p></div>"
+    df = spark.createDataFrame([(1, "vietnamworks", page, details), (2, "vietnamworks", "<p>", None)], "k long, s string, h string, d string")
+    got = {r.url: r for r in postings_from_pages(df, "k", "s", "h", "d").collect()}
+    assert set(got) == {"/1", "/2"}
+    assert [f.name for f in POSTING] == list(got["/1"].asDict())[2:]
+    assert (got["/1"].title, got["/1"].applicants, got["/1"].posted_at) == ("T1", 25, "Posted 3 days ago")
+    assert (got["/2"].applicants, got["/2"].posted_at, got["/2"].source) == (0, None, "vietnamworks")
+    assert got["/2"].description == ("what one does there " * 2).strip()
+    assert got["/1"].raw.card_html.startswith('<div class="job-card">') and got["/1"].raw.card_html.endswith("</div>")
+
+
+def test_repeated_pages_stay_apart(spark):
+    pages = spark.createDataFrame([PAGES[0]] * 3 + [PAGES[2]], "page_id long, site string, html string")
+    assert parse_cards(pages, "page_id", "site", "html").count() == 4

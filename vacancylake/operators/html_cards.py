@@ -1,19 +1,27 @@
-"""Job cards out of stored HTML.
+"""Job cards out of stored HTML, as tables and column expressions.
 
-Nested markup is beyond regular expressions, so a page is read by the standard parser in
-Arrow batches; which element holds which field is data, one specification per site.
+A page is cut into tokens by one pattern.  Tokens become rows, and windows over the tags of one name
+find where each element ends: opening and closing tags of one nesting level take turns.  Then a page
+is one row again, with its tokens and its elements as arrays, and selectors are conditions on
+elements and on the intervals they cover.  Which element holds which field is data, one
+specification per site.
+
+A tag that is never closed reaches to the end of its page.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacancylake.functions import cards
+from vacancylake.functions.arrays import let
+from vacancylake.functions.entities import unescape
+from vacancylake.schemas import POSTING
+
 # Selectors of the cards of each site and of their fields.
 CARD_SPECS: dict[str, dict[str, str]] = {
     "linkedin": {
@@ -59,165 +67,159 @@ NOT_DESCRIPTION = [
     "job-title", "company-name", "location", "metadata", "applicant", "posted", "nav",
     "button", "header",
 ]
-_VOID = {"br", "hr", "img", "input", "link", "meta", "source", "wbr", "area", "base", "col", "embed"}
-_HIDDEN = {"script", "style"}
-_BLOCKS = {
-    "p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article",
-}
+# Tags without content, and those that begin and end a line.
+VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr"]
+LINE_TAGS = [
+    "article", "br", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ol", "p", "section", "tr", "ul",
+]
 
-CARD_SCHEMA = (
-    "card_no int, title string, company string, location string, url string, salary string,"
-    " posted_at string, card_text string, element_texts array<string>, card_html string"
+#: Comments, hidden elements as a whole, tags with their quoted values, text.
+TOKEN = (
+    r"""(?s)<!--.*?-->|<(?i:script|style)\b.*?</(?i:script|style)\s*>"""
+    r"""|</?[a-zA-Z](?:[^'">]++|"[^"]*+"|'[^']*+')*+>|<[!?][^>]*+>|[^<]++|<"""
 )
+ATTRIBUTES = ["class", "id", "href", "datetime", "aria-label"]
+
 
+def _attribute(token: Column, name: str) -> Column:
+    """Value of an attribute of a tag, quoted or not; empty where it is missing."""
+    found = F.regexp_extract(token, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1)
+    return unescape(F.regexp_replace(found, r"""^["']|["']$""", ""))
 
-class _Element:
-    def __init__(self, tag: str, attrs: dict, parent: _Element | None, start: int):
-        self.tag, self.attrs, self.parent, self.start = tag, attrs, parent, start
-        self.classes = set(attrs.get("class", "").split())
-        self.text: list[str] = []
-        self.end = -1
-
-    def inner_text(self) -> str:
-        return "\n".join(filter(None, (" ".join(x.split()) for x in "".join(self.text).split("\n"))))
-
-
-class _Page(HTMLParser):
-    """Elements of a page in document order, each with all the text inside it."""
-
-    def __init__(self, source: str):
-        super().__init__(convert_charrefs=True)
-        self.elements: list[_Element] = []
-        self.open: list[_Element] = []
-        self.source = source
-        self.lines = [0]
-        for m in re.finditer("\n", source):
-            self.lines.append(m.end())
-        self.feed(source)
-        self.close()
-        for e in self.open:
-            e.end = len(source)
-
-    def _at(self) -> int:
-        line, column = self.getpos()
-        return self.lines[line - 1] + column
-
-    def handle_starttag(self, tag, attrs):
-        parent = self.open[-1] if self.open else None
-        element = _Element(tag, {k: v or "" for k, v in attrs}, parent, self._at())
-        self.elements.append(element)
-        if tag == "br" or tag in _BLOCKS:
-            self.handle_data("\n")
-        if tag in _VOID:
-            element.end = element.start
-        else:
-            self.open.append(element)
-
-    def handle_endtag(self, tag):
-        if any(e.tag == tag for e in self.open):
-            end = self.source.find(">", self._at()) + 1
-            while True:
-                element = self.open.pop()
-                element.end = end
-                if element.tag == tag:
-                    break
-            if tag in _BLOCKS:
-                self.handle_data("\n")
-
-    def handle_data(self, data):
-        if not any(e.tag in _HIDDEN for e in self.open):
-            for element in self.open:
-                element.text.append(data)
-
-    def select(self, selector: str, inside: _Element | None = None) -> list[_Element]:
-        """Elements matching any of the comma-separated selectors, in document order."""
-        paths = [[_step(s) for s in path.split()] for path in selector.split(",")]
-        return [
-            e
-            for e in self.elements
-            if (inside is None or _within(e, inside)) and any(_matches(e, p) for p in paths)
-        ]
-
-
-def _within(element: _Element | None, outer: _Element) -> bool:
-    element = element.parent
-    while element is not None and element is not outer:
-        element = element.parent
-    return element is outer
-
-
-def _step(simple: str) -> tuple[str, set[str], str | None, tuple[str, str] | None]:
-    tag = re.match(r"[a-z0-9]*", simple).group()
-    identity = re.search(r"#([\w-]+)", simple)
-    attribute = re.search(r"\[([\w-]+)\*='([^']*)'\]", simple)
-    return (
-        tag,
-        set(re.findall(r"\.([\w-]+)", re.sub(r"\[.*?\]", "", simple))),
-        identity and identity.group(1),
-        attribute and attribute.groups(),
+
+def page_elements(pages: DataFrame, html: str, *kept: str) -> DataFrame:
+    """One row per page with ``kept`` columns, ``tokens`` and ``elements``.
+
+    ``tokens`` has the source of each token and what it adds to the text; ``elements`` has, in
+    document order, the first and last token of every element, its tag and some attributes.
+    """
+    numbered = pages.select(F.monotonically_increasing_id().alias("page"), *kept, F.col(html).alias("html"))
+    rows = numbered.select(
+        "page", *kept, F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0))).alias("at", "token")
+    )
+    name = F.lower(F.regexp_extract("token", r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+    hidden = name.isin("script", "style") | F.col("token").rlike("^<[!?]")
+    opens = F.col("token").rlike("^<[a-zA-Z]") & ~hidden
+    closes = F.startswith(F.col("token"), F.lit("</")) & (name != "")
+    rows = rows.withColumns({"tag": name, "opens": opens, "closes": closes})
+    is_line = F.col("tag").isin(LINE_TAGS) & (F.col("opens") | F.col("closes"))
+    is_text = ~F.startswith(F.col("token"), F.lit("<")) | (F.col("token") == "<")
+    piece = F.when(is_line, "\n").when(is_text, unescape(F.col("token"))).otherwise("")
+    nests = (F.col("opens") & ~F.col("tag").isin(VOID_TAGS)) | F.col("closes")
+    step = F.when(nests & F.col("opens"), 1).when(nests, -1).otherwise(0)
+    # All windows are within a page, so the rows are dealt once.
+    same_tag = Window.partitionBy("page", "tag").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"piece": piece, "nests": nests, "step": step})
+    rows = rows.withColumn("level", F.sum("step").over(same_tag) + F.when(F.col("closes"), 1).otherwise(0))
+    turns = Window.partitionBy("page", "tag", "level", "nests").orderBy("at")
+    last = F.max("at").over(Window.partitionBy("page"))
+    rows = rows.withColumn("end", F.when(F.col("nests"), F.coalesce(F.lead("at").over(turns), last)).otherwise(F.col("at")))
+    element = F.struct(
+        F.col("at").alias("start"),
+        "end",
+        "tag",
+        *[_attribute(F.col("token"), a).alias(a.replace("-", "_")) for a in ATTRIBUTES],
+    )
+    grouped = rows.groupBy("page").agg(
+        *[F.first(c).alias(c) for c in kept],
+        F.array_sort(F.collect_list(F.struct("at", "token", "piece"))).alias("tokens"),
+        F.array_sort(F.collect_list(F.when(F.col("opens"), element))).alias("elements"),
     )
+    classes = F.transform(
+        "elements", lambda e: e.withField("classes", F.split(F.trim(e["class"]), r"\s+"))
+    )
+    return grouped.select(*kept, "tokens", classes.alias("elements"))
+
+
+def _simple(element: Column, step: str) -> Column:
+    """Condition of one step of a selector: tag, classes, id, part of an attribute."""
+    tag = re.match(r"[a-z0-9]*", step).group()
+    bare = re.sub(r"\[.*?\]", "", step)
+    conditions = [F.array_contains(element["classes"], c) for c in re.findall(r"\.([\w-]+)", bare)]
+    conditions += [element["id"] == F.lit(i) for i in re.findall(r"#([\w-]+)", bare)]
+    conditions += [
+        F.contains(element[name.replace("-", "_")], F.lit(part))
+        for name, part in re.findall(r"\[([\w-]+)\*='([^']*)'\]", step)
+    ]
+    if tag:
+        conditions.append(element["tag"] == F.lit(tag))
+    return reduce(Column.__and__, conditions)
+
+
+def _inside(inner: Column, outer: Column) -> Column:
+    return (inner["start"] > outer["start"]) & (inner["start"] <= outer["end"])
+
 
+def _path(element: Column, steps: list[str], elements: Column) -> Column:
+    own = _simple(element, steps[-1])
+    if len(steps) == 1:
+        return own
+    return own & F.exists(elements, lambda outer: _inside(element, outer) & _path(outer, steps[:-1], elements))
 
-def _matches(element: _Element, path: list) -> bool:
-    tag, classes, identity, attribute = path[-1]
-    if (
-        (tag and element.tag != tag)
-        or not classes <= element.classes
-        or (identity and element.attrs.get("id") != identity)
-        or (attribute and attribute[1] not in element.attrs.get(attribute[0], ""))
-    ):
-        return False
-    if len(path) == 1:
-        return True
-    outer = element.parent
-    while outer is not None and not _matches(outer, path[:-1]):
-        outer = outer.parent
-    return outer is not None
-
-
-def _cards(page: _Page, site: str) -> Iterator[tuple]:
+
+def selects(element: Column, selector: str, elements: Column) -> Column:
+    """The element matches one of the comma-separated selectors; steps apart by blanks are ancestors."""
+    return reduce(Column.__or__, [_path(element, path.split(), elements) for path in selector.split(",")])
+
+
+def inner_text(element: Column, tokens: Column) -> Column:
+    """Text inside an element, line by line, blanks single and empty lines left out."""
+    pieces = F.transform(F.slice(tokens, element["start"] + 1, element["end"] - element["start"] + 1), lambda t: t["piece"])
+    lines = F.transform(
+        F.split(F.array_join(pieces, ""), "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+    )
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+def _source(element: Column, tokens: Column) -> Column:
+    own = F.slice(tokens, element["start"] + 1, element["end"] - element["start"] + 1)
+    return F.array_join(F.transform(own, lambda t: t["token"]), "")
+
+
+def _none_if_empty(text: Column) -> Column:
+    return F.when(text != "", text)
+
+
+def _cards_of(site: str, elements: Column, tokens: Column) -> Column:
+    """The cards with a title of a page of this site."""
     spec = CARD_SPECS[site]
-    for number, card in enumerate(page.select(spec["card"]), 1):
-
-        def first(field: str) -> _Element | None:
-            return next(iter(page.select(spec[field], card)), None) if field in spec else None
-
-        def text(field: str) -> str | None:
-            element = first(field)
-            return (element.inner_text() or None) if element else None
-
-        title, posted = first("title"), first("posted_at")
-        if title is None:
-            continue
-        yield (
-            number,
-            title.inner_text(),
-            text("company"),
-            text("location"),
-            title.attrs.get("href"),
-            text("salary"),
-            (posted.attrs.get("datetime") or posted.inner_text() or None) if posted else None,
-            card.inner_text(),
-            [
-                t
-                for e in page.select("span, div", card)
-                for t in (e.inner_text(), e.attrs.get("aria-label", ""))
-                if t
-            ],
-            page.source[card.start : card.end],
-        )
-
-
-def _description_parts(page: _Page) -> tuple[list[str], list[str]]:
-    """Texts of the description elements, and of the parts of the details panel."""
-    parts = [e.inner_text() for s in DESCRIPTION_SELECTORS for e in page.select(s)]
-    panel = next((p[0] for s in PANEL_SELECTORS if (p := page.select(s))), None)
-    fragments = [
-        e.inner_text()
-        for e in (page.select(PANEL_PARTS, panel) if panel else [])
-        if not any(word in e.attrs.get("class", "") for word in NOT_DESCRIPTION)
-    ]
-    return parts, fragments
+
+    def read(card: Column, number: Column) -> Column:
+        def fields(within: Column) -> Column:
+            def first(field: str) -> Column:
+                if field not in spec:
+                    return F.lit(None)
+                # ancestors may lie outside the card
+                return F.get(F.filter(within, lambda e: selects(e, spec[field], elements)), F.lit(0))
+
+            def text(field: str) -> Column:
+                return _none_if_empty(inner_text(first(field), tokens)) if field in spec else F.lit(None).cast("string")
+
+            posted = F.lit(None).cast("string")
+            if "posted_at" in spec:
+                posted = F.coalesce(_none_if_empty(first("posted_at")["datetime"]), text("posted_at"))
+            title = first("title")
+            spans = F.filter(within, lambda e: e["tag"].isin("span", "div"))
+            return F.struct(
+                (number + 1).alias("card_no"),
+                inner_text(title, tokens).alias("title"),
+                text("company").alias("company"),
+                text("location").alias("location"),
+                F.when(title["start"].isNotNull(), _none_if_empty(title["href"])).alias("url"),
+                text("salary").alias("salary"),
+                posted.alias("posted_at"),
+                inner_text(card, tokens).alias("card_text"),
+                F.filter(
+                    F.flatten(F.transform(spans, lambda e: F.array(inner_text(e, tokens), e["aria_label"]))),
+                    lambda t: t != "",
+                ).alias("element_texts"),
+                _source(card, tokens).alias("card_html"),
+            )
+
+        return let(F.filter(elements, lambda e: _inside(e, card)), fields)
+
+    chosen = F.filter(elements, lambda e: selects(e, spec["card"], elements))
+    return F.filter(F.transform(chosen, read), lambda c: c["title"].isNotNull())
 
 
 def parse_cards(pages: DataFrame, key: str, site: str, html: str) -> DataFrame:
@@ -225,36 +227,64 @@ def parse_cards(pages: DataFrame, key: str, site: str, html: str) -> DataFrame:
 
     ``site`` and ``html`` name columns.  Unknown sites yield nothing.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["page", "site", *[f.split()[0] for f in CARD_SCHEMA.split(", ")]]
-        for batch in batches:
-            rows = [
-                (row_key, row_site, *card)
-                for row_key, row_site, source in zip(batch["page"], batch["site"], batch["html"])
-                if source and row_site in CARD_SPECS
-                for card in _cards(_Page(source), row_site)
-            ]
-            yield pd.DataFrame(rows, columns=columns)
-
-    key_type = pages.schema[key].dataType.simpleString()
-    given = pages.select(F.col(key).alias("page"), F.col(site).alias("site"), F.col(html).alias("html"))
-    parsed = given.mapInPandas(run, f"page {key_type}, site string, {CARD_SCHEMA}")
-    return parsed.withColumnRenamed("page", key)
+    known = pages.where(F.col(site).isin(list(CARD_SPECS)) & F.col(html).isNotNull())
+    rows = page_elements(known, html, key, site)
+    found = None
+    for name in CARD_SPECS:
+        of_site = _cards_of(name, F.col("elements"), F.col("tokens"))
+        found = F.when(F.col(site) == name, of_site) if found is None else found.when(F.col(site) == name, of_site)
+    return rows.select(key, F.col(site).alias("site"), F.explode(found).alias("c")).select(key, "site", "c.*")
 
 
 def parse_descriptions(pages: DataFrame, key: str, html: str) -> DataFrame:
     """``parts`` and ``fragments`` of the description of every page, in reading order."""
+    rows = page_elements(pages.withColumn("_html", F.coalesce(F.col(html), F.lit(" "))), "_html", key)
+    elements, tokens = F.col("elements"), F.col("tokens")
+    parts = F.flatten(F.array(*[_selected(elements, s) for s in DESCRIPTION_SELECTORS]))
+    panel = F.coalesce(*[F.get(_selected(elements, s), F.lit(0)) for s in PANEL_SELECTORS])
+
+    def fragments(outer: Column) -> Column:
+        wanted = F.filter(elements, lambda e: _inside(e, outer) & e["tag"].isin(PANEL_PARTS.split(", ")))
+        named = lambda e: reduce(Column.__or__, [F.contains(e["class"], F.lit(w)) for w in NOT_DESCRIPTION])
+        return F.transform(F.filter(wanted, lambda e: ~named(e)), lambda e: inner_text(e, tokens))
+
+    return rows.select(
+        key,
+        F.transform(parts, lambda e: inner_text(e, tokens)).alias("parts"),
+        F.coalesce(let(panel, fragments), F.array().cast("array<string>")).alias("fragments"),
+    )
+
+
+def _selected(elements: Column, selector: str) -> Column:
+    return F.filter(elements, lambda e: selects(e, selector, elements))
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (row_key, *_description_parts(_Page(source or "")))
-                for row_key, source in zip(batch["page"], batch["html"])
-            ]
-            yield pd.DataFrame(rows, columns=["page", "parts", "fragments"])
-
-    key_type = pages.schema[key].dataType.simpleString()
-    given = pages.select(F.col(key).alias("page"), F.col(html).alias("html"))
-    schema = f"page {key_type}, parts array<string>, fragments array<string>"
-    return given.mapInPandas(run, schema).withColumnRenamed("page", key)
+def description(parts: Column, fragments: Column) -> Column:
+    """The description elements of a page, or else the first long enough parts of its details panel."""
+    return F.coalesce(cards.join_fragments(parts), cards.join_panel_fragments(fragments))
+
+
+def postings_from_pages(pages: DataFrame, key: str, site: str, html: str, details: str | None = None) -> DataFrame:
+    """Job cards as rows of ``schemas.POSTING``, after ``key`` and ``card_no``.
+
+    Applicants come from the text of the card, else from single elements of it; the time of posting
+    from its own element, else from the text.  ``details`` names a column with the page that
+    describes the posting.
+    """
+    found = parse_cards(pages, key, site, html)
+    described = F.lit(None).cast("string")
+    if details:
+        texts = parse_descriptions(pages, key, details).select(key, description(F.col("parts"), F.col("fragments")).alias("described"))
+        found, described = found.join(texts, key, "left"), F.col("described")
+    values = {
+        "job_id": F.xxhash64("site", "url"),
+        "source": F.col("site"),
+        "posted_at": F.coalesce("posted_at", cards.posted_at(F.col("card_text"))),
+        "applicants": F.coalesce(cards.applicants(F.col("card_text")), cards.applicants_of_elements(F.col("element_texts"))),
+        "description": described,
+        "tags": F.array().cast("array<string>"),
+        "raw": F.struct("card_html"),
+        "timestamp": F.current_timestamp(),
+    }
+    columns = [values.get(f.name, F.col(f.name) if f.name in found.columns else F.lit(None)) for f in POSTING]
+    return found.select(key, "card_no", *[c.cast(f.dataType).alias(f.name) for c, f in zip(columns, POSTING)])
