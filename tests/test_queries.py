@@ -18,6 +18,9 @@ SOME = [
     "dictionary_matches", "dictionary_matches_by_shuffle", "confidence_scores", "cards_topcv",
     "cards_vietnamworks", "card_applicants", "search_urls", "full_records", "run_summary", "overview",
     "seniority_distribution", "top_keywords_per_category", "keyword_combinations", "company_stats",
+    "postings_from_pages", "page_descriptions", "repeated_updates", "appended_twice", "json_written", "limited_run",
+    "streamed_repeats", "reprocessed", "dictionary_from_json", "enriched_with_user_dictionary", "fuzzy_by_ratio",
+    "top_matches_per_job", "matches_by_score",
 ]
 
 

@@ -393,6 +393,10 @@ def _oracle() -> dict[str, str]:
         "keyed_update": f"{p} SELECT job_id, title, CASE WHEN o_orderstatus = 'F' THEN 'Filled' ELSE company END"
         " AS company, CASE WHEN o_orderstatus = 'F' THEN TRUE END AS closed"
         " FROM postings JOIN orders ON job_id = o_orderkey",
+        "repeated_updates": f"{p} SELECT job_id, title, coalesce('Line ' || m, company) AS company FROM postings"
+        " LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS m FROM lineitem GROUP BY 1) ON job_id = l_orderkey",
+        "appended_twice": f"{p} SELECT source, count(*) AS n, sum(length(description))::BIGINT AS chars FROM postings GROUP BY 1",
+        "json_written": f"{p} SELECT job_id, title, company, url FROM postings",
         "dictionary_from_table": "SELECT 'parts' AS dict, p_type AS category, p_brand AS subcategory,"
         " p_name AS term, 1.0::DOUBLE AS weight, unnest([p_name, p_brand, p_type]) AS alias,"
         " unnest([0, 1, 2])::INTEGER AS alias_pos FROM part",
@@ -470,11 +474,12 @@ n AS (SELECT job_id, {", ".join(f"count(*) FILTER (label = '{x}') AS s_{x}" for
 SELECT job_id, round(CASE WHEN coalesce(w, 0) = 0 THEN 0.0 ELSE least(s / w + least(g / 10.0, 0.2), 1.0) END, 9)::DOUBLE
   AS keyword_confidence, round({_NER}, 9)::DOUBLE AS ner_confidence, coalesce(total, 0)::INTEGER AS total_matches
 FROM n LEFT JOIN k USING (job_id)""",
-        "top_matches_per_job": f"""{BASE}, {matches_cte()}, r AS (SELECT job_id, score,
-  row_number() OVER (PARTITION BY job_id ORDER BY score DESC) - 1 AS rank FROM matches WHERE dict IN {_SCORED_SQL})
-SELECT job_id, score, rank::INTEGER AS rank FROM r WHERE rank < 10""",
+        "top_matches_per_job": f"""{BASE}, {matches_cte()}, r AS (SELECT job_id, score, keyword, match_type, dict,
+  row_number() OVER (PARTITION BY job_id ORDER BY score DESC, place) - 1 AS rank FROM matches WHERE dict IN {_SCORED_SQL})
+SELECT job_id, rank::INTEGER AS rank, score, keyword, match_type, dict AS match_category FROM r WHERE rank < 10""",
         "matches_by_score": f"""{BASE}, {matches_cte()} SELECT job_id,
-  (row_number() OVER (PARTITION BY job_id ORDER BY score DESC) - 1)::INTEGER AS at, score FROM matches WHERE {VN}""",
+  (row_number() OVER (PARTITION BY job_id ORDER BY score DESC, place) - 1)::INTEGER AS at, score, keyword, matched_text
+FROM matches WHERE {VN}""",
         "fuzzy_by_levenshtein": _FUZZY,
         "fuzzy_by_ratio": _FUZZY_RATIO,
         "enriched_with_fuzzy": _FUZZY_COUNTS,
@@ -486,6 +491,11 @@ SELECT job_id, score, rank::INTEGER AS rank FROM r WHERE rank < 10""",
   ELSE list_max([x::INTEGER for x in regexp_extract_all(applicants_text, '[0-9]+')]) END AS applicants FROM postings""",
         "card_posted_at": f"{p} SELECT job_id, posted_at FROM postings",
         "page_descriptions": f"{p} SELECT job_id, title || chr(10) || chr(10) || location AS description FROM postings",
+        "postings_from_pages": f"""{p} SELECT job_id AS page_id, title, company, location, url, source,
+  CASE WHEN source = 'topcv' THEN salary END AS salary, CASE WHEN applicants_text LIKE '%early%' THEN 0
+  ELSE list_max([x::INTEGER for x in regexp_extract_all(applicants_text, '[0-9]+')]) END AS applicants,
+  CASE WHEN source = 'vietnamworks' THEN coalesce(posted_at, 'soon') ELSE posted_at END AS posted_at,
+  CASE WHEN job_id % 2 = 0 THEN title ELSE 'About the work in ' || location END AS description FROM postings""",
         "search_urls": "WITH asked AS (SELECT DISTINCT lower(c_mktsegment) AS keyword, lower(n_name) AS location"
         " FROM customer JOIN nation ON c_nationkey = n_nationkey) "
         + " UNION ALL ".join(_search(s) for s in cards.SEARCH_PAGES),
@@ -527,6 +537,13 @@ FROM sel LEFT JOIN per_job j USING (job_id)""",
         "run_enriched": f"{COUNTS} SELECT job_id, n_vietnamese_keywords::INTEGER AS n FROM per_job"
         f" JOIN postings USING (job_id) WHERE {_TOPCV_DONE}",
         "stored_after_two_runs": f"{COUNTS} SELECT job_id, n_vietnamese_keywords::INTEGER AS n FROM per_job",
+        "reprocessed": f"""{BASE}, rows AS (SELECT job_id, CASE WHEN source = 'topcv'
+  THEN 'Senior Kotlin engineer with a text that is long enough, tiếng anh' ELSE description END AS description
+  FROM postings WHERE source = 'topcv' OR {LONG})
+SELECT job_id, length(description)::INTEGER AS chars, length({clean('description')})::INTEGER AS cleaned FROM rows""",
+        "limited_run": f"""{p}, chosen AS (SELECT * FROM postings WHERE {_DESCRIBED} ORDER BY job_id LIMIT 40)
+SELECT job_id, '1.0' AS version FROM chosen WHERE {LONG}""",
+        "streamed_repeats": f"{p} SELECT job_id, url FROM postings WHERE {LONG}",
         "streamed": f"{COUNTS} SELECT job_id, n_vietnamese_keywords::INTEGER AS n FROM per_job",
         "quick_sample": f"""{ENRICHED}, chosen AS (SELECT * FROM postings WHERE source = 'linkedin' ORDER BY job_id LIMIT 20),
 s AS (SELECT job_id, string_agg(keyword, '|' ORDER BY keyword) AS seniority FROM matches WHERE {SEN} GROUP BY job_id)

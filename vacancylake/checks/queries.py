@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vacancylake.functions import cards, rules, spotting, text
 from vacancylake.functions.arrays import size0, tagged
 from vacancylake.functions.entities import unescape
+from vacancylake.operators import html_cards
 from vacancylake.operators.fuzzy import add_fuzzy, fuzzy_matches
 from vacancylake.operators.html_cards import parse_cards, parse_descriptions
 from vacancylake.operators.joins import filter_members, lookup, update_by_key
@@ -35,7 +36,7 @@ from vacancylake.plans.process import (
     select_pending,
     status,
 )
-from vacancylake.session import shared_dir, spread
+from vacancylake.session import shared_dir
 from vacancylake.sources import postings as source
 from vacancylake.sources.dictionaries import builtin_terms, read_dictionary, surface_forms
 from vacancylake.sources.store import read_current
@@ -52,7 +53,7 @@ def query(fn: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 jobs = source.derived_postings
@@ -176,6 +177,41 @@ def keyed_update(spark, sf_dir):
     return update_by_key(base, new, "job_id")
 
 
+@query
+def repeated_updates(spark, sf_dir):
+    """Several updates of one posting, one per line of its order: the last line counts."""
+    base = jobs(spark, sf_dir).select("job_id", "title", "company")
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("job_id"),
+        F.concat(F.lit("Line "), F.col("l_linenumber").cast("string")).alias("company"),
+        "l_linenumber",
+    )
+    return update_by_key(base, lines, "job_id", ["company"], latest="l_linenumber")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def appended_twice(spark, sf_dir):
+    """Postings appended in two parts and read back."""
+    postings, path = jobs(spark, sf_dir), _scratch(spark, "postings")
+    columns = ["job_id", "title", "company", "location", "url", "source", "salary", "posted_at", "description"]
+    for part in (F.col("source") == "topcv", F.col("source") != "topcv"):
+        source.append_postings(postings.where(part).select(*columns), path)
+    return source.read_postings(spark, path).groupBy("source").agg(
+        F.count("*").alias("n"), F.sum(F.length("description")).alias("chars")
+    )
+
+
+@query
+def json_written(spark, sf_dir):
+    path = _scratch(spark, "json")
+    source.write_json(jobs(spark, sf_dir).select("job_id", "title", "company", "url"), path)
+    return spark.read.schema("job_id long, title string, company string, url string").json(path)
+
+
 @query
 def dictionary_from_table(spark, sf_dir):
     """Parts as a user dictionary: types are groups, names terms, brand and maker aliases."""
@@ -416,7 +452,7 @@ def top_matches_per_job(spark, sf_dir):
     m = cleaned(spark, sf_dir).select("job_id", index().match(F.col("c")).alias("m"))
     best = top_matches({n: F.col(f"m.{n}") for n in SCORED}, 10)
     r = m.select("job_id", F.posexplode(F.concat(best)).alias("rank", "x"))
-    return r.select("job_id", F.col("x.score").alias("score"), F.col("rank").alias("rank"))
+    return r.select("job_id", "rank", "x.score", "x.keyword", "x.match_type", "x.match_category")
 
 
 @query
@@ -424,7 +460,7 @@ def matches_by_score(spark, sf_dir):
     """The matches of one dictionary in the order they are listed."""
     m = cleaned(spark, sf_dir).select("job_id", index().match(F.col("c")).alias("m"))
     r = m.select("job_id", F.posexplode(F.concat(F.col("m.vietnamese_keywords"))).alias("at", "x"))
-    return r.select("job_id", "at", "x.score")
+    return r.select("job_id", "at", "x.score", "x.keyword", "x.matched_text")
 
 
 @query
@@ -574,6 +610,25 @@ def page_descriptions(spark, sf_dir):
     return parts.select("job_id", cards.join_fragments(F.col("parts")).alias("description"))
 
 
+@query
+def postings_from_pages(spark, sf_dir):
+    """Postings built from the cards of pages, described by a page of their own or its panel."""
+    own = F.concat(F.lit('<div class="description__text"><p>'), F.col("title"), F.lit("</p></div>"))
+    panel = F.concat(
+        F.lit('<div class="scaffold-layout__detail"><h1 class="job-title">'), F.col("title"),
+        F.lit(" in a heading of some length</h1><p>About the work in "), F.col("location"), F.lit("</p><p>short</p></div>"),
+    )
+    details = jobs(spark, sf_dir).select(
+        F.col("job_id").alias("id"), F.when(F.col("job_id") % 2 == 0, own).otherwise(panel).alias("details")
+    )
+    pages = card_pages(spark, sf_dir).join(details, F.col("job_id") == F.col("id")).withColumnRenamed("job_id", "page_id")
+    found = html_cards.postings_from_pages(pages, "page_id", "source", "html", "details")
+    return found.select(
+        F.col("page_id").alias("page_id"), "title", "company", "location", "url", "source", "salary", "applicants",
+        "posted_at", "description",
+    )
+
+
 @query
 def search_urls(spark, sf_dir):
     """Search pages for every segment and nation, on every site."""
@@ -663,6 +718,38 @@ def stored_after_two_runs(spark, sf_dir):
     )
 
 
+@query
+def reprocessed(spark, sf_dir):
+    """The store after the postings of one site were changed and enriched again."""
+    postings, root = jobs(spark, sf_dir), _scratch(spark, "store")
+    process_all(spark, postings, root)
+    new = F.lit("Senior Kotlin engineer with a text that is long enough, tiếng anh")
+    changed = postings.where(F.col("source") == "topcv").withColumn("description", new)
+    process.reprocess(spark, changed.unionByName(changed.where("job_id % 2 = 0")), root)
+    return read_current(spark, root).select(
+        "job_id", F.length("description").alias("chars"), F.length("description_cleaned").alias("cleaned")
+    )
+
+
+@query
+def limited_run(spark, sf_dir):
+    """What a run over the first postings left in the store."""
+    root = _scratch(spark, "store")
+    process_all(spark, jobs(spark, sf_dir), root, limit=40)
+    return read_current(spark, root).select("job_id", F.col("processing.nlp_version").alias("version"))
+
+
+@query
+def streamed_repeats(spark, sf_dir):
+    """The stream's output when every posting arrives twice in one batch."""
+    root = _scratch(spark, "stream")
+    arriving = jobs(spark, sf_dir)
+    arriving.unionByName(arriving).write.parquet(f"{root}/in")
+    stream = read_arrivals(spark, f"{root}/in", spark.read.parquet(f"{root}/in").schema)
+    enrich_stream(stream, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("job_id", "url")
+
+
 @query
 def streamed(spark, sf_dir):
     """The stream's output once all postings, written as files, went through it."""

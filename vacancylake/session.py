@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -19,6 +18,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.sql.adaptive.coalescePartitions.minPartitionNum", shuffle_partitions)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.files.minPartitionNum", shuffle_partitions)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -45,21 +45,6 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-TASKS_PER_CORE = 4
-
-
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """A table scan with a few tasks per core.
-
-    Text work is bound by CPU and texts differ in length, so a scan of few splits would leave
-    cores idle.  Scans of large tables already have more splits and are returned as they are.
-    """
-    tasks = TASKS_PER_CORE * scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= tasks:
-        return scan
-    return scan.repartition(tasks, *keys)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 

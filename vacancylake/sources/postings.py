@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from vacancylake.functions.text import has_text
 from vacancylake.operators.joins import first_by_key
 from vacancylake.schemas import POSTING
-from vacancylake.session import spread
 
 # Postings derived from the test tables.  The text runs on Spark and on other SQL engines;
 # every order is a posting and every document serves as the body of some description.
@@ -63,7 +62,8 @@ DERIVED_FROM = ("orders", "customer", "nation", "documents")
 
 def derived_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in DERIVED_FROM}
-    tables["orders"] = spread(tables["orders"], "o_orderkey")
+    # Narrow rows are dealt before the texts join them, since the texts' lengths differ.
+    tables["orders"] = tables["orders"].repartition("o_orderkey")
     return spark.sql(DERIVED_POSTINGS_SQL, **tables)
 
 
