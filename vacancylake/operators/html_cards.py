@@ -177,7 +177,8 @@ def _source(element: Column, tokens: Column) -> Column:
 
 
 def _none_if_empty(text: Column) -> Column:
-    return F.when(text != "", text)
+    """The text is computed once; a condition on it would compute it again."""
+    return F.get(F.filter(F.array(text), lambda t: t != ""), F.lit(0))
 
 
 def _cards_of(site: str, elements: Column, tokens: Column) -> Column:
@@ -185,29 +186,36 @@ def _cards_of(site: str, elements: Column, tokens: Column) -> Column:
     spec = CARD_SPECS[site]
 
     def read(card: Column, number: Column) -> Column:
+        def first(field: str, within: Column) -> Column:
+            # ancestors may lie outside the card
+            return F.get(F.filter(within, lambda e: selects(e, spec[field], elements)), F.lit(0))
+
+        def text(field: str, within: Column) -> Column:
+            if field not in spec:
+                return F.lit(None).cast("string")
+            return let(first(field, within), lambda e: _none_if_empty(inner_text(e, tokens)))
+
+        def posted(within: Column) -> Column:
+            if "posted_at" not in spec:
+                return F.lit(None).cast("string")
+            return let(
+                first("posted_at", within),
+                lambda e: F.coalesce(_none_if_empty(e["datetime"]), _none_if_empty(inner_text(e, tokens))),
+            )
+
         def fields(within: Column) -> Column:
-            def first(field: str) -> Column:
-                if field not in spec:
-                    return F.lit(None)
-                # ancestors may lie outside the card
-                return F.get(F.filter(within, lambda e: selects(e, spec[field], elements)), F.lit(0))
-
-            def text(field: str) -> Column:
-                return _none_if_empty(inner_text(first(field), tokens)) if field in spec else F.lit(None).cast("string")
-
-            posted = F.lit(None).cast("string")
-            if "posted_at" in spec:
-                posted = F.coalesce(_none_if_empty(first("posted_at")["datetime"]), text("posted_at"))
-            title = first("title")
+            return let(first("title", within), lambda title: F.when(title.isNotNull(), row(title, within)))
+
+        def row(title: Column, within: Column) -> Column:
             spans = F.filter(within, lambda e: e["tag"].isin("span", "div"))
             return F.struct(
                 (number + 1).alias("card_no"),
                 inner_text(title, tokens).alias("title"),
-                text("company").alias("company"),
-                text("location").alias("location"),
-                F.when(title["start"].isNotNull(), _none_if_empty(title["href"])).alias("url"),
-                text("salary").alias("salary"),
-                posted.alias("posted_at"),
+                text("company", within).alias("company"),
+                text("location", within).alias("location"),
+                _none_if_empty(title["href"]).alias("url"),
+                text("salary", within).alias("salary"),
+                posted(within).alias("posted_at"),
                 inner_text(card, tokens).alias("card_text"),
                 F.filter(
                     F.flatten(F.transform(spans, lambda e: F.array(inner_text(e, tokens), e["aria_label"]))),
@@ -219,7 +227,7 @@ def _cards_of(site: str, elements: Column, tokens: Column) -> Column:
         return let(F.filter(elements, lambda e: _inside(e, card)), fields)
 
     chosen = F.filter(elements, lambda e: selects(e, spec["card"], elements))
-    return F.filter(F.transform(chosen, read), lambda c: c["title"].isNotNull())
+    return F.filter(F.transform(chosen, read), lambda c: c.isNotNull())
 
 
 def parse_cards(pages: DataFrame, key: str, site: str, html: str) -> DataFrame:
