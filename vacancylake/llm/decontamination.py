@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacancylake.llm.batches import gram_hashes, mixed, runs_expanded, slices
-from vacancylake.llm.linear import code_points, letters
+from vacancylake.llm.linear import code_points, letters_and_digits
 
 SLICE_BYTES = 1 << 20
 FILTER_BITS = 20
@@ -33,7 +33,7 @@ def normalized(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     codes, offsets = code_points(column, lower=True)
     if not len(codes):
         return codes, offsets
-    keep = letters(codes) | ((codes >= 48) & (codes <= 57)) | ((codes > 127) & is_digit(codes))
+    keep = letters_and_digits(codes)
     begins = np.zeros(len(codes) + 1, dtype=bool)
     begins[offsets] = True
     # a run of other signs stays as one space where it follows a sign of the same text
@@ -45,12 +45,6 @@ def normalized(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, new
 
 
-def is_digit(codes: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(codes), dtype=bool)
-    out[codes > 127] = [chr(c).isdigit() for c in codes[codes > 127]]
-    return out
-
-
 @dataclass
 class Pieces:
     """Pieces of benchmark items that share a gram size, ready to be looked up."""
@@ -147,25 +141,26 @@ def _band_counts(pieces: Pieces, codes: np.ndarray, offsets: np.ndarray):
 
 
 def banded_distance(
-    piece: np.ndarray, texts: np.ndarray, starts: np.ndarray, stops: np.ndarray, diagonals: np.ndarray, budget: int
+    pieces: np.ndarray, texts: np.ndarray, starts: np.ndarray, stops: np.ndarray, diagonals: np.ndarray, budget: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Least edits that turn ``piece`` into a part of each text ``texts[start:stop]``, and where it ends.
+    """Least edits that turn each row of ``pieces`` into a part of ``texts[start:stop]``, and where it ends.
 
     Alignments stay on the diagonals from ``budget`` before a band to ``budget`` after it; the text's
-    part may begin and end anywhere.  All candidates advance one sign of the piece at a time.
+    part may begin and end anywhere.  All candidates advance one sign of their pieces at a time.
     """
     width = 4 * budget + 3
     column = np.arange(width)
     offset = diagonals[:, None] - budget + column  # place in the text of piece sign 0 on each diagonal
     size = (stops - starts)[:, None]
-    big = len(piece) + width + 1
+    length = pieces.shape[1]
+    big = length + width + 1
     # cost[c]: best alignment of the piece so far that ends before text place ``offset[c] + i``
     cost = np.where((offset >= 0) & (offset <= size), 0, big)
-    for i, sign in enumerate(piece):
+    for i in range(length):
         at = offset + i
         known = (at >= 0) & (at < size)
-        here = texts[starts[:, None] + np.clip(at, 0, np.maximum(size - 1, 0))]
-        step = np.where(known, cost + (here != sign), big)  # sign against sign: same diagonal
+        here = texts[starts[:, None] + np.where(known, at, 0)]
+        step = np.where(known, cost + (here != pieces[:, i : i + 1]), big)  # sign against sign: same diagonal
         skip = np.concatenate((cost[:, 1:], np.full((len(cost), 1), big)), axis=1) + 1  # sign left out
         skip = np.where((at + 1 >= 0) & (at + 1 <= size), skip, big)
         best = np.minimum(step, skip)
@@ -174,7 +169,7 @@ def banded_distance(
         cost = np.where((at + 1 >= 0) & (at + 1 <= size), cost, big)
     end = cost.argmin(axis=1)
     rows = np.arange(len(cost))
-    return cost[rows, end], offset[rows, end] + len(piece)
+    return cost[rows, end], offset[rows, end] + length
 
 
 def leaks_of(column: pa.Array, blocks: list[Pieces]) -> list[tuple[int, int, int, int]]:
@@ -185,17 +180,18 @@ def leaks_of(column: pa.Array, blocks: list[Pieces]) -> list[tuple[int, int, int
         if len(codes) < pieces.q:
             continue
         row, piece, diagonal = _band_counts(pieces, codes, offsets)
-        for p in np.unique(piece):
-            own = np.flatnonzero(piece == p)
-            for at in range(0, len(own), 4096):
-                some = own[at : at + 4096]
+        sizes = np.array([len(c) for c in pieces.codes])
+        for size in np.unique(sizes[piece]):  # pieces of one length have one budget
+            own = np.flatnonzero(sizes[piece] == size)
+            budget = int(pieces.budgets[piece[own[0]]])
+            for at in range(0, len(own), 2048):
+                some = own[at : at + 2048]
                 rows = row[some]
-                budget = int(pieces.budgets[p])
                 edits, ends = banded_distance(
-                    pieces.codes[p], codes, offsets[rows], offsets[rows + 1], diagonal[some], budget
+                    np.stack([pieces.codes[p] for p in piece[some]]), codes, offsets[rows], offsets[rows + 1], diagonal[some], budget
                 )
                 for k in np.flatnonzero(edits <= budget):
-                    key, found = (int(rows[k]), int(pieces.items[p])), (int(edits[k]), int(ends[k]))
+                    key, found = (int(rows[k]), int(pieces.items[piece[some[k]]])), (int(edits[k]), int(ends[k]))
                     best[key] = min(best.get(key, found), found)
     return [(row, item, edits, end) for (row, item), (edits, end) in sorted(best.items())]
 

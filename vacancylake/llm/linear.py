@@ -16,15 +16,28 @@ def is_letter() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x10000)])
 
 
-def letters(codes: np.ndarray) -> np.ndarray:
-    table = is_letter()
+@cache
+def is_letter_or_digit() -> np.ndarray:
+    return np.array([chr(c).isalpha() or chr(c).isdigit() for c in range(0x10000)])
+
+
+def _looked_up(codes: np.ndarray, table: np.ndarray, beyond) -> np.ndarray:
     high = codes >= len(table)
+    if not high.any():
+        return table[codes]
     out = table[np.where(high, 0, codes)]
-    if high.any():
-        out[high] = [chr(c).isalpha() for c in codes[high]]
+    out[high] = [beyond(chr(c)) for c in codes[high]]
     return out
 
 
+def letters(codes: np.ndarray) -> np.ndarray:
+    return _looked_up(codes, is_letter(), str.isalpha)
+
+
+def letters_and_digits(codes: np.ndarray) -> np.ndarray:
+    return _looked_up(codes, is_letter_or_digit(), lambda c: c.isalpha() or c.isdigit())
+
+
 def code_points(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """``(codes, offsets)`` of a text column; a null is an empty text."""
     texts = [t or "" for t in column.to_pylist()]
