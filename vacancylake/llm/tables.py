@@ -24,3 +24,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables written by ``stored`` that nothing will read any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for name in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
