@@ -181,7 +181,7 @@ def byte_index(width: int, shard_bytes: int):
     return index
 
 
-def deduplicate(docs: DataFrame, width: int = 100, gram: int = 24, shard_bytes: int = 1 << 20, **limits: int) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 100, gram: int = 24, shard_bytes: int = 2 << 20, **limits: int) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row of ``docs`` (doc_id, text).
 
     Removes each UTF-8 byte that a string of ``width`` bytes covers which also starts earlier: in a

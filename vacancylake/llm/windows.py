@@ -6,10 +6,11 @@ operators that remove text which began earlier; they differ in the index that a
 1. The leftmost smallest gram hash of a window is its anchor.  Equal windows have equal anchors at
    equal places, so only anchors that occur twice can hold repeated windows; they are counted over
    the whole corpus.
-2. Consecutive windows with one anchor form a segment.  Segments of repeated anchors go to the
-   shard of their anchor, each different segment once, with the first place it occurs at.  An
-   anchor with very many different segments (copies that differ nearby) is cut into single windows,
-   which are dealt by their content, so no shard grows with a hot group.
+2. Consecutive windows with one anchor form a segment, known by a 128-bit hash of its items.  Where
+   segments of repeated anchors occur is kept as numbers; their items go to the shard of their
+   anchor, each different segment once, with the first place it occurs at.  An
+   anchor with very many different segments (copies that differ nearby) goes to no shard: its
+   segments are cut into windows, which are grouped by their content.
 3. The shard's index tells for every window where it occurs first.  The answer goes back to all
    occurrences of the segment, and what began earlier is removed.
 """
@@ -37,7 +38,7 @@ from vacancylake.llm.batches import (
     word_hashes,
     word_spans,
 )
-from vacancylake.llm.tables import stored
+from vacancylake.llm.tables import dropped, stored
 
 SLICE_BYTES = 1 << 20
 #: Items that are searched for anchors at once; their places fit in 24 bits.
@@ -57,8 +58,8 @@ class Windows:
     words: bool
     #: A window of the same document counts as earlier too.
     within: bool
-    #: Different segments of one anchor beyond which it is cut into windows.
-    hot_segments: int = 2000
+    #: Different segments of one anchor beyond which it is cut into windows; fewer fit in a shard.
+    hot_segments: int = 8000
     #: Bytes of different segments that a shard gets, about.
     shard_bytes: int = 2 << 20
 
@@ -158,55 +159,96 @@ def _anchors(spec: Windows):
     return run
 
 
+class Runs:
+    """Two 64-bit hashes of any run of values, from running sums."""
+
+    BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+    def __init__(self, values: np.ndarray):
+        self.parts = []
+        for base in self.BASES:
+            powers = np.cumprod(np.full(len(values) + 1, base, dtype=np.uint64))
+            back = np.cumprod(np.full(len(values) + 1, pow(base, -1, 1 << 64), dtype=np.uint64))
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * powers[:-1])))
+            self.parts.append((sums, back))
+
+    def keys(self, start: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+        extra = mixed(length.astype(np.uint64))
+        return [
+            mixed((sums[start + length] - sums[start]) * back[start] + extra).view(np.int64) for sums, back in self.parts
+        ]
+
+
+#: Different segments that a task remembers having sent.
+REMEMBERED = 500_000
+
+
 def _segments(spec: Windows):
+    """Places of segments; the task's first row of a segment has its anchor and items too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in slices(batches, "text", SLICE_BYTES):
             items = Items(batch.column(2), spec.words)
-            row, first, size, anchor = anchored_runs(items.values(), items.bounds, spec.width, spec.gram)
+            values = items.values()
+            row, first, size, anchor = anchored_runs(values, items.bounds, spec.width, spec.gram)
             wanted = batch.column(3)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
             flat = wanted.flatten().to_numpy().view(np.uint64)
             mix = lambda v, r: mixed(v ^ mixed(r.astype(np.uint64)))
             chosen = np.flatnonzero(np.isin(mix(anchor, row), mix(flat, owner)))
-            segments = [items.text(first[k], first[k] + size[k] + spec.width - 1) for k in chosen]
-            rows = pa.array(row[chosen])
+            row, first, anchor = row[chosen], first[chosen], anchor[chosen].view(np.int64)
+            length = size[chosen] + spec.width - 1
+            key_a, key_b = Runs(values).keys(first, length)
+            if len(sent) > REMEMBERED:
+                sent.clear()
+            texts: list[bytes | None] = []
+            for k, key in enumerate(key_a.tolist()):
+                new = key not in sent
+                sent.add(key)
+                texts.append(items.text(first[k], first[k] + length[k]) if new else None)
+            rows = pa.array(row)
+            segments = pa.array(texts, pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(rows),
                     batch.column(1).take(rows),
-                    pa.array(anchor[chosen].view(np.int64)),
-                    pa.array(first[chosen] - items.bounds[row[chosen]]),
-                    pa.array(segments, pa.binary()),
+                    pa.array(first - items.bounds[row]),
+                    pa.array(key_a),
+                    pa.array(key_b),
+                    pa.array(anchor, mask=segments.is_null().to_numpy(zero_copy_only=False)),
+                    segments,
                 ],
-                names=["d", "t", "route", "start", "segment"],
+                names=["d", "t", "start", "key_a", "key_b", "route", "segment"],
             )
 
     return run
 
 
 def _single_windows(spec: Windows):
-    """Segments of hot anchors as one row per window."""
+    """The windows of segments, by 128-bit hash, with the place where each occurs first in the segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, starts, windows = [], [], []
-            base = batch.column(3).to_numpy()
-            for k, segment in enumerate(batch.column(4).to_pylist()):
-                parts = segment.split(b" ") if spec.words else segment
-                for w in range(len(parts) - spec.width + 1):
-                    window = parts[w : w + spec.width]
-                    windows.append(b" ".join(window) if spec.words else window)
-                    rows.append(k)
-                    starts.append(base[k] + w)
+        for batch in slices(batches, "segment", SLICE_BYTES):
+            texts = [t + b" " if spec.words else t for t in batch.column(4).to_pylist()]
+            items = Items(pa.array(texts, pa.large_binary()).view(pa.large_string()), spec.words)
+            counts = np.diff(items.bounds) - spec.width + 1
+            row = np.repeat(np.arange(batch.num_rows), counts)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            at = items.bounds[row] + nth
+            key_a, key_b = Runs(items.values()).keys(at, np.full(len(at), spec.width))
+            rows = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(rows, pa.int64())),
-                    batch.column(1).take(pa.array(rows, pa.int64())),
-                    batch.column(2).take(pa.array(rows, pa.int64())),
-                    pa.array(starts, pa.int64()),
-                    pa.array(windows, pa.binary()),
+                    batch.column(0).take(rows),
+                    batch.column(1).take(rows),
+                    pa.array(nth),
+                    pa.array(key_a),
+                    pa.array(key_b),
+                    batch.column(2).take(rows),
+                    pa.array(batch.column(3).to_numpy()[row] + nth),
                 ],
-                names=["d", "t", "route", "start", "segment"],
+                names=["key_a", "key_b", "nth", "window_a", "window_b", "first_d", "first_start"],
             )
 
     return run
@@ -316,62 +358,84 @@ def repeated_spans(docs: DataFrame, spec: Windows, index: Index) -> DataFrame:
         .agg(F.collect_list("anchor").alias("wanted")),
         "hits",
     )
-    place = "d long, t long, route long, start long, segment binary"
+    dropped(anchors)
+    place = "d long, t long, start long, key_a long, key_b long, route long, segment binary"
     segments = stored(
         rows.select("d", "t", "text").join(hits, ["d", "t"]).mapInArrow(_segments(spec), place), "segments"
     )
-    key_a, key_b = F.xxhash64("segment"), F.xxhash64(F.lit(1), "segment")
-    hot = (
-        segments.select("route", key_a.alias("a"), key_b.alias("b"))
-        .distinct()
-        .groupBy("route")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > spec.hot_segments)
-        .select(F.col("route").alias("hot"))
-    )
-    marked = segments.join(hot, segments["route"] == hot["hot"], "left")
-    single = marked.where("hot is not null").select("d", "t", "route", "start", "segment").mapInArrow(
-        _single_windows(spec), place
-    )
-    parts = (
-        marked.where("hot is null")
-        .drop("hot")
-        .withColumn("deal", F.xxhash64("route"))
-        .unionByName(single.withColumn("deal", F.xxhash64("route", "segment")))
-        .withColumns({"key_a": key_a, "key_b": key_b})
+    dropped(hits)
+    keys = ["key_a", "key_b"]
+    firsts = segments.groupBy(*keys).agg(
+        F.min("d").alias("first_d"), *([F.min(F.struct("d", "start")).alias("first")] if spec.within else [])
     )
+    # what every task sent of a segment is the same
+    items = segments.where("segment is not null").groupBy(*keys).agg(F.min_by(F.struct("route", "segment"), "route").alias("i"))
     different = stored(
-        parts.groupBy("key_a", "key_b", "segment", "route", "deal").agg(
-            F.min("d").alias("first_d"),
-            *([F.min(F.struct("d", "start")).alias("first")] if spec.within else []),
+        firsts.join(items, keys).select(
+            *keys,
+            "i.route",
+            "i.segment",
+            "first_d",
+            (F.col("first.start") if spec.within else F.lit(0).cast("long")).alias("first_start"),
         ),
         "different",
     )
-    size = different.agg(F.sum(F.length("segment"))).first()[0]
-    if size is None:
-        size = 0
+    hot = stored(
+        different.groupBy("route").agg(F.count("*").alias("n")).where(F.col("n") > spec.hot_segments).select("route"), "hot"
+    )
+    has_hot = hot.count() > 0
+    usual = different.join(hot, "route", "left_anti") if has_hot else different
+    size = usual.agg(F.sum(F.length("segment"))).first()[0] or 0
     shards = max(1, -(-size // spec.shard_bytes))
-    first_start = F.col("first.start") if spec.within else F.lit(0).cast("long")
+    answer = "key_a long, key_b long, first_ds array<long>, first_starts array<long>"
     answers = (
-        different.withColumn("shard", F.pmod("deal", F.lit(shards)))
-        .select("shard", "route", "segment", "key_a", "key_b", "first_d", first_start.alias("first_start"))
+        usual.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
         .groupBy("shard")
-        .applyInPandas(_indexed(index), "key_a long, key_b long, first_ds array<long>, first_starts array<long>")
+        .applyInPandas(_indexed(index), answer)
     )
+    if has_hot:
+        answers = answers.unionByName(_answers_of_hot(spec, different.join(hot, "route")))
     spans = (
-        parts.select("d", "t", "start", "key_a", "key_b")
-        .join(answers, ["key_a", "key_b"])
+        segments.select("d", "t", "start", *keys)
+        .join(answers, keys)
         .select("d", "t", "start", "first_ds", "first_starts")
         .mapInArrow(_earlier(spec), "d long, t long, b long, e long")
     )
-    return spans.distinct().groupBy("d", "t").agg(
-        F.collect_list(F.struct("b", "e")).alias("spans")
-    ).select("d", "t", F.col("spans.b").alias("begins"), F.col("spans.e").alias("ends"))
+    out = stored(
+        spans.distinct()
+        .groupBy("d", "t")
+        .agg(F.collect_list(F.struct("b", "e")).alias("spans"))
+        .select("d", "t", F.col("spans.b").alias("begins"), F.col("spans.e").alias("ends")),
+        "spans",
+    )
+    dropped(segments, different, hot)
+    return out
+
+
+def _answers_of_hot(spec: Windows, segments: DataFrame) -> DataFrame:
+    """First places of the windows of segments whose anchor has too many for a shard, by grouping windows."""
+    single = stored(
+        segments.select("key_a", "key_b", "first_d", "first_start", "segment").mapInArrow(
+            _single_windows(spec),
+            "key_a long, key_b long, nth long, window_a long, window_b long, first_d long, first_start long",
+        ),
+        "single",
+    )
+    windows = ["window_a", "window_b"]
+    earliest = single.groupBy(*windows).agg(F.min(F.struct("first_d", "first_start")).alias("first"))
+    placed = F.sort_array(F.collect_list(F.struct("nth", "first.first_d", "first.first_start")))  # one segment's windows
+    return (
+        single.select("key_a", "key_b", "nth", *windows)
+        .join(earliest, windows)
+        .groupBy("key_a", "key_b")
+        .agg(placed.alias("p"))
+        .select("key_a", "key_b", F.col("p.first_d").alias("first_ds"), F.col("p.first_start").alias("first_starts"))
+    )
 
 
 def without_repeats(docs: DataFrame, spec: Windows, index: Index, unit: str) -> DataFrame:
     """``doc_id``, number of items (``unit``), ``n_removed, n_spans, kept_sha256`` of every row."""
-    spans = stored(repeated_spans(docs, spec, index), "spans")
+    spans = repeated_spans(docs, spec, index)
     return (
         keyed(docs)
         .join(spans, ["d", "t"], "left")
