@@ -100,3 +100,22 @@ def test_empty_tables(spark):
     assert without_leaks(docs, items).count() == 0
 
 
+def test_partial_quotes_at_all_offsets(spark):
+    rng = random.Random(5)
+    signs = lambda letters, n: "".join(rng.choices(letters, k=n))
+    item, short = signs("abcdefghijkl", 263), signs("abcdefghijkl", 90)
+    docs, want = [], set()
+    for size, edits in ((108, 0), (120, 0), (131, 12)):
+        for start in range(len(item) - size + 1):
+            quote = list(item[start : start + size])
+            for at in rng.sample(range(size), edits):
+                quote[at] = "z"
+            docs.append((len(docs), f"{signs('mnopqrstuvw', 150)}{''.join(quote)}{signs('mnopqrstuvw', 150)}"))
+            want.add((docs[-1][0], 1))
+    docs += [(9001, signs("mnopqrstuvw", 80) + short[:81] + signs("mnopqrstuvw", 80)), (9002, item[:90])]
+    frame = spark.createDataFrame([(*d, 1, 2) for d in docs], DOCS).repartition(4)
+    found = leaks(frame, spark.createDataFrame([(1, item, 0), (2, short, 0)], ITEMS)).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want | {(9001, 2)}
+    own = [d for d in docs if d[0] % 40 == 0]
+    exact = {(d, i, e) for d, i, e in brute_force(own, [(1, item)], Search())}
+    assert {(r.doc_id, r.item_id, r.edits) for r in found if r.doc_id in {d for d, _ in own}} == exact

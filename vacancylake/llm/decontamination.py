@@ -5,7 +5,8 @@ spaces.  An item is cut into overlapping pieces; a document leaks it when some p
 is within the edit budget of a piece.  A piece of ``m`` signs with ``k`` edits shares at least
 ``m + 1 - q - k * q`` of its q-grams with what it became, all on diagonals at most ``k`` apart.  So
 shared q-grams are counted in overlapping bands of diagonals, only bands that reach the bound are
-kept, and an alignment restricted to the band decides.
+kept, and an alignment restricted to the band decides.  Grams are counted over the item first, and over
+its pieces only in bands that have enough for one.
 
 The benchmark is the query set: its q-grams go to every task, in blocks of bounded size.  Documents
 are never moved.
@@ -25,6 +26,8 @@ from vacancylake.llm.batches import gram_hashes, mixed, runs_expanded, slices
 from vacancylake.llm.linear import code_points, letters_and_digits
 
 SLICE_BYTES = 1 << 20
+#: Candidates aligned together; their costs stay in a core's cache.
+ALIGNED = 512
 FILTER_BITS = 20
 
 
@@ -47,38 +50,44 @@ def normalized(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Pieces:
-    """Pieces of benchmark items that share a gram size, ready to be looked up."""
+    """Benchmark items that share a gram size, ready to be looked up; ``slot_of`` and ``place_of`` say where a gram is.
+
+    The pieces of an item have one length and one budget; ``begins`` has the places where they begin,
+    those of one item after the other.
+    """
 
     q: int
     items: np.ndarray
-    codes: list[np.ndarray]
+    texts: list[np.ndarray]
+    sizes: np.ndarray
     budgets: np.ndarray
     needed: np.ndarray
+    begins: np.ndarray
+    pieces_from: np.ndarray
     grams: np.ndarray
     first: np.ndarray
-    piece_of: np.ndarray
+    slot_of: np.ndarray
     place_of: np.ndarray
     listed: np.ndarray
 
 
 def prepared(items: list[tuple[int, str]], piece: int, stride: int, budget: float, q_most: int) -> list[Pieces]:
     """The pieces of ``items`` by gram size; a shorter piece may need shorter grams for the lemma to hold."""
-    by_q: dict[int, list[tuple[int, np.ndarray, int]]] = {}
+    by_q: dict[int, list[tuple[int, np.ndarray, int, int]]] = {}
     for item, text in items:
         codes, _ = normalized(pa.array([text], pa.large_string()))
         codes = codes[:-1] if len(codes) and codes[-1] == 32 else codes
         if not len(codes):
             continue
-        starts = list(range(0, max(len(codes) - piece, 0), stride)) + [max(len(codes) - piece, 0)]
-        for start in starts:
-            part = codes[start : start + piece]
-            edits = int(budget * len(part))
-            by_q.setdefault(min(q_most, len(part) // (edits + 1)), []).append((item, part, edits))
+        size = min(piece, len(codes))
+        edits = int(budget * size)
+        by_q.setdefault(min(q_most, size // (edits + 1)), []).append((item, codes, size, edits))
     out = []
     for q, parts in sorted(by_q.items()):
-        lengths = np.array([len(p) for _, p, _ in parts])
-        budgets = np.array([k for _, _, k in parts])
-        hashes = [mixed(gram_hashes(p.astype(np.uint64), q)) for _, p, _ in parts]
+        sizes = np.array([size for _, _, size, _ in parts])
+        budgets = np.array([k for _, _, _, k in parts])
+        begins = [[*range(0, len(c) - size, stride), len(c) - size] for _, c, size, _ in parts]
+        hashes = [mixed(gram_hashes(c.astype(np.uint64), q)) for _, c, _, _ in parts]
         counts = np.array([len(h) for h in hashes])
         all_hashes = np.concatenate(hashes)
         order = np.argsort(all_hashes, kind="stable")
@@ -88,13 +97,16 @@ def prepared(items: list[tuple[int, str]], piece: int, stride: int, budget: floa
         out.append(
             Pieces(
                 q=q,
-                items=np.array([i for i, _, _ in parts], dtype=np.int64),
-                codes=[p for _, p, _ in parts],
+                items=np.array([i for i, *_ in parts], dtype=np.int64),
+                texts=[c for _, c, _, _ in parts],
+                sizes=sizes,
                 budgets=budgets,
-                needed=lengths + 1 - q - budgets * q,
+                needed=sizes + 1 - q - budgets * q,
+                begins=np.concatenate(begins).astype(np.int64),
+                pieces_from=np.cumsum([0, *map(len, begins)]),
                 grams=grams,
                 first=np.append(first, len(all_hashes)),
-                piece_of=np.repeat(np.arange(len(parts)), counts)[order],
+                slot_of=np.repeat(np.arange(len(parts)), counts)[order],
                 place_of=runs_expanded(np.zeros(len(parts), dtype=np.int64), counts)[order],
                 listed=listed,
             )
@@ -102,12 +114,8 @@ def prepared(items: list[tuple[int, str]], piece: int, stride: int, budget: floa
     return out
 
 
-def _band_counts(pieces: Pieces, codes: np.ndarray, offsets: np.ndarray):
-    """``(row, piece, first diagonal)`` of bands with enough shared grams; diagonals count from the text's start.
-
-    Bands are ``2 * (k + 1)`` wide and begin every ``k + 1``, so any ``k + 1`` neighbouring diagonals
-    lie in one.
-    """
+def _hits(pieces: Pieces, codes: np.ndarray, offsets: np.ndarray):
+    """``(row, slot, place, diagonal)`` of the grams that texts share with items, where an item has enough of them."""
     hashes = mixed(gram_hashes(codes.astype(np.uint64), pieces.q))
     at = np.flatnonzero(pieces.listed[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
     gram = np.searchsorted(pieces.grams, hashes[at])
@@ -119,25 +127,59 @@ def _band_counts(pieces: Pieces, codes: np.ndarray, offsets: np.ndarray):
     counts = pieces.first[gram + 1] - pieces.first[gram]
     entry = runs_expanded(pieces.first[gram], counts)
     row, at = np.repeat(row, counts), np.repeat(at, counts)
-    piece = pieces.piece_of[entry]
-    # cheap first: enough grams of the piece anywhere in the text
-    pair = row * len(pieces.items) + piece
+    slot = pieces.slot_of[entry]
+    # cheap first: enough grams of the item anywhere in the text
+    pair = row * len(pieces.items) + slot
     total = np.bincount(pair, minlength=0)
-    enough = np.flatnonzero(total[pair] >= pieces.needed[piece])
-    row, at, piece, entry = row[enough], at[enough], piece[enough], entry[enough]
-    diagonal = at - offsets[row] - pieces.place_of[entry]
-    step = pieces.budgets[piece] + 1
+    enough = np.flatnonzero(total[pair] >= pieces.needed[slot])
+    row, at, slot, place = row[enough], at[enough], slot[enough], pieces.place_of[entry[enough]]
+    return row, slot, place, at - offsets[row] - place
+
+
+def _in_pieces(pieces: Pieces, row: np.ndarray, slot: np.ndarray, place: np.ndarray, line: np.ndarray):
+    """``(row, slot, begin, line, count)``: shared grams of each piece on each line, where a piece has enough.
+
+    ``line`` is a diagonal or a band.  An item must have enough on the line before its pieces are looked at.
+    """
+    if not len(row):
+        return (np.zeros(0, np.int64),) * 5
+    lowest = line.min()
+    key = (row * len(pieces.items) + slot) * (line.max() - lowest + 1) + line - lowest
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+    size = np.diff(new, append=len(key))
+    kept = size >= pieces.needed[slot[order[new]]]
+    new, size = new[kept], size[kept]
+    of_hit, order = np.repeat(np.arange(len(new)), size), order[runs_expanded(new, size)]
+    if not len(order):
+        return (np.zeros(0, np.int64),) * 5
+    width = np.int64(max(map(len, pieces.texts)) + 1)
+    at = np.sort(of_hit * width + place[order])
+    head = order[np.cumsum(size) - size]
+    n = np.diff(pieces.pieces_from)[slot[head]]
+    group = np.repeat(np.arange(len(head)), n)
+    begin = pieces.begins[runs_expanded(pieces.pieces_from[slot[head]], n)]
+    last = begin + pieces.sizes[slot[head]][group] - pieces.q
+    count = np.searchsorted(at, group * width + last, "right") - np.searchsorted(at, group * width + begin)
+    enough = count >= pieces.needed[slot[head]][group]
+    head = head[group[enough]]
+    return row[head], slot[head], begin[enough], line[head], count[enough]
+
+
+def _candidates(pieces: Pieces, row: np.ndarray, slot: np.ndarray, place: np.ndarray, diagonal: np.ndarray):
+    """``(row, slot, begin, first diagonal, least edits)`` of bands with enough shared grams of a piece.
+
+    Diagonals count from the text's start.  Bands are ``2 * (k + 1)`` wide and begin every ``k + 1``,
+    so any ``k + 1`` neighbouring diagonals lie in one.  An edit takes ``q`` grams of a piece at most.
+    """
+    step = pieces.budgets[slot] + 1
     band = diagonal // step
-    row, piece, band = (np.concatenate((x, y)) for x, y in ((row, row), (piece, piece), (band, band - 1)))
-    # a gram that occurs twice on a band counts once for each place of the piece, never more than needed
-    order = np.lexsort((band, piece, row))
-    row, piece, band = row[order], piece[order], band[order]
-    new = np.ones(len(row), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (piece[1:] != piece[:-1]) | (band[1:] != band[:-1])
-    begin = np.flatnonzero(new)
-    size = np.diff(begin, append=len(row))
-    kept = begin[size >= pieces.needed[piece[begin]]]
-    return row[kept], piece[kept], band[kept] * (pieces.budgets[piece[kept]] + 1)
+    row, slot, place, band = (np.concatenate(x) for x in ((row, row), (slot, slot), (place, place), (band, band - 1)))
+    # a gram that occurs twice on a band counts once for each place of the text, never less than needed
+    row, slot, begin, band, count = _in_pieces(pieces, row, slot, place, band)
+    missing = np.maximum(pieces.sizes[slot] + 1 - pieces.q - count, 0)
+    return row, slot, begin, band * (pieces.budgets[slot] + 1), -(-missing // pieces.q)
 
 
 def banded_distance(
@@ -146,53 +188,93 @@ def banded_distance(
     """Least edits that turn each row of ``pieces`` into a part of ``texts[start:stop]``, and where it ends.
 
     Alignments stay on the diagonals from ``budget`` before a band to ``budget`` after it; the text's
-    part may begin and end anywhere.  All candidates advance one sign of their pieces at a time.
+    part may begin and end anywhere.  All candidates advance one sign of their pieces at a time; those
+    that have more edits than the budget go no further, and their least edits are given as beyond it.
     """
-    width = 4 * budget + 3
-    column = np.arange(width)
-    offset = diagonals[:, None] - budget + column  # place in the text of piece sign 0 on each diagonal
-    size = (stops - starts)[:, None]
-    length = pieces.shape[1]
+    width, length = 4 * budget + 3, pieces.shape[1]
     big = length + width + 1
-    # cost[c]: best alignment of the piece so far that ends before text place ``offset[c] + i``
-    cost = np.where((offset >= 0) & (offset <= size), 0, big)
+    kind = np.int16 if big < 10_000 else np.int64
+    column = np.arange(width, dtype=kind)
+    # place in the text of piece sign 0 on each diagonal, and of those after it
+    at = diagonals[:, None] - budget + np.arange(width + length)
+    size = (stops - starts)[:, None]
+    here = texts[starts[:, None] + np.clip(at, 0, size - 1)]
+    wall = np.where((at >= 0) & (at <= size), 0, big).astype(kind)
+    least, ends = np.full(len(at), big, dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+    rows = np.arange(len(at))
+    # cost[c]: best alignment of the piece so far that ends before text place ``at[c + i]``
+    cost = wall[:, :width]
+    edge = np.full((len(at), 1), big, dtype=kind)
     for i in range(length):
-        at = offset + i
-        known = (at >= 0) & (at < size)
-        here = texts[starts[:, None] + np.where(known, at, 0)]
-        step = np.where(known, cost + (here != pieces[:, i : i + 1]), big)  # sign against sign: same diagonal
-        skip = np.concatenate((cost[:, 1:], np.full((len(cost), 1), big)), axis=1) + 1  # sign left out
-        skip = np.where((at + 1 >= 0) & (at + 1 <= size), skip, big)
-        best = np.minimum(step, skip)
+        best = cost + (here[:, i : i + width] != pieces[:, i : i + 1])  # sign against sign: same diagonal
+        skip = np.concatenate((cost[:, 1:], edge), axis=1) + kind(1)  # sign left out
+        best = np.minimum(best, skip) - column
         # a text sign put in: along the row, each costing one
-        cost = np.minimum(np.minimum.accumulate(best - column, axis=1) + column, big)
-        cost = np.where((at + 1 >= 0) & (at + 1 <= size), cost, big)
+        cost = np.minimum(np.minimum.accumulate(best, axis=1) + column, kind(big))
+        cost = np.maximum(cost, wall[:, i + 1 : i + 1 + width])
+        if i % 8 == 7:
+            alive = cost.min(axis=1) <= budget
+            if np.count_nonzero(alive) < 0.9 * len(alive):
+                cost, here, wall, pieces, edge, rows = (x[alive] for x in (cost, here, wall, pieces, edge, rows))
+                if not len(rows):
+                    return least, ends
     end = cost.argmin(axis=1)
-    rows = np.arange(len(cost))
-    return cost[rows, end], offset[rows, end] + length
+    least[rows] = cost[np.arange(len(rows)), end]
+    ends[rows] = diagonals[rows] - budget + end + length
+    return least, ends
+
+
+def _aligned(pieces: Pieces, codes: np.ndarray, offsets: np.ndarray, found: tuple, best: dict) -> None:
+    """Align candidates of ``found`` and note in ``best`` what is within budget."""
+    row, slot, begin, diagonal, _ = found
+    sizes = pieces.sizes[slot]
+    for size in np.unique(sizes):  # pieces of one length have one budget
+        own = np.flatnonzero(sizes == size)
+        budget = int(pieces.budgets[slot[own[0]]])
+        for at in range(0, len(own), ALIGNED):
+            some = own[at : at + ALIGNED]
+            rows = row[some]
+            parts = np.stack([pieces.texts[i][b : b + size] for i, b in zip(slot[some], begin[some])])
+            edits, ends = banded_distance(parts, codes, offsets[rows], offsets[rows + 1], diagonal[some], budget)
+            for k in np.flatnonzero(edits <= budget):
+                key, new = (int(rows[k]), int(pieces.items[slot[some[k]]])), (int(edits[k]), int(ends[k]))
+                best[key] = min(best.get(key, new), new)
 
 
 def leaks_of(column: pa.Array, blocks: list[Pieces]) -> list[tuple[int, int, int, int]]:
-    """``(row, item, edits, end)`` of a batch of texts: the best match of each item in each text."""
+    """``(row, item, edits, end)`` of a batch of texts: the best match of each item in each text.
+
+    Pieces that stand in a text as they are need no alignment.  Of the others, those that share most
+    are aligned first, and then those that may still be as good as the best match of their item.
+    """
     codes, offsets = normalized(column)
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for pieces in blocks:
         if len(codes) < pieces.q:
             continue
-        row, piece, diagonal = _band_counts(pieces, codes, offsets)
-        sizes = np.array([len(c) for c in pieces.codes])
-        for size in np.unique(sizes[piece]):  # pieces of one length have one budget
-            own = np.flatnonzero(sizes[piece] == size)
-            budget = int(pieces.budgets[piece[own[0]]])
-            for at in range(0, len(own), 2048):
-                some = own[at : at + 2048]
-                rows = row[some]
-                edits, ends = banded_distance(
-                    np.stack([pieces.codes[p] for p in piece[some]]), codes, offsets[rows], offsets[rows + 1], diagonal[some], budget
-                )
-                for k in np.flatnonzero(edits <= budget):
-                    key, found = (int(rows[k]), int(pieces.items[piece[some[k]]])), (int(edits[k]), int(ends[k]))
-                    best[key] = min(best.get(key, found), found)
+        hits = _hits(pieces, codes, offsets)
+        row, slot, begin, diagonal, count = _in_pieces(pieces, *hits)
+        for k in np.flatnonzero(count == pieces.sizes[slot] + 1 - pieces.q):
+            size = int(pieces.sizes[slot[k]])
+            end = int(begin[k] + diagonal[k]) + size
+            start = int(offsets[row[k]]) + end - size
+            if np.array_equal(codes[start : start + size], pieces.texts[slot[k]][begin[k] : begin[k] + size]):
+                key = (int(row[k]), int(pieces.items[slot[k]]))
+                best[key] = min(best.get(key, (0, end)), (0, end))
+        # a piece of the item stands at ``begin`` of it, so its diagonals are those of the item moved on
+        row, slot, begin, diagonal, least = _candidates(pieces, *hits)
+        found = (row, slot, begin, diagonal + begin, least)
+        keys = list(zip(row.tolist(), pieces.items[slot].tolist()))
+        order = np.lexsort((least, pieces.items[slot], row))
+        first = {keys[k]: k for k in order[::-1].tolist()}
+        now = np.array(sorted(k for key, k in first.items() if best.get(key, (1, 0))[0] > 0), dtype=np.int64)
+        _aligned(pieces, codes, offsets, tuple(x[now] for x in found), best)
+        done = set(now.tolist())
+        rest = [
+            k for k, key in enumerate(keys)
+            if k not in done and 0 < best.get(key, (len(codes), 0))[0] and least[k] <= best.get(key, (len(codes), 0))[0]
+        ]
+        _aligned(pieces, codes, offsets, tuple(x[np.array(rest, dtype=np.int64)] for x in found), best)
     return [(row, item, edits, end) for (row, item), (edits, end) in sorted(best.items())]
 
 
@@ -210,10 +292,15 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int,
 
 @dataclass(frozen=True)
 class Search:
-    """``piece`` signs at a time, every ``stride``; ``budget`` edits for each sign; grams of ``q`` at most."""
+    """``piece`` signs at a time, every ``stride``; ``budget`` edits for each sign; grams of ``q`` at most.
+
+    Pieces begin at most one edit budget apart.  So every verbatim quote of 108 signs or more of an item of 120
+    or more has a piece within budget wherever it begins: what the piece has before and after the quote is 12 signs
+    at most.  Quotes of 131 signs and more hold a whole piece and may have the budget in edits besides.
+    """
 
     piece: int = 120
-    stride: int = 60
+    stride: int = 12
     budget: float = 0.1
     q: int = 8
     block_chars: int = 2_000_000
