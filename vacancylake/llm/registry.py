@@ -74,7 +74,7 @@ def op8_ngram_join(spark, sf_dir):
 
 @query
 def op9_line_dedup(spark, sf_dir):
-    kept = fuzzy_lines.deduplicate(read_table(spark, sf_dir, "documents"))
+    kept = fuzzy_lines.deduplicate(read_table(spark, sf_dir, "documents"), every=True)
     text = F.coalesce("text", F.lit("")).cast("binary")
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(text, 256).alias("kept_sha256"))
 
