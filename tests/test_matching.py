@@ -191,6 +191,26 @@ def test_enrichment_with_a_dictionary_of_any_size(spark, fuzzy, monkeypatch):
     assert ("'fuzzy'" in kinds) == fuzzy
 
 
+@pytest.mark.parametrize(("fuzzy", "holds"), [(False, True), (False, False), (True, True), (True, False)])
+def test_matches_of_postings_without_an_id_or_with_a_repeated_one(spark, fuzzy, holds, monkeypatch):
+    monkeypatch.setattr(TermIndex, "holds", classmethod(lambda cls, terms: holds))
+    texts = [
+        "Senior engineer with Python and machine learning", "Postgresql, javascrpt and kubernets for a team lead",
+        "Docker, reactt and deep lerning", "Java and Python for the backend", None, "",
+    ]
+
+    def shown(ids):
+        postings = from_records(spark, [{"job_id": i, "title": "t", "description": t} for i, t in zip(ids, texts)])
+        e = enrich(postings, terms=builtin_terms(spark), fuzzy=fuzzy, min_length=2, keep_short=True)
+        lists = [f for f in [*MATCH_FIELDS.values(), "seniority_levels"]]
+        rows = e.select("description", "extracted.*").collect()
+        return sorted((str(r.description), [sorted(map(str, r[f] or [])) for f in lists]) for r in rows)
+
+    want = shown(range(len(texts)))
+    assert sum(any(found) for _, found in want) == 4
+    assert shown([7, 7, None, None, 7, None]) == want
+
+
 def test_user_dictionary_fields(spark):
     entries = spark.createDataFrame([("tools", "hammer", '{"aliases": ["mallet"]}')], "category string, term string, body string")
     df = from_records(spark, [{"job_id": 1, "title": "t", "description": "a mallet and a hamer " * 5}])

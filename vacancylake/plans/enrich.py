@@ -62,12 +62,14 @@ def _no_matches() -> Column:
 
 
 def _with_joined(
-    df: DataFrame, text: str, terms: DataFrame | None, fuzzy: bool, key: str, cleaning: dict
+    df: DataFrame, text: str, terms: DataFrame | None, fuzzy: bool, cleaning: dict
 ) -> tuple[DataFrame, list[str]]:
     """``df`` with the matches of a large dictionary and the fuzzy ones as maps, and its names.
 
-    Texts are told by ``key``; those without one get no such matches.
+    Each different text is matched once, and told by its hash: ids may be missing or repeated.
     """
+    key = "_text_hash"
+    df = df.withColumn(key, F.unhex(F.md5(F.col(text).cast("binary"))))
     cleaned = df.where(F.col(key).isNotNull()).select(key, clean(F.col(text), **cleaning).alias("_c"))
     cleaned = cleaned.dropDuplicates([key])
     names: list[str] = []
@@ -81,7 +83,7 @@ def _with_joined(
         none = rows.sparkSession.createDataFrame([], LONG_MATCH.format(rows.schema[key].dataType.simpleString(), key=key))
         found = by_dictionary(add_fuzzy(none, rows, key), key)
         df = df.join(found.withColumnRenamed("matches", "_by_spelling"), key, "left")
-    return df, names
+    return df.drop(key), names
 
 
 LONG_MATCH = (
@@ -110,13 +112,12 @@ def extract(
     mode: str = "patterns",
     cleaning: dict | None = None,
     only: Column | None = None,
-    key: str = "job_id",
 ) -> DataFrame:
     """Add ``description_cleaned``, ``extracted`` and ``confidence_scores`` to every row.
 
     The dictionary is the built-in one, an ``index``, or a table of ``terms`` of any size; a small
     table is matched inside the row, a large one by joins, with the same matches.  ``fuzzy`` adds
-    terms that are nearly spelt like a phrase of the text, which joins on ``key``.
+    terms that are nearly spelt like a phrase of the text, which joins on the text's hash.
 
     Where ``only`` is given and false, every field is NULL.  The condition sits on the matches
     and the other fields, not on the structs, so that a reader of a few fields computes no others.
@@ -131,7 +132,7 @@ def extract(
     index = index or TermIndex.builtin()
     names = list(index.names)
     if large or fuzzy:
-        df, joined = _with_joined(df, text, terms, fuzzy, key, cleaning or {})
+        df, joined = _with_joined(df, text, terms, fuzzy, cleaning or {})
         names += [n for n in joined if n not in names] if large else []
     df = df.withColumn("_only", F.lit(True) if only is None else only)
 
