@@ -6,9 +6,11 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from vacancylake.checks.compare import connect, differences
+from vacancylake.sources.postings import derived_postings
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SOME = [
@@ -37,6 +39,19 @@ def test_same_rows_as_sql(spark, con, name):
     assert rows
 
 
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+def test_postings_are_spread(spark):
+    """As many busy partitions as asked for, however few bytes there are."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 32)
+    try:
+        rows = derived_postings(spark, SF_DIR).select("job_id", "description")
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(sizes) == 32 and max(sizes) < 3 * sum(sizes) / 32
+
+
 def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(SOME) <= set(entry.queries())

@@ -62,8 +62,10 @@ DERIVED_FROM = ("orders", "customer", "nation", "documents")
 
 def derived_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in DERIVED_FROM}
-    # Narrow rows are dealt before the texts join them, since the texts' lengths differ.
-    tables["orders"] = tables["orders"].repartition("o_orderkey")
+    # Narrow rows are dealt before the texts join them, since the texts' lengths differ.  The number
+    # is named: without one, adaptive execution would merge the few bytes into one or two tasks.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables["orders"] = tables["orders"].repartition(parts, "o_orderkey")
     return spark.sql(DERIVED_POSTINGS_SQL, **tables)
 
 
