@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancylake.llm import fuzzy_lines, language_model, quality, substrings, suffixes
+from vacancylake.llm import block_names, fuzzy_lines, language_model, oracle, quality, substrings, suffixes
 from vacancylake.llm.decontamination import leaks
 from vacancylake.llm.language import identify
 from vacancylake.llm.ngram_join import linked_documents
@@ -17,7 +17,7 @@ from vacancylake.llm.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(oracle.ORACLE)
 
 
 def query(fn: Query) -> Query:
@@ -82,3 +82,8 @@ def op9_line_dedup(spark, sf_dir):
 @query
 def op3_lm_score(spark, sf_dir):
     return language_model.score(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_block_names(spark, sf_dir):
+    return block_names.deduplicate(read_table(spark, sf_dir, "documents"))
