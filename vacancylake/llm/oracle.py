@@ -16,3 +16,74 @@ SELECT doc_id,
   sha256(plain) AS text_sha256
 FROM texts
 """
+
+
+def _half_byte_checksums() -> list[int]:
+    """CRC-32 of each half byte, by its rule: shift right, and fold the polynomial in where a bit falls out."""
+    out = []
+    for value in range(16):
+        for _ in range(4):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
+def crc32_sql(decimal: str) -> str:
+    """Unsigned CRC-32 of a decimal number's digits; null for null."""
+    halves = (
+        f"flatten(list_transform(string_split({decimal}, ''), "
+        "lambda c: [(ord(c) & 15)::BIGINT, (ord(c) >> 4)::BIGINT]))"
+    )
+    step = f"lambda a, n: xor({_half_byte_checksums()}[(xor(a, n) & 15) + 1]::BIGINT, a >> 4)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {halves}), {step}), 4294967295::BIGINT)"
+
+
+def _encoded(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(CAST(octet_length(encode({text})) AS VARCHAR) || ':' || {text}, '-')"
+
+
+def _leaf(chars: str) -> str:
+    return "sha256(" + " || ".join(_encoded(v) for v in ("doc_id", "source", "lang", chars, "text")) + ")"
+
+
+_UP = """list_transform(range(0, (len(nodes) + 1) // 2),
+    lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))"""
+_BESIDE = "t.nodes[xor(w.place, 1) + 1]"
+_FOLDED = f"""sha256(CASE WHEN {_BESIDE} IS NULL THEN w.node
+    WHEN w.place % 2 = 0 THEN w.node || {_BESIDE} ELSE {_BESIDE} || w.node END)"""
+
+# Trees as lists that shrink level by level; rows walk up them one level at a time.
+ORACLE["op11_merkle_manifest"] = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+    CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 AND n_chars IS NOT NULL
+      THEN {_leaf("n_chars + 1")} END AS altered
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM hashed),
+trees AS (
+  SELECT lang, list(leaf ORDER BY place) AS nodes, 0 AS level FROM leaves GROUP BY lang
+  UNION ALL SELECT lang, {_UP}, level + 1 FROM trees WHERE len(nodes) > 1),
+subroots AS (
+  SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place
+  FROM trees WHERE len(nodes) = 1),
+upper_tree AS (
+  SELECT list(subroot ORDER BY place) AS nodes, 0 AS level FROM subroots
+  UNION ALL SELECT {_UP}, level + 1 FROM upper_tree WHERE len(nodes) > 1),
+walk AS (
+  SELECT doc_id, lang, leaf, place, 0 AS level, coalesce(altered, leaf) AS node, '' AS siblings FROM leaves
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.leaf, w.place // 2, w.level + 1, {_FOLDED}, w.siblings || coalesce({_BESIDE}, '')
+  FROM walk w JOIN trees t ON w.lang IS NOT DISTINCT FROM t.lang AND w.level = t.level AND len(t.nodes) > 1),
+arrived AS (
+  SELECT w.doc_id, w.leaf, s.subroot, s.place, 0 AS level, w.node, w.siblings
+  FROM walk w JOIN trees t ON w.lang IS NOT DISTINCT FROM t.lang AND w.level = t.level AND len(t.nodes) = 1
+  JOIN subroots s ON w.lang IS NOT DISTINCT FROM s.lang
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.subroot, w.place // 2, w.level + 1, {_FOLDED}, w.siblings || coalesce({_BESIDE}, '')
+  FROM arrived w JOIN upper_tree t ON w.level = t.level AND len(t.nodes) > 1)
+SELECT a.doc_id, a.leaf, a.subroot, t.nodes[1] AS root, sha256(a.siblings) AS proof_sha256,
+  a.node AS folded_root, a.node = t.nodes[1] AS verified
+FROM arrived a JOIN upper_tree t ON a.level = t.level AND len(t.nodes) = 1
+"""

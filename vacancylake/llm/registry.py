@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancylake.llm import block_names, fuzzy_lines, language_model, oracle, quality, substrings, suffixes
+from vacancylake.llm import block_names, fuzzy_lines, language_model, merkle, oracle, quality, substrings, suffixes
 from vacancylake.llm.decontamination import leaks
 from vacancylake.llm.language import identify
 from vacancylake.llm.ngram_join import linked_documents
@@ -87,3 +87,8 @@ def op3_lm_score(spark, sf_dir):
 @query
 def op13_block_names(spark, sf_dir):
     return block_names.deduplicate(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(read_table(spark, sf_dir, "documents"))
