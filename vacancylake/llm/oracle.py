@@ -87,3 +87,36 @@ SELECT a.doc_id, a.leaf, a.subroot, t.nodes[1] AS root, sha256(a.siblings) AS pr
   a.node AS folded_root, a.node = t.nodes[1] AS verified
 FROM arrived a JOIN upper_tree t ON a.level = t.level AND len(t.nodes) = 1
 """
+
+# Every prefix as a list; sums over a subtree by way of each node's own prefixes.
+ORACLE["op12_prefix_trie"] = f"""
+WITH turns AS (
+  SELECT conv_id, turn, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list(said ORDER BY turn NULLS FIRST) AS said,
+    {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h, conv_id - conv_id % 5 AS taken_from
+  FROM turns GROUP BY conv_id),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.said[1:o.h], []), o.said[o.h + 1:]) AS said
+  FROM own o LEFT JOIN own b ON b.conv_id = o.taken_from),
+starts AS (
+  SELECT conv_id, d AS depth, said[1:d] AS prefix, len(said) AS turns
+  FROM (SELECT conv_id, said, unnest(range(0, len(said) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (turns = depth), '')) AS ends_sha256,
+    CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * octet_length(encode(prefix[depth].text)) END AS saved
+  FROM starts GROUP BY prefix, depth),
+children AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+above AS (
+  SELECT prefix[1:d] AS prefix, saved, leaf FROM (
+    SELECT n.prefix, n.saved, c.n IS NULL AS leaf, unnest(range(0, n.depth + 1)) AS d
+    FROM nodes n LEFT JOIN children c ON c.prefix = n.prefix)),
+sums AS (SELECT prefix, sum(saved) AS saved, sum(CASE WHEN leaf THEN 1 ELSE 0 END) AS leaves FROM above GROUP BY prefix)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.prefix = n.prefix
+LEFT JOIN children c ON c.prefix = n.prefix
+LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
+"""

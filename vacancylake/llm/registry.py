@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancylake.llm import block_names, fuzzy_lines, language_model, merkle, oracle, quality, substrings, suffixes
+from vacancylake.llm import (
+    block_names,
+    fuzzy_lines,
+    language_model,
+    merkle,
+    oracle,
+    prefix_trie,
+    quality,
+    substrings,
+    suffixes,
+)
 from vacancylake.llm.decontamination import leaks
 from vacancylake.llm.language import identify
 from vacancylake.llm.ngram_join import linked_documents
@@ -84,6 +94,11 @@ def op3_lm_score(spark, sf_dir):
     return language_model.score(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
 @query
 def op13_block_names(spark, sf_dir):
     return block_names.deduplicate(read_table(spark, sf_dir, "documents"))
