@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vacancylake.operators.fuzzy import add_fuzzy, fuzzy_matches
+from vacancylake.operators.fuzzy import add_fuzzy, candidates, fuzzy_matches
 from vacancylake.operators.term_match import (
     TermIndex,
     keyword_confidence,
@@ -14,6 +14,7 @@ from vacancylake.operators.term_match import (
     top_matches,
 )
 from vacancylake.plans.enrich import MATCH_FIELDS, enrich
+from vacancylake.schemas import TERM
 from vacancylake.sources.dictionaries import builtin_terms, collect_terms, read_dictionary, surface_forms
 from vacancylake.sources.postings import from_records
 from vacancylake.sources.vocabulary import COMPACT_DICTIONARIES, DICTIONARIES, Term, flatten
@@ -157,6 +158,42 @@ def test_fuzzy_agrees_with_every_pair(spark):
     assert wanted
 
 
+@pytest.mark.parametrize("cutoff", [0.795, 0.7, 0.9, 0.6])
+def test_index_of_letter_pairs_loses_no_pair(spark, cutoff):
+    """Every phrase and form that reach the cutoff are candidates, and most others are not."""
+    rnd = random.Random(11)
+
+    def varied(word):
+        letters = list(word)
+        for _ in range(rnd.randint(0, len(word) // 3 + 1)):
+            at = rnd.randrange(len(letters) + 1)
+            letters[at : at + rnd.randint(0, 1)] = rnd.choices("abx ", k=rnd.randint(0, 1))
+        return " ".join("".join(letters).split())
+
+    forms = sorted({"".join(rnd.choices("abcdefgh", k=rnd.randint(1, 16))) for _ in range(60)} | {"aaaaaaaa", "abababab", "ab", "a"})
+    words = sorted({v for f in forms for v in [varied(f) for _ in range(4)] if v and " " not in v} | {"aaaaaa", "axb", "abababa"})
+    got = candidates(
+        spark.createDataFrame([(1, w) for w in words], "words int, phrase string"),
+        spark.createDataFrame([(1, f) for f in forms], "words int, form string"),
+        cutoff,
+    ).collect()
+    pairs = {(r.phrase, r.form) for r in got}
+    wanted = {(w, f) for w in words for f in forms if 2 * common(w, f) / (len(w) + len(f)) >= cutoff}
+    assert wanted <= pairs
+    assert len(wanted) > 50 and (cutoff < 0.75 or len(pairs) < len(words) * len(forms) / 4)
+
+
+def test_aliases_of_hundreds_of_words(spark):
+    """Long forms are found whole, and only whole."""
+    long = " ".join(f"w{i % 7}" for i in range(500))
+    rows = [("one", long), ("two", "w0 w1"), ("three", " ".join(f"v{i}" for i in range(120)))]
+    terms = spark.createDataFrame([("d", "c", "", t, 1.0, a, 0) for t, a in rows], TERM)
+    texts = [long, f"x {long} y", long[:-1] + "9", rows[2][1], rows[2][1] + "0", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {(r.id, r.keyword) for r in match_by_join(df, "id", "t", terms, whole_phrases=True).collect()}
+    assert got == {(0, "one"), (1, "one"), (0, "two"), (1, "two"), (2, "two"), (3, "three")}
+
+
 def test_fuzzy_only_fills_gaps(spark):
     terms = flatten({"skills": DICTIONARIES["skills"]})
     df = spark.createDataFrame([(1, "javascript javascrpt and kotlinn")], "id long, t string")

@@ -1,10 +1,11 @@
 """Fuzzy matching of dictionary terms against texts.
 
-Spelling is compared once per distinct word or phrase of the whole table, not per occurrence.  A
-phrase meets the terms of its own word count and of a length that can still reach the threshold.
-Terms and phrases that differ in too many letters are told by one look at two bit masks, a bounded
-edit distance discards nearly all others, and the exact score is computed for the rest.  All of it
-are column expressions, and all terms take part, however short.
+Spelling is compared once per distinct word or phrase of the whole table, not per occurrence.
+Phrases find the terms they can match through an inverted index of letter pairs (``gram_index``):
+a common subsequence long enough for the threshold needs a number of shared pairs, so rare ones
+suffice as keys, and counts of pairs that differ, read off bit masks, discard most that meet.  A
+bounded edit distance discards nearly all others, and the exact score is computed for the rest.
+All of it are column expressions, and all terms take part, however short.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancylake.functions.text import match_form
+from vacancylake.operators.gram_index import MASKS, allowed, can_match, described, frequencies
 from vacancylake.operators.phrases import phrases
 from vacancylake.schemas import TERM
 from vacancylake.session import materialize
@@ -78,39 +80,31 @@ def ratio(left: str, right: str) -> Column:
     return F.round(F.lit(200.0) * common_length(F.col(left), F.col(right)) / total) / 100.0
 
 
-def _letter_mask(text: Column) -> Column:
-    """A bit for each letter that occurs, several letters sharing one."""
-    return F.aggregate(
-        _letters(text),
-        F.lit(0).cast("long"),
-        lambda mask, c: mask.bitwiseOR(
-            F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(61)))
-        ),
-    )
-
-
 def term_table(df: DataFrame, terms: DataFrame | Iterable[Term]) -> DataFrame:
     """Terms given as rows of ``schemas.TERM`` or in a Python collection, as a table."""
     return terms if isinstance(terms, DataFrame) else df.sparkSession.createDataFrame(list(terms), TERM)
 
 
-def _targets(terms: DataFrame, threshold: float) -> DataFrame:
-    """Term names, once per phrase length they can match."""
+def _named(terms: DataFrame) -> DataFrame:
+    """Term names with the form they are compared in."""
     named = terms.where("alias_pos = 0").withColumn("form", match_form(F.col("alias"))).where("form != ''")
-    size = F.length("form")
-    shortest = F.ceil(size * threshold / (2 - threshold) - 1e-9).cast("int")
-    longest = F.floor(size * (2 - threshold) / threshold + 1e-9).cast("int")
-    return named.select(
-        "dict",
-        F.col("term").alias("keyword"),
-        "category",
-        "subcategory",
-        "weight",
-        "form",
-        _letter_mask(F.col("form")).alias("form_letters"),
-        F.size(F.split("form", " ")).alias("words"),
-        F.explode(F.sequence(shortest, longest)).alias("length"),
-    ).distinct()
+    return named.select("dict", F.col("term").alias("keyword"), "category", "subcategory", "weight", "form").distinct()
+
+
+def candidates(vocabulary: DataFrame, forms: DataFrame, cutoff: float) -> DataFrame:
+    """``(words, phrase, form)``: the phrases and forms of as many words that may reach the cutoff.
+
+    ``vocabulary``: different ``words, phrase``; ``forms``: different ``words, form``.  Phrases meet
+    forms through the keys of ``gram_index``; what lengths and shared letter pairs rule out is gone.
+    """
+    often = frequencies(forms, "form")
+    columns = ["words", "length", "n_pairs", *[f"mask{k}" for k in range(MASKS)]]
+    # Written, so that the planner knows the sizes and nothing is described once for each key.
+    left = materialize(described(vocabulary, "phrase", often, cutoff).select("phrase", *columns, "keys"), "phrases")
+    right = materialize(described(forms, "form", often, cutoff).select("form", *[F.col(c).alias(f"f_{c}") for c in columns], F.explode("keys").alias("f_key")), "forms")
+    left = left.withColumn("key", F.explode("keys")).drop("keys")
+    met = left.join(right, (F.col("key") == F.col("f_key")) & (F.col("words") == F.col("f_words")) & can_match(cutoff, "f_"))
+    return met.select("words", "phrase", "form").distinct()
 
 
 def fuzzy_matches(
@@ -131,33 +125,26 @@ def fuzzy_matches(
         raise ValueError(f"scorer is one of {SCORERS}")
     # Scores are rounded to whole percent, so pairs half a percent below still reach it.
     cutoff = threshold - 0.005 if scorer == "ratio" else threshold
-    targets = _targets(term_table(df, terms), cutoff)
+    targets = _named(term_table(df, terms))
+    different = targets.select(F.size(F.split("form", " ")).alias("words"), "form").distinct()
     # One small number per distinct word count of the term names.
-    counts = [r["words"] for r in targets.select("words").distinct().collect()]
+    counts = [r["words"] for r in different.select("words").distinct().collect()]
     forms = materialize(df.select(key, match_form(F.col(text)).alias("t")), "forms")
     found = phrases(forms, key, "t", counts)
-    vocabulary = found.select("words", "phrase").distinct()
-    # Every insertion or deletion changes one letter at most.
-    allowed = F.floor((1 - F.lit(cutoff)) * (F.col("length") + F.length("form")) + 1e-9).cast("int")
-    masks = F.bit_count(F.col("letters").bitwiseXOR(F.col("form_letters")))
-    most = allowed if scorer == "ratio" else allowed * 2
+    vocabulary = found.where("phrase != ''").select("words", "phrase").distinct()
+    sizes = F.length("phrase") + F.length("form")
     near = (
-        vocabulary.where("phrase != ''")
-        .withColumns({"length": F.length("phrase"), "letters": _letter_mask(F.col("phrase"))})
-        .join(targets, ["words", "length"])
-        .where((F.abs(F.col("length") - F.length("form")) <= allowed) & (masks <= most))
+        candidates(vocabulary, different, cutoff)
         # Gives up beyond the limit, with -1.
-        .withColumn("distance", F.call_function("levenshtein", F.col("phrase"), F.col("form"), allowed))
+        .withColumn("distance", F.call_function("levenshtein", F.col("phrase"), F.col("form"), allowed(sizes, cutoff)))
         .where("distance >= 0")
     )
     if scorer == "ratio":
         scored = near.withColumn("score", ratio("phrase", "form"))
     else:
-        scored = near.withColumn("score", 1 - F.col("distance") / F.greatest("length", F.length("form")))
+        scored = near.withColumn("score", 1 - F.col("distance") / F.greatest(F.length("phrase"), F.length("form")))
     hits = materialize(
-        scored.where(F.col("score") >= threshold).select(
-            "words", "phrase", "dict", "keyword", "category", "subcategory", "weight", "score"
-        ),
+        scored.where(F.col("score") >= threshold).select("words", "phrase", "form", "score").join(targets, "form").drop("form"),
         "fuzzy-hits",
     )
     return (

@@ -4,22 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacancylake.functions.arrays import constant
+from vacancylake.schemas import LONGS
 
-def phrases(forms: DataFrame, key: str, form: str, counts: Iterable[int]) -> DataFrame:
-    """``(key, words, phrase)`` for every run of as many words as ``counts`` names.
+#: Bits of a ``PhraseGate``, 64 of them in a number: what reaches the driver and the plan.
+GATE_BITS = 1 << 18
+
+
+class PhraseGate:
+    """Which runs of words can be one of a dictionary's forms, told by their ends.
+
+    The number of words and the first, middle and last one of each form set a bit by their hash.  A
+    place of a text asks for the bit of each word count, at the same cost for a form of two words
+    and one of five hundred; the run itself is put together only where the bit is set.  Forms beyond
+    what the bits tell apart let more runs through and lose none.
+    """
+
+    def __init__(self, forms: DataFrame, form: str = "form"):
+        words = forms.select(F.split(F.col(form), " ").alias("w"))
+        slots = words.select(self._slot("w", F.lit(0), F.size("w")).alias("s")).distinct()
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("s", F.lit(64)).cast("int"))
+        rows = slots.groupBy(F.floor(F.col("s") / 64).alias("at")).agg(F.bit_or(one).alias("bits")).collect()
+        table = [0] * (GATE_BITS // 64)
+        for row in rows:
+            table[row["at"]] = row["bits"]
+        self._bits = constant(table, LONGS)
+
+    @staticmethod
+    def _slot(words: str | Column, at: Column, count: Column) -> Column:
+        words = F.col(words) if isinstance(words, str) else words
+        ends = [F.get(words, at), F.get(words, at + F.floor(count / 2).cast("int")), F.get(words, at + count - 1)]
+        return F.pmod(F.xxhash64(count, *ends), F.lit(GATE_BITS)).cast("int")
+
+    def lets(self, words: str, at: Column, count: Column) -> Column:
+        """The run of ``count`` words at ``at``, counted from 0, may be a form."""
+        slot = self._slot(words, at, count)
+        bits = F.get(self._bits, F.floor(slot / 64).cast("int"))
+        return F.getbit(bits, F.pmod(slot, F.lit(64))) == 1
+
+
+def phrases(
+    forms: DataFrame, key: str, form: str, counts: Iterable[int], gate: PhraseGate | None = None
+) -> DataFrame:
+    """``(key, words, phrase)`` for every run of as many words as ``counts`` names and ``gate`` lets through.
 
     ``form`` went through ``functions.text.match_form``.  The runs of a text are one array until
     they become rows, so a long text is not copied along with each of its words.
     """
     words = forms.select(key, F.split(F.col(form), " ").alias("w"))
     numbers = F.array(*[F.lit(n) for n in sorted(counts)]).cast("array<int>")
+
+    def starts(n: Column) -> Column:
+        every = F.sequence(F.lit(1), F.size("w") - n + 1)
+        return F.filter(every, lambda at: gate.lets("w", at - 1, n)) if gate else every
+
     places = F.transform(
         F.filter(numbers, lambda n: n <= F.size("w")),
         lambda n: F.transform(
-            F.sequence(F.lit(1), F.size("w") - n + 1),
+            starts(n),
             lambda at: F.struct(n.alias("words"), F.array_join(F.slice("w", at, n), " ").alias("phrase")),
         ),
     )

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from vacancylake.functions.arrays import constant, let, tagged
 from vacancylake.functions.spotting import LABELS, token_forms
 from vacancylake.functions.text import match_form
-from vacancylake.operators.phrases import phrases
+from vacancylake.operators.phrases import PhraseGate, phrases
 from vacancylake.schemas import MATCH, STRINGS
 from vacancylake.sources.vocabulary import DICTIONARIES, Term, flatten
 
@@ -271,14 +271,15 @@ def match_by_join(
     Words of the texts meet the first words of the forms, and the whole form is looked up in the
     text at hand; the planner broadcasts a dictionary that is small in bytes.  With
     ``whole_phrases`` the texts' phrases, which carry no text along, are joined instead: for
-    dictionaries too large to broadcast.  Only matches are grouped.
+    dictionaries too large to broadcast.  Only phrases that begin, go on and end like a form become
+    rows, so aliases of any length cost their place a look.  Only matches are grouped.
     """
     forms = terms.withColumn("form", match_form(F.col("alias"))).where("form != ''")
     texts = df.select(key, match_form(F.col(text)).alias("t"))
     if whole_phrases:
         # One small number per distinct word count of the forms.
         counts = forms.select(F.size(F.split("form", " ")).alias("n")).distinct().collect()
-        found = phrases(texts, key, "t", [r.n for r in counts])
+        found = phrases(texts, key, "t", [r.n for r in counts], PhraseGate(forms)).distinct()
         hits = found.join(forms.withColumnRenamed("form", "phrase"), "phrase")
     else:
         heads = forms.withColumn("head", F.substring_index("form", " ", 1))

@@ -3,6 +3,7 @@
 from pyspark.sql import types as T
 
 STRINGS = T.ArrayType(T.StringType())
+LONGS = T.ArrayType(T.LongType())
 
 MATCH = T.StructType(
     [
