@@ -8,7 +8,7 @@ from vacancylake.plans.enrich import DONE, enrich, full_record
 from vacancylake.plans.process import backfill, process_all, process_urls, quick_sample, reprocess, run, select_pending
 from vacancylake.schemas import POSTING
 from vacancylake.sources.postings import append_postings, from_records, get_postings, read_postings, write_json
-from vacancylake.sources.store import current_parts, read_current
+from vacancylake.sources.store import BUCKETS, read_current, touched_buckets
 
 TEXT = "Senior engineer with 5+ years of experience in Python and AWS. "
 
@@ -87,11 +87,10 @@ def test_process_all_adds_what_is_new(spark, postings, tmp_path):
     root = str(tmp_path / "store")
     assert read_current(spark, root) is None
     first = process_all(spark, postings.where("job_id < 5"), root).first()
-    assert (first.processed, first.skipped, first.errors, len(current_parts(spark, root))) == (2, 1, 0, 1)
+    assert (first.processed, first.skipped, first.errors) == (2, 1, 0)
     assert first.ended_at >= first.started_at and first.avg_seconds == first.total_seconds / 2
     second = process_all(spark, postings, root).first()
     assert (second.processed, second.skipped) == (2, 2)
-    assert len(current_parts(spark, root)) == 2
     assert sorted(r.job_id for r in read_current(spark, root).collect()) == [1, 2, 6, 7]
     third = process_all(spark, postings, root).first()
     assert (third.processed, third.skipped) == (0, 2)  # the too short ones
@@ -105,30 +104,42 @@ def test_limit_counts_new_postings(spark, postings, tmp_path):
         assert sorted(r.job_id for r in read_current(spark, root).collect()) == wanted
 
 
+def files_of(root):
+    return {p.relative_to(root).as_posix() for p in root.glob("bucket=*/*.parquet")}
+
+
 def test_reprocess(spark, postings, tmp_path):
-    root = str(tmp_path / "store")
-    process_all(spark, postings.where("job_id < 5"), root)
+    """Only the partitions that the changed ids fall into are written anew."""
+    root = tmp_path / "store"
+    process_all(spark, postings.where("job_id < 5"), str(root))
     changed = from_records(spark, [posting(1, TEXT + "Kotlin"), posting(9)])
-    before = {part: set(live) for part, live in current_parts(spark, root).items()}
-    summary = reprocess(spark, changed.unionByName(changed.where("job_id = 1")), root).first()
-    assert summary.processed == 3
-    after = current_parts(spark, root)
-    (old,) = before
-    assert len(after) == 2 and len(before[old]) - len(after[old]) == 2  # the buckets of two ids
-    skills = {r.job_id: r.s for r in read_current(spark, root).select(
+    before, touched = files_of(root), touched_buckets(changed)
+    summary = reprocess(spark, changed.unionByName(changed.where("job_id = 1")), str(root)).first()
+    assert summary.processed == 3 and len(touched) == 2
+    same = {f for f in before if f.split("/")[0] not in {f"bucket={b}" for b in touched}}
+    assert same and same == before & files_of(root)
+    skills = {r.job_id: r.s for r in read_current(spark, str(root)).select(
         "job_id", F.col("extracted.matched_skills.keyword").alias("s")).collect()}
     assert skills == {1: ["python", "kotlin"], 2: ["python"], 9: ["python"]}
 
 
-def test_unrecorded_parts_and_broken_logs(spark, postings, tmp_path):
+def test_reprocess_into_an_empty_store(spark, tmp_path):
     root = str(tmp_path / "store")
-    process_all(spark, postings.where("job_id = 1"), root)
-    stray = read_current(spark, root).withColumn("bucket", F.lit(0))
-    stray.write.partitionBy("bucket").parquet(f"{root}/data/part=never-recorded")
-    assert read_current(spark, root).count() == 1
-    (tmp_path / "store" / "log" / "part-bad.parquet").write_text("no parquet")
+    reprocess(spark, from_records(spark, [posting(1), posting(2, "short")]), root)
+    assert [r.job_id for r in read_current(spark, root).collect()] == [1]
+
+
+def test_runs_without_rows_and_broken_files(spark, postings, tmp_path):
+    root = tmp_path / "store"
+    process_all(spark, postings.where("job_id = 3"), str(root))  # too short, so nothing is stored
+    assert read_current(spark, str(root)) is None
+    process_all(spark, postings.where("job_id = 1"), str(root))
+    assert read_current(spark, str(root)).count() == 1
+    assert all(0 <= int(f.split("/")[0].split("=")[1]) < BUCKETS for f in files_of(root))
+    (root / "bucket=0").mkdir(exist_ok=True)
+    (root / "bucket=0" / "part-bad.parquet").write_text("no parquet")
     with pytest.raises(Exception):
-        process_all(spark, postings, root)  # not taken for an empty table
+        process_all(spark, postings, str(root))  # not taken for an empty table
 
 
 def test_urls(spark, postings):

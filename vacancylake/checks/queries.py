@@ -38,7 +38,7 @@ from vacancylake.plans.process import (
 )
 from vacancylake.session import shared_dir
 from vacancylake.sources import postings as source
-from vacancylake.sources.dictionaries import builtin_terms, read_dictionary, surface_forms
+from vacancylake.sources.dictionaries import builtin_terms, read_dictionary, surface_forms, write_dictionary
 from vacancylake.sources.store import read_current
 from vacancylake.sources.vocabulary import DICTIONARIES, flatten
 from vacancylake.streaming.incremental import enrich_stream, read_arrivals
@@ -519,14 +519,11 @@ def enriched_with_user_dictionary(spark, sf_dir):
 
 @query
 def dictionary_from_json(spark, sf_dir):
-    """The dictionary of parts, groups by type, written as a JSON file and read back."""
+    """The dictionary of parts, groups by type, written as lines of JSON in many files and read back."""
     entries = _part_entries(spark, sf_dir).groupBy("category", "term").agg(F.max("body").alias("body"))
-    body = F.from_json("body", "category string, aliases array<string>")
-    groups = entries.groupBy("category").agg(F.map_from_entries(F.collect_list(F.struct("term", body))).alias("terms"))
-    whole = groups.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("category", "terms")))).alias("value"))
-    path = f"{shared_dir(spark)}/dictionary-{uuid.uuid4().hex}"
-    whole.coalesce(1).write.text(path)
-    return read_dictionary(spark, path, "parts")
+    path = _scratch(spark, "dictionary")
+    write_dictionary(entries, path)
+    return read_dictionary(spark, path, "parts", lines=True)
 
 
 # --- cards
@@ -747,7 +744,7 @@ def streamed_repeats(spark, sf_dir):
     arriving.unionByName(arriving).write.parquet(f"{root}/in")
     stream = read_arrivals(spark, f"{root}/in", spark.read.parquet(f"{root}/in").schema)
     enrich_stream(stream, f"{root}/out", f"{root}/state").awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("job_id", "url")
+    return read_current(spark, f"{root}/out").select("job_id", "url")
 
 
 @query
@@ -758,7 +755,7 @@ def streamed(spark, sf_dir):
     arriving.write.parquet(f"{root}/in")
     stream = read_arrivals(spark, f"{root}/in", spark.read.parquet(f"{root}/in").schema)
     enrich_stream(stream, f"{root}/out", f"{root}/state").awaitTermination()
-    return spark.read.parquet(f"{root}/out").select(
+    return read_current(spark, f"{root}/out").select(
         "job_id", F.col("extraction_stats.vietnamese_keywords_count").alias("n")
     )
 

@@ -19,7 +19,7 @@ from vacancylake.plans.enrich import (
 )
 from vacancylake.plans.reports import RUN_SUMMARY, done, run_counts, run_summary
 from vacancylake.sources.postings import known_urls
-from vacancylake.sources.store import read_current, update_rows, write_part
+from vacancylake.sources.store import add_rows, read_current, update_rows
 
 
 def select_pending(
@@ -86,7 +86,7 @@ def process_all(
     if limit:
         pending = first_by_key(pending, "job_id", limit)
     selected = enrich(pending, keep_short=True, **options)
-    return _counted_write(spark, selected, lambda rows: write_part(rows, root))
+    return _counted_write(spark, selected, lambda rows: add_rows(rows, root))
 
 
 def reprocess(spark: SparkSession, changed: DataFrame, root: str, **options) -> DataFrame:

@@ -16,12 +16,18 @@ def builtin_terms(spark: SparkSession, dictionaries: dict[str, dict] | None = No
     return spark.createDataFrame(flatten(dictionaries or DICTIONARIES), TERM)
 
 
-def read_dictionary(spark: SparkSession, path: str, name: str) -> DataFrame:
+#: Terms on one line of a written dictionary, about; a line is what one task reads at least.
+TERMS_PER_LINE = 100
+
+
+def read_dictionary(spark: SparkSession, path: str, name: str, *, lines: bool = False) -> DataFrame:
     """Terms of a JSON file ``{group: {term: {category, weight, aliases}}}``.
 
-    A group that is itself a term, as in a flat file, becomes a term of group ``name``.
+    With ``lines`` every line is such an object, with some terms of some group, and files are read
+    in splits; a dictionary of any size is written that way.  Without, each file is one object.  A
+    group that is itself a term, as in a flat file, becomes a term of group ``name``.
     """
-    raw = spark.read.text(path, wholetext=True)
+    raw = spark.read.text(path, wholetext=not lines)
     groups = raw.select(
         F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("key", "members")
     )
@@ -35,6 +41,20 @@ def read_dictionary(spark: SparkSession, path: str, name: str) -> DataFrame:
     return surface_forms(nested.unionByName(single), name)
 
 
+def write_dictionary(entries: DataFrame, path: str) -> None:
+    """``(category, term, body)`` rows, a term once in a category, as lines for ``read_dictionary``.
+
+    A line holds terms of one category that share a hash, so neither a large category nor a large
+    dictionary comes together anywhere.
+    """
+    dealt = F.pmod(F.xxhash64("category", "term"), F.lit(max(1, entries.count() // TERMS_PER_LINE)))
+    body = F.from_json("body", "category string, weight double, aliases array<string>")
+    grouped = entries.groupBy("category", dealt.alias("part")).agg(
+        F.map_from_entries(F.collect_list(F.struct("term", body))).alias("terms")
+    )
+    grouped.select(F.to_json(F.create_map("category", "terms")).alias("value")).write.text(path)
+
+
 def surface_forms(entries: DataFrame, name: str) -> DataFrame:
     """``(category, term, body)`` rows to one row per term or alias; weight defaults to 1."""
     # Path by path, since a flat entry comes with its parts as text.
