@@ -7,6 +7,7 @@ from vacancylake.operators.fuzzy import add_fuzzy, candidates, fuzzy_matches
 from vacancylake.operators.term_match import (
     TermIndex,
     keyword_confidence,
+    label_places,
     long_matches,
     match_by_join,
     plain_form,
@@ -15,7 +16,7 @@ from vacancylake.operators.term_match import (
 )
 from vacancylake.plans.enrich import MATCH_FIELDS, enrich
 from vacancylake.schemas import TERM
-from vacancylake.sources.dictionaries import builtin_terms, collect_terms, read_dictionary, surface_forms
+from vacancylake.sources.dictionaries import builtin_terms, collect_terms, read_dictionary, surface_forms, write_dictionary
 from vacancylake.sources.postings import from_records
 from vacancylake.sources.vocabulary import COMPACT_DICTIONARIES, DICTIONARIES, Term, flatten
 
@@ -194,6 +195,28 @@ def test_aliases_of_hundreds_of_words(spark):
     assert got == {(0, "one"), (1, "one"), (0, "two"), (1, "two"), (2, "two"), (3, "three")}
 
 
+def test_places_of_labels(spark):
+    texts = ["Lead data scientist, Python and python; machine learning", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = [(r.label, r.phrase, r["at"]) for r in label_places(df, "id", "t").orderBy("at", "label", "phrase").collect()]
+    assert ("roles", "data scientist", 1) in got and ("skills", "machine learning", 6) in got
+    assert [at for _, phrase, at in got if phrase == "python"] == [3, 5]
+    matched = df.select(TermIndex.builtin().match(F.col("t")).alias("m")).first().m
+    for label in ("skills", "roles"):
+        first = dict.fromkeys(p for n, p, _ in got if n == label)
+        assert list(first) == matched[f"label_{label}"]
+
+
+def test_dictionary_lines(spark, tmp_path):
+    rows = [(f"g{i % 3}", f"term {i}", '{"category": "c", "aliases": ["alias %d", "x"]}' % i) for i in range(500)]
+    entries = spark.createDataFrame([*rows, ("g1", "bare", "{}")], "category string, term string, body string")
+    path = str(tmp_path / "lines")
+    write_dictionary(entries, path)
+    assert spark.read.text(path).count() >= 5
+    got = {tuple(r) for r in read_dictionary(spark, path, "mine", lines=True).collect()}
+    assert got == {tuple(r) for r in surface_forms(entries, "mine").collect()}
+
+
 def test_fuzzy_only_fills_gaps(spark):
     terms = flatten({"skills": DICTIONARIES["skills"]})
     df = spark.createDataFrame([(1, "javascript javascrpt and kotlinn")], "id long, t string")

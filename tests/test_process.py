@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacancylake.plans import reports
-from vacancylake.plans.enrich import DONE, enrich, full_record
+from vacancylake.plans.enrich import DONE, enrich, full_record, text_guards
 from vacancylake.plans.process import backfill, process_all, process_urls, quick_sample, reprocess, run, select_pending
 from vacancylake.schemas import POSTING
-from vacancylake.sources.postings import append_postings, from_records, get_postings, read_postings, write_json
+from vacancylake.sources.postings import append_postings, as_postings, from_records, get_postings, read_postings, write_json
 from vacancylake.sources.store import BUCKETS, read_current, touched_buckets
 
 TEXT = "Senior engineer with 5+ years of experience in Python and AWS. "
@@ -142,6 +142,34 @@ def test_runs_without_rows_and_broken_files(spark, postings, tmp_path):
         process_all(spark, postings, str(root))  # not taken for an empty table
 
 
+def test_rows_that_fail_are_kept_with_their_reason(spark, postings, tmp_path):
+    long, broken = TEXT * 20, "concat(repeat('Python and AWS, tiếng anh. ', 4), cast(X'ff41' as string))"
+    more = from_records(spark, [posting(20, long), posting(21)]).withColumn("description", F.expr(f"if(job_id = 21, {broken}, description)"))
+    every = postings.unionByName(more)
+    guards = text_guards(500)
+    rows = {r.job_id: r for r in enrich(every, keep_short=True, guards=guards).collect()}
+    assert {i: r.processing.error for i, r in rows.items() if r.processing.error} == {20: "too_long", 21: "invalid_utf8"}
+    for i in (20, 21):
+        assert rows[i][DONE] is None and rows[i].description_cleaned == "" and rows[i].processing.processed_at is None
+        assert rows[i].extracted.skills == [] and rows[i].extracted.matched_skills == [] and rows[i].extracted.emails == []
+        assert rows[i].extraction_stats.total_skills == 0 and rows[i].extraction_stats.text_length_original > 100
+    plain = {r.job_id: r for r in enrich(postings, keep_short=True).collect()}
+    assert all(rows[i].extracted == r.extracted and rows[i][DONE] == r[DONE] for i, r in plain.items())
+    assert {r.job_id for r in enrich(every, guards=guards).collect()} == {1, 2, 6, 7, 20, 21}
+    root = str(tmp_path / "store")
+    first = process_all(spark, every, root, guards=guards).first()
+    assert (first.processed, first.skipped, first.errors) == (4, 2, 2)
+    assert sorted(r.job_id for r in read_current(spark, root).collect()) == [1, 2, 6, 7]
+    again = process_all(spark, every, root, guards={}).first()  # they are still pending
+    assert (again.processed, again.errors) == (2, 0)
+
+
+def test_rows_of_any_columns_as_postings(spark):
+    df = as_postings(spark.createDataFrame([("7", "a", 1.5)], "job_id string, title string, other double"))
+    assert df.dtypes == [(f.name, f.dataType.simpleString()) for f in POSTING]
+    assert [(r.job_id, r.title, r.tags) for r in df.collect()] == [(7, "a", None)]
+
+
 def test_urls(spark, postings):
     wanted = spark.createDataFrame([("https://x/1",), ("https://x/3",), ("https://x/99",)], "url string")
     done, missing = process_urls(postings, wanted)

@@ -22,7 +22,8 @@ SOME = [
     "seniority_distribution", "top_keywords_per_category", "keyword_combinations", "company_stats",
     "postings_from_pages", "page_descriptions", "repeated_updates", "appended_twice", "json_written", "limited_run",
     "streamed_repeats", "reprocessed", "dictionary_from_json", "enriched_with_user_dictionary", "fuzzy_by_ratio",
-    "top_matches_per_job", "matches_by_score",
+    "top_matches_per_job", "matches_by_score", "label_positions", "quoted_documents", "enriched_with_errors",
+    "run_summary_with_errors", "records_as_postings", "rule_urls",
 ]
 
 

@@ -369,6 +369,17 @@ def _search(site: str) -> str:
     )
 
 
+_RECORD_RULES = ["dates", "durations", "emails", "urls", "phone_numbers"]
+ERROR_LENGTH = 2_000
+
+
+def _values(table: str, by: str, value: str, names, prefix: str = "") -> str:
+    """The values of each name in alphabetical order, as one text."""
+    return ", ".join(
+        f"string_agg({table}.{value}, '|' ORDER BY {table}.{value}) FILTER ({by} = '{n}') AS {prefix}{n}" for n in names
+    )
+
+
 def _oracle() -> dict[str, str]:
     p = f"WITH {POSTINGS}"
     sql = {
@@ -503,18 +514,42 @@ FROM matches WHERE {VN}""",
         "enriched_long_form": f"""{ENRICHED}, {MASKED_CTES} SELECT job_id, kind, value FROM rules JOIN ok USING (job_id)
   WHERE kind IN ('dates', 'durations', 'emails', 'urls', 'phone_numbers', 'salaries')
 UNION ALL SELECT job_id, label, value FROM spotted JOIN ok USING (job_id) WHERE label <> 'skills'""",
-        "full_records": f"""{COUNTS}, {MASKED_CTES}, r AS (SELECT job_id, {", ".join(
-            f"count(*) FILTER (kind = '{k}')::INTEGER AS n_{k}"
-            for k in ("dates", "durations", "emails", "urls", "phone_numbers")
-        )} FROM ok LEFT JOIN rules USING (job_id) GROUP BY job_id)
-SELECT job_id, c AS cleaned_text, n_dates, n_durations, n_emails, n_urls, n_phone_numbers,
-  {", ".join(f"s_{x}::INTEGER AS n_{x}" for x in spotting.LABELS)}, 0 AS n_benefits,
-  n_skills::INTEGER AS n_matched_skills, n_technologies::INTEGER AS n_matched_technologies,
-  n_soft_skills::INTEGER AS n_matched_soft_skills, n_industry_terms::INTEGER AS n_matched_industry_terms,
-  n_vietnamese_keywords::INTEGER AS n_vietnamese_keywords, n_seniority::INTEGER AS n_seniority_levels,
-  n_extended_technologies::INTEGER AS n_extended_technologies
-FROM (SELECT job_id, {", ".join(f"n_{d}" for d in DICTIONARIES)}, n_seniority,
-  {", ".join(f"s_{x}" for x in spotting.LABELS)} FROM per_job) JOIN r USING (job_id) JOIN cleaned USING (job_id)""",
+        "full_records": f"""{ENRICHED}, {MASKED_CTES},
+r AS (SELECT job_id, {_values("rules", "kind", "value", _RECORD_RULES)} FROM rules GROUP BY job_id),
+s AS (SELECT job_id, {_values("spotted", "label", "value", spotting.LABELS)} FROM spotted GROUP BY job_id),
+m AS (SELECT job_id, {_values("matches", "dict", "keyword", DICTIONARIES, "matched_")},
+  coalesce(string_agg(keyword, '|' ORDER BY keyword) FILTER ({SEN}), '') AS seniority_levels FROM matches GROUP BY job_id)
+SELECT job_id, c AS cleaned_text, '' AS benefits,
+  {", ".join(f"coalesce({n}, '') AS {n.replace('matched_vietnamese', 'vietnamese').replace('matched_extended', 'extended')}"
+             for n in [*_RECORD_RULES, *spotting.LABELS, *[f"matched_{d}" for d in DICTIONARIES], "seniority_levels"])}
+FROM ok JOIN cleaned USING (job_id) LEFT JOIN r USING (job_id) LEFT JOIN s USING (job_id) LEFT JOIN m USING (job_id)""",
+        "enriched_with_errors": f"""{COUNTS}, {MASKED_CTES}, e AS (SELECT job_id, count(*) AS n FROM rules WHERE kind = 'emails' GROUP BY job_id),
+o AS (SELECT job_id, coalesce({LONG}, FALSE) AS ok, coalesce({LONG}, FALSE) AND length(description) > {ERROR_LENGTH} AS failed FROM postings)
+SELECT job_id, CASE WHEN failed THEN 'too_long' END AS error, ok AND NOT failed AS done,
+  CASE WHEN failed THEN 0 WHEN ok THEN length(c) END::INTEGER AS cleaned,
+  CASE WHEN failed THEN 0 WHEN ok THEN n_skills END::INTEGER AS skills,
+  CASE WHEN failed THEN 0 WHEN ok THEN coalesce(n, 0) END::INTEGER AS emails,
+  CASE WHEN failed THEN 0 WHEN ok THEN n_skills + n_technologies END::INTEGER AS total_matches
+FROM o JOIN cleaned USING (job_id) LEFT JOIN per_job USING (job_id) LEFT JOIN e USING (job_id)""",
+        "run_summary_with_errors": f"""{COUNTS}, o AS (SELECT job_id, coalesce({LONG}, FALSE) AS ok,
+  coalesce({LONG}, FALSE) AND length(description) > {ERROR_LENGTH} AS failed FROM postings WHERE {_DESCRIBED})
+SELECT count(*) FILTER (ok AND NOT failed) AS processed, count(*) FILTER (NOT ok) AS skipped, count(*) FILTER (failed) AS errors,
+  count(*) FILTER (n_vietnamese_keywords > 0 AND NOT failed) AS vietnamese_detected,
+  count(*) FILTER (n_seniority > 0 AND NOT failed) AS seniority_detected,
+  count(*) FILTER (n_extended_technologies > 0 AND NOT failed) AS extended_tech_detected
+FROM o LEFT JOIN per_job USING (job_id)""",
+        "records_as_postings": "SELECT c_custkey::BIGINT AS job_id, c_mktsegment AS title, c_name AS company,"
+        " NULL::VARCHAR AS location, NULL::INTEGER AS applicants, c_mktsegment AS tags FROM customer",
+        "label_positions": f"""{BASE}, {matches_cte()}, {spotted_cte()}, w AS (SELECT job_id, string_split(trim(t), ' ') AS w FROM forms),
+p AS (SELECT job_id, w, unnest(range(len(w))) AS pos FROM w)
+SELECT job_id, label, value AS phrase, pos::INTEGER AS at FROM p JOIN phrases ON w[pos + 1] = string_split(value, ' ')[1]
+WHERE array_to_string(list_slice(w, pos + 1, pos + len(string_split(value, ' '))), ' ') = value""",
+        "quoted_documents": f"""{BASE}, forms AS MATERIALIZED (SELECT job_id, ' ' || {match_form('c')} || ' ' AS t FROM cleaned),
+d AS (SELECT doc_id, string_split({match_form('text')}, ' ') AS w FROM documents),
+quotes AS MATERIALIZED (SELECT doc_id, w[1] AS head, ' ' || array_to_string(list_slice(w, 1, 120), ' ') || ' ' AS form FROM d WHERE len(w) >= 120),
+heads AS (SELECT DISTINCT job_id, unnest(string_split(trim(t), ' ')) AS head FROM forms)
+SELECT job_id, 'document ' || doc_id AS keyword, 'alias' AS match_type FROM heads JOIN quotes USING (head) JOIN forms USING (job_id)
+WHERE contains(t, form)""",
         "extraction_counters": f"""{COUNTS} SELECT job_id, s_skills::INTEGER AS total_skills,
   s_technologies::INTEGER AS total_technologies, s_responsibilities::INTEGER AS total_responsibilities,
   s_qualifications::INTEGER AS total_qualifications, (n_skills + n_technologies)::INTEGER AS total_matches,
@@ -560,9 +595,10 @@ SELECT job_id, coalesce(title, 'Unknown') AS title, coalesce(company, 'Unknown')
   coalesce(array_to_string(list_slice(vn, 1, 3), '|'), '') AS sample_vietnamese,
   coalesce(array_to_string(list_slice(sen, 1, 2), '|'), '') AS sample_seniority
 FROM per_job JOIN postings USING (job_id) LEFT JOIN v USING (job_id)""",
-        "backfilled": f"""{BASE}, {matches_cte()} SELECT job_id,
-  count(*) FILTER (dict = 'soft_skills')::INTEGER AS soft, count(*) FILTER (dict = 'industry_terms')::INTEGER AS industry,
-  count(*) FILTER ({VN})::INTEGER AS vn FROM postings LEFT JOIN matches USING (job_id)
+        "backfilled": f"""{BASE}, {matches_cte()} SELECT job_id, {", ".join(
+            f"count(*) FILTER ({c})::INTEGER AS {n}, coalesce(string_agg(keyword, '|' ORDER BY keyword) FILTER ({c}), '') AS {n}_found"
+            for n, c in (("soft", "dict = 'soft_skills'"), ("industry", "dict = 'industry_terms'"), ("vn", VN))
+        )} FROM postings LEFT JOIN matches USING (job_id)
 WHERE source = 'linkedin' AND length({strip('description')}) >= 20 GROUP BY job_id""",
         "success_rate": f"""{p}, s AS (SELECT coalesce(length({strip('description')}), 0) >= 20 AS ok FROM postings
   WHERE source = 'linkedin') SELECT count(*) FILTER (ok) AS updated, count(*) AS selected,

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vacancylake.functions import cards, rules, spotting, text
 from vacancylake.functions.arrays import size0, tagged
@@ -23,11 +24,12 @@ from vacancylake.operators.term_match import (
     SCORED,
     TermIndex,
     long_matches,
+    label_places,
     match_by_join,
     top_matches,
 )
 from vacancylake.plans import process, reports
-from vacancylake.plans.enrich import DONE, MATCH_FIELDS, enrich, extract, full_record, long_form
+from vacancylake.plans.enrich import DONE, MATCH_FIELDS, enrich, extract, full_record, long_form, text_guards
 from vacancylake.plans.process import (
     backfill,
     process_all,
@@ -36,6 +38,7 @@ from vacancylake.plans.process import (
     select_pending,
     status,
 )
+from vacancylake.schemas import MATCH
 from vacancylake.session import shared_dir
 from vacancylake.sources import postings as source
 from vacancylake.sources.dictionaries import builtin_terms, read_dictionary, surface_forms, write_dictionary
@@ -221,6 +224,17 @@ def dictionary_from_table(spark, sf_dir):
     return surface_forms(entries, "parts")
 
 
+@query
+def records_as_postings(spark, sf_dir):
+    """Customers as records with some fields of a posting and others it lacks."""
+    records = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("job_id"), F.col("c_mktsegment").alias("title"), F.col("c_name").alias("company"),
+        F.array("c_mktsegment").alias("tags"), F.col("c_acctbal").alias("balance"),
+    )
+    got = source.as_postings(records)
+    return got.select("job_id", "title", "company", "location", "applicants", F.array_join("tags", "|").alias("tags"))
+
+
 # --- cleaning
 
 
@@ -378,6 +392,12 @@ def token_patterns(spark, sf_dir):
     return m.select("job_id", F.explode(pairs).alias("e")).select("job_id", "e.label", "e.value")
 
 
+@query
+def label_positions(spark, sf_dir):
+    """Phrases per label with every place they stand at."""
+    return label_places(cleaned(spark, sf_dir), "job_id", "c")
+
+
 @query
 def contextual_skills(spark, sf_dir):
     """On descriptions that end in a sentence listing skills."""
@@ -517,6 +537,21 @@ def enriched_with_user_dictionary(spark, sf_dir):
     return _long(e, F.transform("extracted.matched_parts", lambda m: F.concat_ws("|", m["keyword"], m["match_type"], m["matched_text"])))
 
 
+QUOTED_WORDS = 120
+
+
+@query
+def quoted_documents(spark, sf_dir):
+    """Postings that quote the first 120 words of a document: a dictionary with an alias for each."""
+    words = F.split(text.match_form(F.col("text")), " ")
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where(F.size("w") >= QUOTED_WORDS)
+    name = F.concat(F.lit("document "), F.col("doc_id").cast("string"))
+    alias = F.array_join(F.slice("w", 1, QUOTED_WORDS), " ")
+    entries = docs.select(F.lit("quotes").alias("category"), name.alias("term"), F.to_json(F.struct(F.array(alias).alias("aliases"))).alias("body"))
+    found = match_by_join(cleaned(spark, sf_dir), "job_id", "c", surface_forms(entries, "quotes"), whole_phrases=True)
+    return found.select("job_id", "keyword", "match_type")
+
+
 @query
 def dictionary_from_json(spark, sf_dir):
     """The dictionary of parts, groups by type, written as lines of JSON in many files and read back."""
@@ -658,10 +693,41 @@ def enriched_long_form(spark, sf_dir):
 
 @query
 def full_records(spark, sf_dir):
-    """The flat record, its lists as counts."""
+    """The flat record, the values of its lists in alphabetical order."""
     r = full_record(enrich(jobs(spark, sf_dir)))
-    lists = [f.name for f in r.schema if f.dataType.typeName() == "array"]
-    return r.select("job_id", "cleaned_text", *[F.size(c).alias(f"n_{c}") for c in lists])
+    return r.select(
+        "job_id", "cleaned_text", *[_joined(F.col(f.name), f.dataType).alias(f.name) for f in r.schema if isinstance(f.dataType, T.ArrayType)]
+    )
+
+
+def _joined(values: Column, kind: T.ArrayType) -> Column:
+    """The texts of a list, or the keywords of a list of matches, as one text."""
+    names = values if isinstance(kind.elementType, T.StringType) else values["keyword"]
+    return F.array_join(F.array_sort(names), "|")
+
+
+ERROR_LENGTH = 2_000
+
+
+@query
+def enriched_with_errors(spark, sf_dir):
+    """What became of every posting when descriptions beyond a length can't be processed."""
+    e = enrich(jobs(spark, sf_dir), keep_short=True, guards=text_guards(ERROR_LENGTH))
+    return e.select(
+        "job_id",
+        F.col("processing.error").alias("error"),
+        F.coalesce(F.col(DONE), F.lit(False)).alias("done"),
+        F.length("description_cleaned").alias("cleaned"),
+        F.size("extracted.matched_skills").alias("skills"),
+        F.size("extracted.emails").alias("emails"),
+        F.col("extraction_stats.total_matches").alias("total_matches"),
+    )
+
+
+@query
+def run_summary_with_errors(spark, sf_dir):
+    selected = enrich(select_pending(jobs(spark, sf_dir)), keep_short=True, guards=text_guards(ERROR_LENGTH))
+    return reports.run_summary(selected)
 
 
 @query
@@ -696,11 +762,11 @@ def run_enriched(spark, sf_dir):
 @query
 def backfilled(spark, sf_dir):
     done = backfill(jobs(spark, sf_dir))
+    fields = {"soft": "matched_soft_skills", "industry": "matched_industry_terms", "vn": "vietnamese_keywords"}
+    lists = {n: F.col(f"extracted.{f}") for n, f in fields.items()}
     return done.select(
-        "job_id",
-        F.size("extracted.matched_soft_skills").alias("soft"),
-        F.size("extracted.matched_industry_terms").alias("industry"),
-        F.size("extracted.vietnamese_keywords").alias("vn"),
+        "job_id", *[F.size(c).alias(n) for n, c in lists.items()],
+        *[_joined(c, T.ArrayType(MATCH)).alias(f"{n}_found") for n, c in lists.items()],
     )
 
 

@@ -47,10 +47,12 @@ class PhraseGate:
 
 
 def phrases(
-    forms: DataFrame, key: str, form: str, counts: Iterable[int], gate: PhraseGate | None = None
+    forms: DataFrame, key: str, form: str, counts: Iterable[int], gate: PhraseGate | None = None, *, places: bool = False
 ) -> DataFrame:
     """``(key, words, phrase)`` for every run of as many words as ``counts`` names and ``gate`` lets through.
 
+    With ``places`` also ``at``, the number of the run's first word in the text, from 0.
+
     ``form`` went through ``functions.text.match_form``.  The runs of a text are one array until
     they become rows, so a long text is not copied along with each of its words.
     """
@@ -61,11 +63,12 @@ def phrases(
         every = F.sequence(F.lit(1), F.size("w") - n + 1)
         return F.filter(every, lambda at: gate.lets("w", at - 1, n)) if gate else every
 
-    places = F.transform(
+    runs = F.transform(
         F.filter(numbers, lambda n: n <= F.size("w")),
         lambda n: F.transform(
             starts(n),
-            lambda at: F.struct(n.alias("words"), F.array_join(F.slice("w", at, n), " ").alias("phrase")),
+            lambda at: F.struct(n.alias("words"), F.array_join(F.slice("w", at, n), " ").alias("phrase"), (at - 1).alias("at")),
         ),
     )
-    return words.select(key, F.explode(F.flatten(places)).alias("s")).select(key, "s.words", "s.phrase")
+    columns = ["s.words", "s.phrase", *(["s.at"] if places else [])]
+    return words.select(key, F.explode(F.flatten(runs)).alias("s")).select(key, *columns)

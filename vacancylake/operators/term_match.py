@@ -263,6 +263,21 @@ def long_matches(df: DataFrame, key: str, text: str, index: TermIndex) -> DataFr
     return row.select(key, F.explode(every).alias("e")).select(key, "e.dict", "e.match.*")
 
 
+def label_places(df: DataFrame, key: str, text: str, labels: Iterable[str] = LABELS) -> DataFrame:
+    """``(key, label, phrase, at)``: every place where a label's phrase stands, by the number of its first word.
+
+    The first place of each phrase gives the order in which ``TermIndex.match`` lists them.
+    """
+    rows = [(label, plain_form(phrase), phrase) for label in labels for phrase in token_forms(label)]
+    patterns = df.sparkSession.createDataFrame(rows, "label string, form string, named string")
+    counts = sorted({len(form.split(" ")) for _, form, _ in rows})
+    texts = df.select(key, match_form(F.col(text)).alias("t"))
+    runs = phrases(texts, key, "t", counts, PhraseGate(patterns), places=True)
+    return runs.join(F.broadcast(patterns), F.col("phrase") == F.col("form")).select(
+        key, "label", F.col("named").alias("phrase"), "at"
+    )
+
+
 def match_by_join(
     df: DataFrame, key: str, text: str, terms: DataFrame, *, whole_phrases: bool = False
 ) -> DataFrame:

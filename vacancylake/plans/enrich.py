@@ -57,6 +57,12 @@ def _spotted(clean_text: Column, matched: Column, mode: str) -> dict[str, Column
     return found
 
 
+def text_guards(max_length: int | None = None, text: str = "description") -> dict[str, Column]:
+    """Why a text can't be processed: bytes that are no text, or more signs than one wants to run patterns on."""
+    guards = {"invalid_utf8": ~F.is_valid_utf8(F.col(text))}
+    return {**guards, "too_long": F.length(text) > max_length} if max_length else guards
+
+
 def _no_matches() -> Column:
     return F.array().cast(T.ArrayType(MATCH))
 
@@ -112,6 +118,7 @@ def extract(
     mode: str = "patterns",
     cleaning: dict | None = None,
     only: Column | None = None,
+    failed: Column | None = None,
 ) -> DataFrame:
     """Add ``description_cleaned``, ``extracted`` and ``confidence_scores`` to every row.
 
@@ -119,8 +126,9 @@ def extract(
     table is matched inside the row, a large one by joins, with the same matches.  ``fuzzy`` adds
     terms that are nearly spelt like a phrase of the text, which joins on the text's hash.
 
-    Where ``only`` is given and false, every field is NULL.  The condition sits on the matches
-    and the other fields, not on the structs, so that a reader of a few fields computes no others.
+    Where ``only`` is given and false, every field is NULL, or empty where ``failed`` holds.  The
+    condition sits on the matches and the other fields, not on the structs, so that a reader of a
+    few fields computes no others.
     """
     if mode not in spotting.SPOTTING_MODES:
         raise ValueError(f"mode is one of {spotting.SPOTTING_MODES}")
@@ -135,11 +143,16 @@ def extract(
         df, joined = _with_joined(df, text, terms, fuzzy, cleaning or {})
         names += [n for n in joined if n not in names] if large else []
     df = df.withColumn("_only", F.lit(True) if only is None else only)
+    if failed is not None:
+        df = df.withColumn("_failed", failed)
 
     def gated(value: Column) -> Column:
         return value if only is None else F.when(F.col("_only"), value)
 
-    df = df.withColumn("description_cleaned", gated(clean(F.col(text), **(cleaning or {}))))
+    def or_empty(value: Column, empty: Column) -> Column:
+        return value if failed is None else F.when(F.col("_failed"), empty).otherwise(value)
+
+    df = df.withColumn("description_cleaned", or_empty(gated(clean(F.col(text), **(cleaning or {}))), F.lit("")))
     cleaned, matched = F.col("description_cleaned"), F.col("_matched")
     df = df.withColumns(
         {"_lower": rules.lowered(cleaned), "_matched": gated(index.match(cleaned))}
@@ -165,6 +178,8 @@ def extract(
         fields["seniority_levels"] = gated(seniority(matches(SENIORITY_DICT)))
     else:
         fields["seniority_levels"] = matched["seniority_levels"]
+    texts = {*RULE_FIELDS, *SPOTTED_FIELDS, "benefits"}
+    fields = {n: or_empty(c, empty_strings() if n in texts else _no_matches()) for n, c in fields.items()}
     # Every field is a column of its own before it goes into the struct, so that the counters
     # computed from it do not compute it again.
     df = df.withColumns({f"_{n}": c for n, c in fields.items()})
@@ -183,7 +198,7 @@ def extract(
         gated(total).alias("total_matches"),
     )
     return df.withColumns({"extracted": extracted, "confidence_scores": confidence}).drop(
-        "_only", "_lower", "_matched", "_by_join", "_by_spelling", *[f"_{n}" for n in fields]
+        "_only", "_failed", "_lower", "_matched", "_by_join", "_by_spelling", *[f"_{n}" for n in fields]
     )
 
 
@@ -224,32 +239,44 @@ def enrich(
     terms: DataFrame | None = None,
     fuzzy: bool = False,
     mode: str = "patterns",
+    guards: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Enriched postings; ``index``, ``terms`` and ``fuzzy`` as in ``extract``.
 
     Rows whose description is too short are left out, or with ``keep_short`` kept with NULL in
-    the added columns.
+    the added columns.  ``guards`` (reason: condition, as ``text_guards``) name rows that can't be
+    processed: nothing is computed for them, they keep an empty result with the first reason in
+    ``processing.error``, and aren't done, so that a later run meets them again.
     """
     enough = longer_than(F.col("description"), min_length)
+    only = failed = None
     if keep_short:
         postings = postings.withColumn("_enough", enough)
         only = F.col("_enough")
     else:
-        postings, only = postings.where(enough), None
-    df = extract(postings, index=index, terms=terms, fuzzy=fuzzy, mode=mode, only=only)
+        postings = postings.where(enough)
+    error = F.lit(None).cast("string")
+    if guards:
+        reason = F.coalesce(*[F.when(condition, F.lit(name)) for name, condition in guards.items()])
+        postings = postings.withColumn("_error", reason if only is None else F.when(only, reason))
+        error = F.col("_error")
+        failed = error.isNotNull()
+        only = ~failed if only is None else only & ~failed
+    df = extract(postings, index=index, terms=terms, fuzzy=fuzzy, mode=mode, only=only, failed=failed)
     done = F.lit(True)
     processing = F.struct(
         F.when(done if only is None else only, F.current_timestamp()).alias("processed_at"),
         F.lit(NLP_VERSION).alias("nlp_version"),
         F.col("confidence_scores"),
+        error.alias("error"),
     )
     return df.withColumns(
         {
             "processing": processing,
-            "extraction_stats": extraction_stats(only=only),
+            "extraction_stats": extraction_stats(only=only if failed is None else only | failed),
             DONE: done if only is None else F.when(only, done),
         }
-    ).drop("confidence_scores", "_enough")
+    ).drop("confidence_scores", "_enough", "_error")
 
 
 RECORD_LISTS = [

@@ -217,12 +217,12 @@ RUN_SUMMARY = (
 def run_counts() -> dict[str, Column]:
     """Aggregates over the rows a run selected: outcomes, and detections among the processed.
 
-    An error is a posting that was done and has nothing to show for it.
+    An error is a posting that a guard of the enrichment kept from being processed.
     """
-    failed = done() & (F.col("description_cleaned").isNull() | F.col("extracted").isNull())
+    failed = F.col("processing.error").isNotNull()
     return {
         "processed": F.count_if(done()),
-        "skipped": F.count_if(~done()),
+        "skipped": F.count_if(~done() & ~failed),
         "errors": F.count_if(failed),
         "vietnamese_detected": F.count_if(non_empty(F.col(VIETNAMESE))),
         "seniority_detected": F.count_if(non_empty(F.col(SENIORITY))),

@@ -49,7 +49,8 @@ SELECT o.o_orderkey AS job_id,
         WHEN 1 THEN 'Salary $50,000 - $70,000 per year, hybrid'
         WHEN 2 THEN 'thực tập, bảo hiểm, phân tích dữ liệu'
         WHEN 3 THEN 'Contact hr' || CAST(o.o_custkey AS STRING)
-          || '@corp.example.com or 555-123-4567, start 01/02/2024'
+          || '@corp.example.com or 555-123-4567, start 01/02/2024, see https://corp.example.com/jobs/'
+          || CAST(o.o_orderkey AS STRING) || ' or www.example.org/careers'
         ELSE 'Reasearch in javascrpt and pythn; $25/hour; immediately' END)
       || '</li></ul>' || chr(10) || '1. ' || d.text END AS description
 FROM (SELECT *, o_orderkey % (SELECT count(*) FROM {documents}) AS doc_slot FROM {orders}) o
@@ -73,6 +74,16 @@ def read_postings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POSTING).parquet(path)
 
 
+def as_postings(records: DataFrame) -> DataFrame:
+    """Rows of any columns as postings: fields that are missing become NULL, others go."""
+    return records.select(
+        *[
+            (F.col(f.name) if f.name in records.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in POSTING.fields
+        ]
+    )
+
+
 def from_records(spark: SparkSession, records: Iterable[object]) -> DataFrame:
     """Postings from dataclass instances or dicts; missing fields become NULL."""
     rows = []
