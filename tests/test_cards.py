@@ -122,6 +122,23 @@ def test_postings(spark):
     assert got["/1"].raw.card_html.startswith('<div class="job-card">') and got["/1"].raw.card_html.endswith("</div>")
 
 
+def test_a_page_of_a_thousand_cards(spark):
+    card = '<div class="job-item"><h3><a href="/{0}">T{0}</a></h3><div class="company"><a>C{0}</a></div><span aria-label="n{0}">s</span></div>'
+    page = '<div class="jobs-list">' + "".join(card.format(i) for i in range(1000)) + "</div>"
+    df = spark.createDataFrame([(1, "vietnamworks", page), (2, "vietnamworks", page)], "page_id long, site string, html string")
+    got = parse_cards(df, "page_id", "site", "html").collect()
+    assert len(got) == 2000
+    assert all((r.title, r.company, r.url) == (f"T{r.card_no - 1}", f"C{r.card_no - 1}", f"/{r.card_no - 1}") for r in got)
+    assert all(r.element_texts == [f"C{r.card_no - 1}", "s", f"n{r.card_no - 1}"] for r in got)
+
+
+def test_cards_inside_cards(spark):
+    page = '<div class="job-card"><p>x</p><div class="job-card"><h3><a href="i">inner</a></h3></div><span class="location">L</span></div><h3><a>outside</a></h3>'
+    df = spark.createDataFrame([(1, "vietnamworks", page)], "page_id long, site string, html string")
+    got = [(r.card_no, r.title, r.location) for r in parse_cards(df, "page_id", "site", "html").orderBy("card_no").collect()]
+    assert got == [(1, "inner", "L"), (2, "inner", None)]
+
+
 def test_repeated_pages_stay_apart(spark):
     pages = spark.createDataFrame([PAGES[0]] * 3 + [PAGES[2]], "page_id long, site string, html string")
     assert parse_cards(pages, "page_id", "site", "html").count() == 4
