@@ -213,6 +213,31 @@ def test_reports(postings):
     assert reports.seniority_distribution(empty).count() == 0
 
 
+def test_bundle_equals_the_single_reports(postings):
+    more = postings.unionByName(postings.withColumn("job_id", F.col("job_id") + 100).withColumn("source", F.lit("itviec")))
+    state = enrich(more, keep_short=True).cache()
+    detailed = reports.detailed_jobs(state)
+    single = {
+        "overview": reports.overview(state), "seniority": reports.seniority_distribution(state),
+        "categories": reports.category_mentions(state), "top_keywords": reports.top_keywords_per_category(state),
+        "technology_categories": reports.category_mentions(state, reports.EXTENDED, only_with=reports.VIETNAMESE, limit=8),
+        "all_technology_categories": reports.category_mentions(state, reports.EXTENDED, limit=8),
+        "jobs_with_technologies": reports.jobs_with(state), "averages": reports.averages(state),
+        "top_skills": reports.top_items(state, "extracted.skills"), "top_technologies": reports.top_items(state, "extracted.technologies"),
+        "combinations": reports.keyword_combinations(detailed), "companies": reports.company_stats(detailed),
+        "detection_rates": reports.detection_rates(state),
+    }
+    for bundle, frame in ((reports.statistics(state), state), (reports.statistics(state.limit(0)), None)):
+        for name, want in single.items():
+            got = bundle[name]
+            assert sorted(got.columns) == sorted(want.columns), name
+            if frame is not None:
+                rows = [[pytest.approx(r[c]) if isinstance(r[c], float) else r[c] for c in want.columns] for r in want.collect()]
+                assert [[r[c] for c in want.columns] for r in got.collect()] == rows, name
+    sources = lambda df: df._jdf.queryExecution().analyzed().toString().count("LogicalRDD")
+    assert sources(reports.facts(state)) == sources(state)  # one read of the frame
+
+
 def test_combination_key(spark):
     df = spark.createDataFrame(
         [

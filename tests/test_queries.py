@@ -23,7 +23,7 @@ SOME = [
     "postings_from_pages", "page_descriptions", "repeated_updates", "appended_twice", "json_written", "limited_run",
     "streamed_repeats", "reprocessed", "dictionary_from_json", "enriched_with_user_dictionary", "fuzzy_by_ratio",
     "top_matches_per_job", "matches_by_score", "label_positions", "quoted_documents", "enriched_with_errors",
-    "run_summary_with_errors", "records_as_postings", "rule_urls",
+    "run_summary_with_errors", "records_as_postings", "rule_urls", "statistics_facts",
 ]
 
 

@@ -603,6 +603,26 @@ WHERE source = 'linkedin' AND length({strip('description')}) >= 20 GROUP BY job_
         "success_rate": f"""{p}, s AS (SELECT coalesce(length({strip('description')}), 0) >= 20 AS ok FROM postings
   WHERE source = 'linkedin') SELECT count(*) FILTER (ok) AS updated, count(*) AS selected,
   count(*) FILTER (ok) * 100.0::DOUBLE / count(*) AS success_rate FROM s""",
+        "statistics_facts": f"""{COUNTS}, {_DETAILED}, j AS (SELECT p.source, j.job_id IS NOT NULL AS done, n_vietnamese_keywords > 0 AS vn,
+  n_seniority > 0 AS sen, n_extended_technologies > 0 AS ext FROM postings p LEFT JOIN per_job j USING (job_id)),
+k AS (SELECT array_to_string(sen, '+') || CASE WHEN len(list_filter(vn, lambda x: NOT list_contains(sen, x))) > 0
+  THEN '|' || array_to_string(list_slice(list_filter(vn, lambda x: NOT list_contains(sen, x)), 1, 2), '+') ELSE '' END AS combination,
+  coalesce(company, 'Unknown') AS company, len(vn) AS n_vn FROM detailed),
+pm AS MATERIALIZED (SELECT * FROM {PROCESSED_MATCHES}),
+f AS (SELECT 'jobs' AS report, source AS key, 'total' AS subkey, 0.0::DOUBLE AS amount FROM j
+  {"".join(f" UNION ALL SELECT 'jobs', source, '{n}', 0.0 FROM j WHERE {c}" for n, c in (
+      ("processed", "done"), ("vietnamese", "vn"), ("seniority", "sen"), ("extended", "ext")))}
+  UNION ALL SELECT 'average', 'skills', NULL, s_skills FROM per_job
+  UNION ALL SELECT 'average', 'technologies', NULL, s_technologies FROM per_job
+  UNION ALL SELECT 'average', 'confidence', NULL, ({_NER})::DOUBLE FROM per_job
+  UNION ALL SELECT 'vietnamese', category, keyword, 0.0 FROM pm WHERE {VN}
+  UNION ALL SELECT 'seniority', keyword, NULL, 0.0 FROM pm WHERE {SEN}
+  UNION ALL SELECT 'extended', category, NULL, 0.0 FROM pm WHERE {EXT}
+  UNION ALL SELECT 'extended_with_vietnamese', category, NULL, 0.0 FROM pm WHERE {EXT} AND job_id IN (SELECT job_id FROM pm WHERE {VN})
+  UNION ALL SELECT label, value, NULL, 0.0 FROM spotted JOIN ok USING (job_id) WHERE label IN ('skills', 'technologies')
+  UNION ALL SELECT 'combination', combination, NULL, 0.0 FROM k
+  UNION ALL SELECT 'company', company, NULL, n_vn FROM k)
+SELECT report, key, subkey, count(*) AS n, round(sum(amount), 6)::DOUBLE AS amount FROM f GROUP BY 1, 2, 3""",
         "overview": f"""{COUNTS}, o AS (SELECT count(*) AS total_jobs, count(j.job_id) AS processed,
   count(*) FILTER (n_vietnamese_keywords > 0) AS with_keywords
   FROM postings LEFT JOIN per_job j USING (job_id) WHERE source = 'linkedin')

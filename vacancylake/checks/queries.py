@@ -849,6 +849,13 @@ def job_details(spark, sf_dir):
 # --- reports
 
 
+@query
+def statistics_facts(spark, sf_dir):
+    """All that the reports count, from one pass over the enriched postings."""
+    f = reports.facts(enriched(spark, sf_dir))
+    return f.select("report", "key", "subkey", "n", F.round("amount", 6).alias("amount"))
+
+
 @query
 def overview(spark, sf_dir):
     return reports.overview(enriched(spark, sf_dir))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vacancylake.functions.arrays import drop_members, non_empty, select_where, size0
 from vacancylake.plans.enrich import DONE
+from vacancylake.session import materialize
 
 UNKNOWN = "Unknown"
 SENIORITY = "extracted.seniority_levels"
@@ -294,22 +295,112 @@ def sample_jobs(jobs: DataFrame, limit: int = 3) -> DataFrame:
     return shown.orderBy("job_id").limit(limit)
 
 
+def facts(jobs: DataFrame, source: str = "linkedin") -> DataFrame:
+    """``(report, key, subkey, n, amount)``: all that the reports count and add up, from one pass.
+
+    Every posting lists its facts, and one aggregate with a partial step per partition counts them;
+    what is left is a row per keyword, category, company or combination.  Combinations and companies
+    are those of one ``source``.
+    """
+    none = F.lit(None).cast("string")
+    rows = jobs.select(
+        "source", "company", done().alias("done"),
+        F.coalesce(F.col(VIETNAMESE), F.array()).alias("vn"),
+        F.col(SENIORITY).alias("sen"),
+        F.coalesce(F.col(EXTENDED), F.array()).alias("ext"),
+        F.col("extracted.skills").alias("skills"),
+        F.col("extracted.technologies").alias("technologies"),
+        F.col("extraction_stats.total_skills").alias("n_skills"),
+        F.col("extraction_stats.total_technologies").alias("n_technologies"),
+        F.col("processing.confidence_scores.ner_confidence").alias("confidence"),
+    )
+
+    def fact(report: str, key: Column = none, subkey: Column = none, amount: Column = F.lit(0.0)) -> Column:
+        return F.struct(
+            F.lit(report).alias("report"), key.alias("key"), subkey.alias("subkey"), amount.cast("double").alias("amount")
+        )
+
+    def once(condition: Column, value: Column) -> Column:
+        return F.when(condition, F.array(value))
+
+    def each(values: Column, make) -> Column:
+        return F.transform(values, make)
+
+    def known(match: Column, field: str) -> Column:
+        return F.coalesce(match[field], F.lit(UNKNOWN))
+
+    names = lambda c: F.coalesce(F.col(c)["keyword"], F.array().cast("array<string>"))
+    has_vn, detailed = F.size("vn") > 0, (F.col("source") == source) & (F.size("vn") > 0) & F.col("sen").isNotNull()
+    of_source = {"total": F.lit(True), "processed": F.col("done"), "vietnamese": has_vn,
+                 "seniority": non_empty(F.col("sen")), "extended": F.size("ext") > 0}
+    values = {"skills": "n_skills", "technologies": "n_technologies", "confidence": "confidence"}
+    lists = [
+        *[once(c, fact("jobs", F.col("source"), F.lit(n))) for n, c in of_source.items()],
+        *[once(F.col(c).isNotNull(), fact("average", F.lit(n), amount=F.col(c))) for n, c in values.items()],
+        each(F.col("vn"), lambda m: fact("vietnamese", known(m, "category"), known(m, "keyword"))),
+        F.when(has_vn, each(F.col("sen"), lambda m: fact("seniority", known(m, "keyword")))),
+        each(F.col("ext"), lambda m: fact("extended", known(m, "category"))),
+        F.when(has_vn, each(F.col("ext"), lambda m: fact("extended_with_vietnamese", known(m, "category")))),
+        each(F.col("skills"), lambda item: fact("skills", item)),
+        each(F.col("technologies"), lambda item: fact("technologies", item)),
+        once(detailed, fact("combination", combination_key(names("sen"), names("vn")))),
+        once(detailed, fact("company", or_unknown("company"), amount=F.size("vn"))),
+    ]
+    every = F.flatten(F.array(*[F.coalesce(x, F.array()) for x in lists]))
+    listed = rows.select(F.explode(every).alias("f")).select("f.*")
+    return listed.groupBy("report", "key", "subkey").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+
+
 def statistics(jobs: DataFrame, source: str = "linkedin") -> dict[str, DataFrame]:
-    """All reports by name."""
-    detailed = detailed_jobs(jobs, source)
+    """All reports by name; the postings are read once for all that is counted, and once for the sample."""
+    counted = materialize(facts(jobs, source), "facts")
+
+    def of(report: str) -> DataFrame:
+        return counted.where(F.col("report") == report)
+
+    def counts(report: str, name: str, limit: int | None) -> DataFrame:
+        rows = of(report).groupBy(F.col("key").alias(name)).agg(F.sum("n").alias("n"))
+        return _ranked(rows, limit, name)
+
+    def sums(rows: DataFrame) -> DataFrame:
+        number = lambda n: F.coalesce(F.sum(F.when(F.col("subkey") == n, F.col("n"))), F.lit(0))
+        return rows.agg(*[number(n).alias(n) for n in ("total", "processed", "vietnamese", "seniority", "extended")])
+
+    every, site = sums(of("jobs")), sums(of("jobs").where(F.col("key") == source))
+    total, processed, found = F.col("total"), F.col("processed"), F.col("vietnamese")
+    with_keywords = every.select(found.alias("t"))
+    mean = lambda n: F.try_divide(
+        F.sum(F.when(F.col("key") == n, F.col("amount"))), F.sum(F.when(F.col("key") == n, F.col("n")))
+    )
+    ranked = of("vietnamese").select(F.col("key").alias("category"), F.col("subkey").alias("keyword"), "n").withColumn(
+        "rank", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("n"), "keyword"))
+    )
+    companies = of("company").select(F.col("key").alias("company"), F.col("n").alias("jobs"), F.col("amount").cast("long").alias("vn_keywords"))
     return {
-        "overview": overview(jobs, source),
-        "seniority": seniority_distribution(jobs),
-        "categories": category_mentions(jobs),
-        "top_keywords": top_keywords_per_category(jobs),
-        "technology_categories": category_mentions(jobs, EXTENDED, only_with=VIETNAMESE, limit=8),
-        "all_technology_categories": category_mentions(jobs, EXTENDED, limit=8),
-        "jobs_with_technologies": jobs_with(jobs, EXTENDED),
-        "averages": averages(jobs),
-        "top_skills": top_items(jobs, "extracted.skills"),
-        "top_technologies": top_items(jobs, "extracted.technologies"),
-        "combinations": keyword_combinations(detailed),
-        "companies": company_stats(detailed),
-        "detection_rates": detection_rates(jobs),
+        "overview": site.select(
+            total.alias("total_jobs"), "processed", found.alias("with_keywords"),
+            percent(processed, total).alias("coverage"), percent(found, processed).alias("detection_rate"),
+        ),
+        "seniority": counts("seniority", "keyword", None).join(F.broadcast(with_keywords)).select(
+            "keyword", "n", percent(F.col("n"), F.col("t")).alias("share")
+        ).orderBy(F.desc("n"), "keyword"),
+        "categories": counts("vietnamese", "category", None),
+        "top_keywords": ranked.where("rank <= 3"),
+        "technology_categories": counts("extended_with_vietnamese", "category", 8),
+        "all_technology_categories": counts("extended", "category", 8),
+        "jobs_with_technologies": every.select(F.col("extended").alias("n")),
+        "averages": of("average").agg(
+            mean("skills").alias("avg_skills_count"), mean("technologies").alias("avg_tech_count"), mean("confidence").alias("avg_confidence")
+        ).join(F.broadcast(every.select(processed.alias("total_processed")))),
+        "top_skills": counts("skills", "item", 10),
+        "top_technologies": counts("technologies", "item", 10),
+        "combinations": counts("combination", "combination", 10),
+        "companies": companies.withColumn("avg_keywords", F.try_divide(F.col("vn_keywords").cast("double"), F.col("jobs")))
+        .orderBy(F.desc("vn_keywords"), "company").limit(5),
+        "detection_rates": every.select(
+            percent(F.col("seniority"), processed).alias("seniority_rate"),
+            percent(F.col("extended"), processed).alias("extended_rate"),
+            percent(found, processed).alias("vietnamese_rate"),
+        ),
         "sample": sample_jobs(jobs),
     }
