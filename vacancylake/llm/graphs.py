@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancylake.llm.tables import stored
+from vacancylake.llm.tables import dropped, stored
 
 
 def components(members: DataFrame) -> DataFrame:
@@ -16,6 +16,7 @@ def components(members: DataFrame) -> DataFrame:
     partial aggregate.  Nodes are longs without nulls; nothing but a count reaches the driver.
     """
     labels = members.groupBy("node").agg(F.min("node").alias("label"))
+    before = None
     while True:
         lowest = members.join(labels, "node").groupBy("hub").agg(F.min("label").alias("label"))
         offered = members.join(lowest, "hub").groupBy("node").agg(F.min("label").alias("offer"))
@@ -26,5 +27,8 @@ def components(members: DataFrame) -> DataFrame:
             "labels",
         )
         labels = after.select("node", "label")
+        if before is not None:
+            dropped(before)
+        before = after
         if not after.where("moved").count():
             return labels
