@@ -351,7 +351,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> D
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item of ``benchmark``."""
+    """The rows of ``docs``, all columns, that hold no item of ``benchmark``.
+
+    A null or empty text holds nothing and stays; null and empty items are held by no text, and
+    repeated ones are one.  Repeated rows share their fate, ``doc_id`` is not looked at, and texts of any
+    length are searched whole.  Without items all rows stay; an empty table gives no rows.
+    """
 
     def cleaner(blocks: list[Pieces], at: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -190,7 +190,11 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def in_languages(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is determined with a probability of ``least``."""
+    """The rows of ``docs``, all columns, whose language is determined with a probability of ``least``.
+
+    Null texts and those without letters have no language and go.  Equal texts share their fate, texts of
+    any length are read whole, and other columns aren't looked at.  An empty table gives no rows.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

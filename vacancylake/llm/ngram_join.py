@@ -1,9 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest (operator 8).
+"""N-gram Jaccard join by MinHash in bands of a fixed length (operator 8).
 
 Documents are sets of word n-grams; equal sets are one class, so copies cost one row each.  Every
-class has a MinHash signature for each of several trees.  A tree is the trie of its signatures,
-and classes whose signatures share a prefix are candidates.  The prefix starts at full length and
-is shortened until pairs at the threshold meet in some tree with the wanted probability.
+class has a MinHash signature for each of several bands, and classes whose signatures agree in a
+band are candidates.  A forest would shorten the prefixes of sorted signatures until the recall is
+reached; as threshold and recall are given, the length that this ends at is known beforehand, and
+bands have it from the start.
 
 Candidates are gathered into components, whose members are then compared exactly: a component is
 dealt into chunks, each pair of chunks is one task's work, and the shared n-grams of two chunks are
