@@ -5,7 +5,16 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from vacancylake.llm.ngram_join import linked, linked_documents, matched_prefix, one_of_each, shingles
+from vacancylake.llm.ngram_join import (
+    linked,
+    linked_documents,
+    matched_prefix,
+    most_differing,
+    one_of_each,
+    reached,
+    shingles,
+    signatures,
+)
 
 SCHEMA = "doc_id long, text string, class int, label string, d int"
 
@@ -92,3 +101,30 @@ def test_shingles_and_similarity():
     for x, a in enumerate(some[:50]):
         for y, b in enumerate(some[50:]):
             assert found[x, y] == (2 * len(plain[a] & plain[b]) >= len(plain[a] | plain[b]))
+
+
+def test_prefixes_are_shared_as_often_as_sets_are_alike():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    shared, pairs, trees, depth = 0, 60, 24, 8
+    differing = []
+    for _ in range(pairs):
+        both = [word() for _ in range(180)]
+        texts = [" ".join([*both, *(word() for _ in range(20))]) for _ in range(2)]
+        values, bounds = shingles(pa.array(texts, pa.large_string()), 1)
+        a, b = (set(values[x:y].tolist()) for x, y in zip(bounds[:-1], bounds[1:]))
+        assert len(a & b) / len(a | b) == pytest.approx(180 / 220, abs=0.02)
+        x, y = signatures(values, bounds, trees, depth)
+        shared += int((x >> np.uint64(24) == y >> np.uint64(24)).sum())
+        differing.append(sum(int(v).bit_count() for v in (x ^ y) & np.uint64(0x0101010101010101)))
+    assert shared / (pairs * trees) == pytest.approx((180 / 220) ** 5, abs=0.06)
+    assert np.mean(differing) == pytest.approx(192 * (40 / 220) / 2, rel=0.15)
+    assert max(differing) <= most_differing(192, 0.8) < 192 * 0.25
+
+
+def test_prefixes_get_shorter_until_the_links_are_found(spark):
+    links = lambda *alike: spark.createDataFrame([(0, 1, s) for s in alike], "a long, b long, alike double")
+    assert reached(links(), 24, 8) == 0
+    assert reached(links(0.99, 0.98), 24, 8) > 0.9999
+    by_length = [reached(links(0.8, 0.8, 0.95), 24, k) for k in (8, 7, 6, 5)]
+    assert by_length == sorted(by_length) and by_length[0] < 0.995 and by_length[-1] > 0.9999

@@ -1,34 +1,51 @@
-"""N-gram Jaccard join by MinHash in bands of a fixed length (operator 8).
-
-Documents are sets of word n-grams; equal sets are one class, so copies cost one row each.  Every
-class has a MinHash signature for each of several bands, and classes whose signatures agree in a
-band are candidates.  A forest would shorten the prefixes of sorted signatures until the recall is
-reached; as threshold and recall are given, the length that this ends at is known beforehand, and
-bands have it from the start.
-
-Candidates are gathered into components, whose members are then compared exactly: a component is
+"""N-gram Jaccard join by a MinHash LSH forest (operator 8).
+
+Documents are sets of word n-grams; equal sets are one class, so copies cost one row each.  In each
+of several trees a class has a signature of ``depth`` MinHash values, a byte each, in one long: the tree
+is the trie of these signatures, and its nodes are their prefixes.  Classes that share no prefix of the
+least length with others are let go, the rest meets under prefixes that get shorter by rounds.  Before
+two sets are compared exactly, the lowest bits of all their values are: they tell most unlike sets apart,
+and a pair at the threshold fails them with a probability of ``MISSED``.
+
+First one class of each node stands for the others, which are compared with it alone; then only
+classes meet that no chain of verified links connects yet.  Every link found with similarity ``s``
+stands for ``1 / p`` links, ``p`` being the chance that such a pair shares a prefix of the present length in
+some tree.  Prefixes are shortened until the links found are the wanted part of that sum, and at most
+to the length at which a pair right at the threshold reaches it.
+
+Links form components, whose members are then compared exactly to count their links: a component is
 dealt into chunks, each pair of chunks is one task's work, and the shared n-grams of two chunks are
-counted by a matrix product.  A task returns one row per class, never the pairs: the number of
-documents linked to it, and the tree of links that connects the chunk.
+counted by a matrix product.  A task returns one row per class, never the pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancylake.llm.batches import gram_hashes, mixed, slices, text_bytes, word_hashes, word_spans
 from vacancylake.llm.graphs import components
-from vacancylake.llm.tables import stored
+from vacancylake.llm.tables import dropped, stored
 from vacancylake.llm.windows import keyed
 
 SLICE_BYTES = 1 << 20
 COLUMNS = 8192
+#: Bits of a MinHash value in a signature; a signature of eight values fills a long.
+VALUE_BITS = 8
+#: Chance that the lowest bits of two sets right at the threshold keep them from being compared.
+MISSED = 1e-7
+#: Rounds in which classes are compared with one of each node before those that are left meet.
+STAR_ROUNDS = 2
+#: Numbers that put classes in another order in each of these rounds.
+_TURNS = (0x5DEECE66D1CE4E5B, 0x2545F4914F6CDD1D)
+#: Tasks that compare with one class.
+SALTS = 16
 
 
 def matched_prefix(trees: int, depth: int, similarity: float, recall: float) -> int:
@@ -69,26 +86,35 @@ def shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(row, np.arange(len(count) + 1))
 
 
-def tree_keys(values: np.ndarray, bounds: np.ndarray, trees: int, length: int) -> np.ndarray:
-    """For each non-empty set the hash of its prefix in each tree."""
+def signatures(values: np.ndarray, bounds: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """For each non-empty set its signature in each tree, the first value in the highest bits."""
     rng = np.random.default_rng(97)
     filled = bounds[:-1][bounds[1:] > bounds[:-1]]
-    keys = np.zeros((len(filled), trees), dtype=np.uint64)
+    out = np.zeros((len(filled), trees), dtype=np.uint64)
     for tree in range(trees):
-        key = np.full(len(filled), tree + 1, dtype=np.uint64)
-        for _ in range(length):
+        for _ in range(depth):
             mask, factor = rng.integers(1, 2**63, 2, dtype=np.uint64)
             lowest = np.minimum.reduceat((values ^ mask) * (factor | np.uint64(1)), filled)
-            key = mixed(key + lowest)
-        keys[:, tree] = key
-    return keys
+            value = mixed(lowest) >> np.uint64(64 - VALUE_BITS)
+            out[:, tree] = (out[:, tree] << np.uint64(VALUE_BITS)) | value
+    return out
+
+
+def most_differing(bits: int, similarity: float) -> int:
+    """Of ``bits`` lowest bits, how many may differ so that a pair of ``similarity`` fails with ``MISSED`` at most."""
+    chance, left = (1 - similarity) / 2, 1.0
+    for most in range(bits):
+        left -= comb(bits, most) * chance**most * (1 - chance) ** (bits - most)
+        if left <= MISSED:
+            return most
+    return bits
 
 
-def _signed(n: int, trees: int, length: int):
+def _signed(n: int, trees: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
             values, bounds = shingles(batch.column(2), n)
-            keys = tree_keys(values, bounds, trees, length)
+            keys = signatures(values, bounds, trees, depth)
             filled = np.flatnonzero(bounds[1:] > bounds[:-1])
             name = np.add.reduceat(mixed(values + np.uint64(7)), bounds[filled]) if len(filled) else values[:0]
             rows = pa.array(filled)
@@ -135,16 +161,24 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -
     return shared >= similarity * union - 1e-9
 
 
-def _roots(pairs: np.ndarray, n: int) -> np.ndarray:
-    """For each of ``n`` nodes the smallest node that the symmetric links ``pairs`` connect it with."""
-    root = np.arange(n)
-    while True:
-        best = np.where(pairs, root[None, :], n).min(axis=1)
-        after = np.minimum(root, best)
-        after = after[after]
-        if (after == root).all():
-            return root
-        root = after
+def _alike(similarity: float):
+    """Rows ``a, b, grams_a, grams_b`` to ``a, b, alike`` of those that are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = np.zeros(batch.num_rows)
+            for row, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9:
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    union = len(x) + len(y) - shared
+                    alike[row] = shared / union if shared >= similarity * union - 1e-9 else 0
+            near = pa.array(np.flatnonzero(alike))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(near), batch.column(1).take(near), pa.array(alike[alike > 0])], names=["a", "b", "alike"]
+            )
+
+    return run
 
 
 def _compared(similarity: float):
@@ -161,13 +195,123 @@ def _compared(similarity: float):
             pairs[np.ix_(left, right)] = found
             pairs[np.ix_(right, left)] = found.T
         np.fill_diagonal(pairs, False)
-        return pd.DataFrame(
-            {"class": names, "links": (pairs * members[None, :]).sum(axis=1), "root": names[_roots(pairs, len(names))]}
-        )
+        return pd.DataFrame({"class": names, "links": (pairs * members[None, :]).sum(axis=1)})
 
     return run
 
 
+def _sketch(trees: int) -> list[Column]:
+    """The lowest bits of all values, those of eight trees in a long."""
+    low = F.lit(sum(1 << at for at in range(0, 64, VALUE_BITS)))
+    out = []
+    for first in range(0, trees, VALUE_BITS):
+        bits = F.lit(0).cast("long")
+        for tree in range(first, min(first + VALUE_BITS, trees)):
+            bits = bits.bitwiseOR(F.shiftleft(F.get("keys", F.lit(tree)).bitwiseAND(low), tree - first))
+        out.append(bits.alias(f"sketch{first // VALUE_BITS}"))
+    return out
+
+
+def _may_be_alike(columns: list[str], other: str, most: int) -> Column:
+    """At most so many of the lowest bits differ; the other class's columns begin with ``other``."""
+    differing = F.lit(0)
+    for c in columns:
+        differing = differing + F.bit_count(F.col(c).bitwiseXOR(F.col(f"{other}{c}")))
+    return differing <= most
+
+
+def _forest(classes: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
+    """``class, tree, signature, sketch...`` of classes that share a prefix of ``least`` values with others; written."""
+    leaves = classes.select("class", *_sketch(trees), F.posexplode("keys").alias("tree", "signature"))
+    leaves = leaves.withColumn("node", F.shiftrightunsigned("signature", VALUE_BITS * (depth - least)))
+    shared = leaves.groupBy("tree", "node").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return stored(leaves.join(shared, ["tree", "node"], "left_semi").drop("node"), "forest")
+
+
+def _under(forest: DataFrame, groups: DataFrame | None, length: int, depth: int) -> DataFrame:
+    """``forest`` with the node of each class at this length and the label of what it is linked to."""
+    node = F.shiftrightunsigned("signature", VALUE_BITS * (depth - length)).alias("node")
+    if groups is None:
+        return forest.select("*", node, F.col("class").alias("label")).drop("signature")
+    known = groups.select(F.col("node").alias("class"), F.col("label").alias("known"))
+    return (
+        forest.select("*", node).join(known, "class", "left")
+        .withColumn("label", F.coalesce("known", "class")).drop("signature", "known")
+    )
+
+
+def _near_one(placed: DataFrame, step: int, most: int) -> DataFrame:
+    """``(a, b)``: of each node one class ``a`` and the classes ``b`` that may be like it and aren't linked with it."""
+    marks = [c for c in placed.columns if c not in ("tree", "node")]
+    order = F.col("class").bitwiseXOR(F.lit(_TURNS[step])).alias("order")
+    one = placed.groupBy("tree", "node").agg(
+        F.min(F.struct(order, *marks)).alias("one"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    one = one.where("low != high").select("tree", "node", *[F.col(f"one.{c}").alias(f"one_{c}") for c in marks])
+    met = placed.join(one, ["tree", "node"]).where(
+        (F.col("label") != F.col("one_label")) & _may_be_alike([c for c in marks if c.startswith("sketch")], "one_", most)
+    )
+    return met.select(F.col("one_class").alias("a"), F.col("class").alias("b")).distinct()
+
+
+def _near_left(placed: DataFrame, most: int) -> DataFrame:
+    """``(a, b)``: classes of a node that may be alike and that no links connect yet."""
+    several = placed.groupBy("tree", "node").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    several = several.where("low != high").select("tree", "node")
+    placed = placed.join(several, ["tree", "node"], "left_semi")
+    marks = [c for c in placed.columns if c not in ("tree", "node")]
+    other = placed.select("tree", "node", *[F.col(c).alias(f"other_{c}") for c in marks])
+    met = placed.join(other, ["tree", "node"]).where(
+        (F.col("class") < F.col("other_class"))
+        & (F.col("label") != F.col("other_label"))
+        & _may_be_alike([c for c in marks if c.startswith("sketch")], "other_", most)
+    )
+    return met.select(F.col("class").alias("a"), F.col("other_class").alias("b")).distinct()
+
+
+def _verified(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b, alike)``: the pairs of ``near`` that are similar; written."""
+    near = stored(near, "near")
+    # many classes may meet one
+    salted = near.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    left = sets.join(near.select(F.col("a").alias("class")).distinct(), "class", "left_semi").select(
+        F.col("class").alias("a"), F.col("grams").alias("grams_a"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    )
+    right = sets.select(F.col("class").alias("b"), F.col("grams").alias("grams_b"))
+    both = salted.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "grams_a", "grams_b")
+    links = stored(both.mapInArrow(_alike(similarity), "a long, b long, alike double"), "links")
+    dropped(near)
+    return links
+
+
+def reached(links: DataFrame, trees: int, length: int) -> float:
+    """Recall that prefixes of ``length`` values have, judged by the similarities of the ``links`` found."""
+    chance = 1 - F.pow(1 - F.pow("alike", F.lit(length)), F.lit(trees))
+    found, all_links = links.agg(F.count("*"), F.sum(1 / chance)).first()
+    return found / all_links if found else 0.0
+
+
+def _linked(
+    forest: DataFrame, sets: DataFrame, similarity: float, recall: float, trees: int, depth: int, least: int
+) -> DataFrame:
+    """``(node, label)``: classes that verified links connect."""
+    most = most_differing(trees * depth, similarity)
+    rounds = [(depth, step) for step in range(STAR_ROUNDS)] + [(length, None) for length in range(depth, least - 1, -1)]
+    links = groups = None
+    for length, step in rounds:
+        placed = _under(forest, groups, length, depth)
+        more = _verified(_near_left(placed, most) if step is None else _near_one(placed, step, most), sets, similarity)
+        links = more if links is None else links.unionByName(more)
+        if groups is None or not more.isEmpty():
+            if groups is not None:
+                dropped(groups)
+            groups = components(links.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("hub")).distinct())
+        if step is None and reached(links, trees, length) >= recall:
+            break
+    dropped(links)
+    return groups
+
+
 def join(
     docs: DataFrame,
     n: int = 5,
@@ -183,32 +327,30 @@ def join(
     other classes at least ``similarity`` alike, ``label`` the connected group of classes.  ``d`` and
     ``t`` are those of ``keyed``.
     """
-    length = matched_prefix(trees, depth, similarity, recall)
+    least = matched_prefix(trees, depth, similarity, recall)
     rows = keyed(docs).select("d", "t", "text")
-    signed = stored(
-        rows.mapInArrow(_signed(n, trees, length), "d long, t long, class long, keys array<long>"), "signed"
-    )
+    signed = stored(rows.mapInArrow(_signed(n, trees, depth), "d long, t long, class long, keys array<long>"), "signed")
     classes = stored(
         signed.groupBy("class").agg(
             F.count("*").alias("members"), F.min(F.struct("d", "t")).alias("first"), F.min_by("keys", "d").alias("keys")
         ),
         "classes",
     )
-    each = classes.select("class", F.explode("keys").alias("hub"))
-    shared = each.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub")
-    meeting = stored(each.join(shared, "hub").select(F.col("class").alias("node"), "hub"), "meeting")
-    parts = components(meeting).select(F.col("node").alias("class"), F.col("label").alias("part"))
-    sizes = parts.groupBy("part").agg(F.ceil(F.count("*") / chunk_classes).cast("int").alias("chunks"))
-    candidates = classes.select("class", "members", "first.d", "first.t").join(parts, "class").join(sizes, "part")
-    sets = (
-        rows.join(candidates.select("class", "members", "d", "t"), ["d", "t"])
+    forest = _forest(classes, trees, depth, least)
+    candidates = classes.select("class", "members", "first.d", "first.t").join(forest.select("class").distinct(), "class")
+    sets = stored(
+        rows.join(candidates, ["d", "t"])
         .dropDuplicates(["class"])
         .select("class", "members", "text")
-        .mapInArrow(_sets(n), "class long, members long, grams binary")
+        .mapInArrow(_sets(n), "class long, members long, grams binary"),
+        "sets",
     )
+    groups = _linked(forest, sets, similarity, recall, trees, depth, least)
+    parts = groups.select(F.col("node").alias("class"), F.col("label").alias("part"))
+    sizes = parts.groupBy("part").agg(F.ceil(F.count("*") / chunk_classes).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("class", F.lit("chunk")), F.col("chunks")).cast("int")
     dealt = (
-        sets.join(candidates.select("class", "part", "chunks"), "class")
+        sets.join(parts.join(sizes, "part"), "class")
         .withColumn("chunk", chunk)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select(
@@ -216,15 +358,9 @@ def join(
         )
     )
     compared = stored(
-        dealt.groupBy("part", "low", "high").applyInPandas(_compared(similarity), "class long, links long, root long"),
-        "compared",
-    )
-    groups = components(
-        compared.where("class != root")
-        .select("class", "root")
-        .distinct()
-        .select(F.explode(F.array("class", "root")).alias("node"), F.xxhash64("class", "root").alias("hub"))
+        dealt.groupBy("part", "low", "high").applyInPandas(_compared(similarity), "class long, links long"), "compared"
     )
+    dropped(forest, sets)
     links = compared.groupBy("class").agg(F.sum("links").alias("links"))
     return (
         signed.select("d", "t", "class")
