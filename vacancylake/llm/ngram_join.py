@@ -7,15 +7,17 @@ least length with others are let go, the rest meets under prefixes that get shor
 two sets are compared exactly, the lowest bits of all their values are: they tell most unlike sets apart,
 and a pair at the threshold fails them with a probability of ``MISSED``.
 
-First one class of each node stands for the others, which are compared with it alone; then only
-classes meet that no chain of verified links connects yet.  Every link found with similarity ``s``
-stands for ``1 / p`` links, ``p`` being the chance that such a pair shares a prefix of the present length in
-some tree.  Prefixes are shortened until the links found are the wanted part of that sum, and at most
-to the length at which a pair right at the threshold reaches it.
-
-Links form components, whose members are then compared exactly to count their links: a component is
-dealt into chunks, each pair of chunks is one task's work, and the shared n-grams of two chunks are
-counted by a matrix product.  A task returns one row per class, never the pairs.
+In each round one class of each node stands for the others, which are compared with it alone unless
+links connect them already.  Every link found with similarity ``s`` stands for ``1 / p`` links, ``p``
+being the chance that such a pair shares a prefix of the present length in some tree.  Prefixes are
+shortened until the links found are the wanted part of that sum, and at most to the length at which a
+pair right at the threshold reaches it.
+
+At the length reached, classes of a node that no links connect are gathered, together with what they
+are linked to, and all links are found exactly: such a part is dealt into chunks, each pair of chunks
+is one task's work, and the shared n-grams of two chunks are counted by a matrix product.  A task
+returns one row per class, never the pairs: the number of documents linked to it, and the tree of
+links that connects the chunk.
 """
 
 from __future__ import annotations
@@ -40,12 +42,10 @@ COLUMNS = 8192
 VALUE_BITS = 8
 #: Chance that the lowest bits of two sets right at the threshold keep them from being compared.
 MISSED = 1e-7
-#: Rounds in which classes are compared with one of each node before those that are left meet.
-STAR_ROUNDS = 2
-#: Numbers that put classes in another order in each of these rounds.
+#: Numbers that put classes in another order from round to round.
 _TURNS = (0x5DEECE66D1CE4E5B, 0x2545F4914F6CDD1D)
-#: Tasks that compare with one class.
-SALTS = 16
+#: A class that meets more than this many others is sent to several tasks.
+MANY, SALTS = 256, 16
 
 
 def matched_prefix(trees: int, depth: int, similarity: float, recall: float) -> int:
@@ -181,6 +181,18 @@ def _alike(similarity: float):
     return run
 
 
+def _roots(pairs: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` nodes the smallest node that the symmetric links ``pairs`` connect it with."""
+    root = np.arange(n)
+    while True:
+        best = np.where(pairs, root[None, :], n).min(axis=1)
+        after = np.minimum(root, best)
+        after = after[after]
+        if (after == root).all():
+            return root
+        root = after
+
+
 def _compared(similarity: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("class")
@@ -195,7 +207,9 @@ def _compared(similarity: float):
             pairs[np.ix_(left, right)] = found
             pairs[np.ix_(right, left)] = found.T
         np.fill_diagonal(pairs, False)
-        return pd.DataFrame({"class": names, "links": (pairs * members[None, :]).sum(axis=1)})
+        return pd.DataFrame(
+            {"class": names, "links": (pairs * members[None, :]).sum(axis=1), "root": names[_roots(pairs, len(names))]}
+        )
 
     return run
 
@@ -222,10 +236,14 @@ def _may_be_alike(columns: list[str], other: str, most: int) -> Column:
 
 def _forest(classes: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
     """``class, tree, signature, sketch...`` of classes that share a prefix of ``least`` values with others; written."""
-    leaves = classes.select("class", *_sketch(trees), F.posexplode("keys").alias("tree", "signature"))
+    leaves = classes.select("class", F.posexplode("keys").alias("tree", "signature"))
     leaves = leaves.withColumn("node", F.shiftrightunsigned("signature", VALUE_BITS * (depth - least)))
-    shared = leaves.groupBy("tree", "node").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return stored(leaves.join(shared, ["tree", "node"], "left_semi").drop("node"), "forest")
+    shared = leaves.groupBy("tree", "node").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    shared = stored(shared.where("low != high").drop("low", "high"), "shared")
+    kept = leaves.join(shared, ["tree", "node"], "left_semi").drop("node")
+    forest = stored(kept.join(classes.select("class", *_sketch(trees)), "class"), "forest")
+    dropped(shared)
+    return forest
 
 
 def _under(forest: DataFrame, groups: DataFrame | None, length: int, depth: int) -> DataFrame:
@@ -243,7 +261,7 @@ def _under(forest: DataFrame, groups: DataFrame | None, length: int, depth: int)
 def _near_one(placed: DataFrame, step: int, most: int) -> DataFrame:
     """``(a, b)``: of each node one class ``a`` and the classes ``b`` that may be like it and aren't linked with it."""
     marks = [c for c in placed.columns if c not in ("tree", "node")]
-    order = F.col("class").bitwiseXOR(F.lit(_TURNS[step])).alias("order")
+    order = F.col("class").bitwiseXOR(F.lit(_TURNS[step % len(_TURNS)])).alias("order")
     one = placed.groupBy("tree", "node").agg(
         F.min(F.struct(order, *marks)).alias("one"), F.min("label").alias("low"), F.max("label").alias("high")
     )
@@ -254,28 +272,22 @@ def _near_one(placed: DataFrame, step: int, most: int) -> DataFrame:
     return met.select(F.col("one_class").alias("a"), F.col("class").alias("b")).distinct()
 
 
-def _near_left(placed: DataFrame, most: int) -> DataFrame:
-    """``(a, b)``: classes of a node that may be alike and that no links connect yet."""
+def _left(placed: DataFrame) -> DataFrame:
+    """``(node, hub)``: classes of one node of the forest that no links connect yet."""
     several = placed.groupBy("tree", "node").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     several = several.where("low != high").select("tree", "node")
-    placed = placed.join(several, ["tree", "node"], "left_semi")
-    marks = [c for c in placed.columns if c not in ("tree", "node")]
-    other = placed.select("tree", "node", *[F.col(c).alias(f"other_{c}") for c in marks])
-    met = placed.join(other, ["tree", "node"]).where(
-        (F.col("class") < F.col("other_class"))
-        & (F.col("label") != F.col("other_label"))
-        & _may_be_alike([c for c in marks if c.startswith("sketch")], "other_", most)
-    )
-    return met.select(F.col("class").alias("a"), F.col("other_class").alias("b")).distinct()
+    met = placed.join(several, ["tree", "node"], "left_semi")
+    return met.select(F.col("class").alias("node"), F.xxhash64("tree", "node").alias("hub"))
 
 
 def _verified(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``(a, b, alike)``: the pairs of ``near`` that are similar; written."""
     near = stored(near, "near")
-    # many classes may meet one
-    salted = near.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    left = sets.join(near.select(F.col("a").alias("class")).distinct(), "class", "left_semi").select(
-        F.col("class").alias("a"), F.col("grams").alias("grams_a"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    of_salt = F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")
+    salts = near.groupBy("a").agg(F.when(F.count("*") > MANY, SALTS).otherwise(1).alias("salts"))
+    salted = near.join(salts, "a").select("a", "b", of_salt)
+    left = sets.join(salts, F.col("class") == F.col("a")).select(
+        "a", F.col("grams").alias("grams_a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
     )
     right = sets.select(F.col("class").alias("b"), F.col("grams").alias("grams_b"))
     both = salted.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "grams_a", "grams_b")
@@ -291,25 +303,26 @@ def reached(links: DataFrame, trees: int, length: int) -> float:
     return found / all_links if found else 0.0
 
 
-def _linked(
+def _parts(
     forest: DataFrame, sets: DataFrame, similarity: float, recall: float, trees: int, depth: int, least: int
 ) -> DataFrame:
-    """``(node, label)``: classes that verified links connect."""
+    """``(node, label)``: classes between which links may be share a label."""
     most = most_differing(trees * depth, similarity)
-    rounds = [(depth, step) for step in range(STAR_ROUNDS)] + [(length, None) for length in range(depth, least - 1, -1)]
     links = groups = None
-    for length, step in rounds:
-        placed = _under(forest, groups, length, depth)
-        more = _verified(_near_left(placed, most) if step is None else _near_one(placed, step, most), sets, similarity)
+    for step, length in enumerate(range(depth, least - 1, -1)):
+        more = _verified(_near_one(_under(forest, groups, length, depth), step, most), sets, similarity)
         links = more if links is None else links.unionByName(more)
+        edges = links.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("hub")).distinct()
         if groups is None or not more.isEmpty():
             if groups is not None:
                 dropped(groups)
-            groups = components(links.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("hub")).distinct())
-        if step is None and reached(links, trees, length) >= recall:
+            groups = components(edges)
+        if reached(links, trees, length) >= recall:
             break
-    dropped(links)
-    return groups
+    members = stored(edges.unionByName(_left(_under(forest, groups, length, depth))), "members")
+    parts = components(members)
+    dropped(links, groups, members)
+    return parts
 
 
 def join(
@@ -345,8 +358,8 @@ def join(
         .mapInArrow(_sets(n), "class long, members long, grams binary"),
         "sets",
     )
-    groups = _linked(forest, sets, similarity, recall, trees, depth, least)
-    parts = groups.select(F.col("node").alias("class"), F.col("label").alias("part"))
+    parts = _parts(forest, sets, similarity, recall, trees, depth, least)
+    parts = parts.select(F.col("node").alias("class"), F.col("label").alias("part"))
     sizes = parts.groupBy("part").agg(F.ceil(F.count("*") / chunk_classes).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("class", F.lit("chunk")), F.col("chunks")).cast("int")
     dealt = (
@@ -358,9 +371,16 @@ def join(
         )
     )
     compared = stored(
-        dealt.groupBy("part", "low", "high").applyInPandas(_compared(similarity), "class long, links long"), "compared"
+        dealt.groupBy("part", "low", "high").applyInPandas(_compared(similarity), "class long, links long, root long"),
+        "compared",
     )
     dropped(forest, sets)
+    groups = components(
+        compared.where("class != root")
+        .select("class", "root")
+        .distinct()
+        .select(F.explode(F.array("class", "root")).alias("node"), F.xxhash64("class", "root").alias("hub"))
+    )
     links = compared.groupBy("class").agg(F.sum("links").alias("links"))
     return (
         signed.select("d", "t", "class")
