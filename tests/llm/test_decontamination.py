@@ -39,6 +39,8 @@ def brute_force(docs, items, search):
             pieces = [own[s : s + search.piece] for s in starts]
             found = [least_edits(p, text) for p in pieces if p]
             fits = [e for e, p in zip(found, pieces) if e <= int(search.budget * len(p))]
+            if len(own) <= search.piece and not int(search.budget * len(own)) and f" {own} " not in f" {text.rstrip(' ')} ":
+                fits = []
             if fits:
                 out.add((doc, item, min(fits)))
     return out
@@ -119,3 +121,26 @@ def test_partial_quotes_at_all_offsets(spark):
     own = [d for d in docs if d[0] % 40 == 0]
     exact = {(d, i, e) for d, i, e in brute_force(own, [(1, item)], Search())}
     assert {(r.doc_id, r.item_id, r.edits) for r in found if r.doc_id in {d for d, _ in own}} == exact
+
+
+def test_short_items_as_whole_words(spark):
+    items = [(1, "cat"), (2, "Yes"), (3, "a"), (4, "in the"), (5, "abcdefghi"), (6, "abcdefghij")]
+    docs = [
+        (1, "The concatenated words"), (2, "an eyesore; yesterday"), (3, "The cat-flap"), (4, "cat"), (5, "YES!"),
+        (6, "(a)"), (7, "within the"), (8, "he is in -- the"), (9, "scat, cat"), (10, "cats cat's"), (11, "ca"),
+        (12, "xabcdefghi"), (13, "x abcdefghi"), (14, "xabcdefghij"),
+    ]
+    want = {(3, 1), (4, 1), (5, 2), (6, 3), (8, 4), (9, 1), (10, 1), (13, 5), (13, 6), (12, 6), (14, 6)}
+    frame = spark.createDataFrame([(*d, 1, 2) for d in docs], DOCS)
+    bench = spark.createDataFrame([(*i, 9) for i in items], ITEMS)
+    assert {(r.doc_id, r.item_id) for r in leaks(frame, bench).collect()} == want
+    assert want == {(d, i) for d, i, _ in brute_force(docs, items, Search())}
+    left = {r.doc_id for r in without_leaks(frame, bench).collect()}
+    assert left == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_verbatim_search_of_long_items(spark):
+    item = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, "x" + item[9:] + "x", 0, 0), (2, item[9:28], 0, 0), (3, "x" + item, 0, 0)], DOCS)
+    found = leaks(docs, spark.createDataFrame([(1, item, 0)], ITEMS), Search(piece=20, stride=1, budget=0.0))
+    assert {r.doc_id for r in found.collect()} == {1, 3}

@@ -6,7 +6,8 @@ is within the edit budget of a piece.  A piece of ``m`` signs with ``k`` edits s
 ``m + 1 - q - k * q`` of its q-grams with what it became, all on diagonals at most ``k`` apart.  So
 shared q-grams are counted in overlapping bands of diagonals, only bands that reach the bound are
 kept, and an alignment restricted to the band decides.  Grams are counted over the item first, and over
-its pieces only in bands that have enough for one.
+its pieces only in bands that have enough for one.  An item too short for any edit must stand in the
+document as whole words.
 
 The benchmark is the query set: its q-grams go to every task, in blocks of bounded size.  Documents
 are never moved.
@@ -53,7 +54,7 @@ class Pieces:
     """Benchmark items that share a gram size, ready to be looked up; ``slot_of`` and ``place_of`` say where a gram is.
 
     The pieces of an item have one length and one budget; ``begins`` has the places where they begin,
-    those of one item after the other.
+    those of one item after the other.  ``bordered`` items must stand between borders of words.
     """
 
     q: int
@@ -61,6 +62,7 @@ class Pieces:
     texts: list[np.ndarray]
     sizes: np.ndarray
     budgets: np.ndarray
+    bordered: np.ndarray
     needed: np.ndarray
     begins: np.ndarray
     pieces_from: np.ndarray
@@ -101,6 +103,7 @@ def prepared(items: list[tuple[int, str]], piece: int, stride: int, budget: floa
                 texts=[c for _, c, _, _ in parts],
                 sizes=sizes,
                 budgets=budgets,
+                bordered=np.array([k == 0 and size == len(c) for _, c, size, k in parts]),
                 needed=sizes + 1 - q - budgets * q,
                 begins=np.concatenate(begins).astype(np.int64),
                 pieces_from=np.cumsum([0, *map(len, begins)]),
@@ -241,10 +244,15 @@ def _aligned(pieces: Pieces, codes: np.ndarray, offsets: np.ndarray, found: tupl
                 best[key] = min(best.get(key, new), new)
 
 
+def _between_borders(codes: np.ndarray, start: int, stop: int, first: int, last: int) -> bool:
+    """Whether words begin at ``start`` and end at ``stop`` of the text that is ``codes[first:last]``."""
+    return (start == first or codes[start - 1] == 32) and (stop == last or codes[stop] == 32)
+
+
 def leaks_of(column: pa.Array, blocks: list[Pieces]) -> list[tuple[int, int, int, int]]:
     """``(row, item, edits, end)`` of a batch of texts: the best match of each item in each text.
 
-    Pieces that stand in a text as they are need no alignment.  Of the others, those that share most
+    Pieces that stand in a text as they are need no alignment, those without a budget are only found so.  Of the others, those that share most
     are aligned first, and then those that may still be as good as the best match of their item.
     """
     codes, offsets = normalized(column)
@@ -258,11 +266,15 @@ def leaks_of(column: pa.Array, blocks: list[Pieces]) -> list[tuple[int, int, int
             size = int(pieces.sizes[slot[k]])
             end = int(begin[k] + diagonal[k]) + size
             start = int(offsets[row[k]]) + end - size
+            if pieces.bordered[slot[k]] and not _between_borders(codes, start, start + size, offsets[row[k]], offsets[row[k] + 1]):
+                continue
             if np.array_equal(codes[start : start + size], pieces.texts[slot[k]][begin[k] : begin[k] + size]):
                 key = (int(row[k]), int(pieces.items[slot[k]]))
                 best[key] = min(best.get(key, (0, end)), (0, end))
         # a piece of the item stands at ``begin`` of it, so its diagonals are those of the item moved on
         row, slot, begin, diagonal, least = _candidates(pieces, *hits)
+        # where no edit is allowed, all there is has been found
+        row, slot, begin, diagonal, least = (x[pieces.budgets[slot] > 0] for x in (row, slot, begin, diagonal, least))
         found = (row, slot, begin, diagonal + begin, least)
         keys = list(zip(row.tolist(), pieces.items[slot].tolist()))
         order = np.lexsort((least, pieces.items[slot], row))
@@ -319,6 +331,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> D
     ``docs`` has ``doc_id, text``, ``benchmark`` has ``item_id, text``.  An item is held when one of
     its pieces is within the edit budget of some part of the document; ``edits`` is the least number
     over its pieces and ``end_char`` where that match ends in the normalised text, the first of ties.
+    An item so short that its budget is no edit at all (under 10 signs as searched by default) is held
+    only as whole words: ``cat`` is in ``the cat sat``, not in ``concatenated``.
 
     Null and empty texts hold nothing, and items without a letter or digit are in none.  A null
     ``item_id`` is given as -1.  Repeated documents give repeated rows, repeated items one.  Without
@@ -351,8 +365,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> D
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item of ``benchmark``.
+    """The rows of ``docs``, all columns, that hold no item of ``benchmark``, as ``leaks`` tells it.
 
+    Items too short for an edit are held only as whole words.
     A null or empty text holds nothing and stays; null and empty items are held by no text, and
     repeated ones are one.  Repeated rows share their fate, ``doc_id`` is not looked at, and texts of any
     length are searched whole.  Without items all rows stay; an empty table gives no rows.
