@@ -6,13 +6,14 @@ operators that remove text which began earlier; they differ in the index that a
 1. The leftmost smallest gram hash of a window is its anchor.  Equal windows have equal anchors at
    equal places, so only anchors that occur twice can hold repeated windows; they are counted over
    the whole corpus.
-2. Consecutive windows with one anchor form a segment, known by a 128-bit hash of its items.  Where
-   segments of repeated anchors occur is kept as numbers; their items go to the shard of their
-   anchor, each different segment once, with the first place it occurs at.  An
-   anchor with very many different segments (copies that differ nearby) goes to no shard: its
+2. Consecutive windows with one anchor form a segment, known by the 64-bit hashes of its anchor and
+   of its items.  Where segments of repeated anchors occur is kept as numbers.  The items of each
+   different segment are taken out of the document it occurs in first and go once to the shard of their
+   anchor.  An anchor with very many different segments (copies that differ nearby) goes to no shard: its
    segments are cut into windows, which are grouped by their content.
-3. The shard's index tells for every window where it occurs first.  The answer goes back to all
-   occurrences of the segment, and what began earlier is removed.
+3. The shard's index tells for every window where it occurs first, as runs of windows that follow
+   each other there too.  The answer goes back to all occurrences of the segment, and what began
+   earlier is removed.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ class Items:
             self.starts = self.ends = None
             return
         starts, ends, self.bounds = word_spans(data, offsets)
-        self.hashes = word_hashes(data, starts, ends)
+        self.spans = data, starts, ends
         sizes = ends - starts
         self.ends = np.cumsum(sizes + 1) - 1
         self.starts = self.ends - sizes
@@ -87,7 +88,7 @@ class Items:
         self.data = joined
 
     def values(self) -> np.ndarray:
-        return self.hashes if self.words else byte_codes(self.data)
+        return word_hashes(*self.spans) if self.words else byte_codes(self.data)
 
     def text(self, start: int, stop: int) -> bytes:
         """Items ``start:stop`` of the batch; words are parted by one space."""
@@ -95,6 +96,12 @@ class Items:
             return self.data[start:stop].tobytes()
         return self.data[self.starts[start] : self.ends[stop - 1]].tobytes() if stop > start else b""
 
+    def byte_spans(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the bytes of items ``start:stop`` begin and how many they are; no span is empty."""
+        if not self.words:
+            return start, stop - start
+        return self.starts[start], self.ends[stop - 1] - self.starts[start]
+
     def without(self, start: int, stop: int, spans: np.ndarray) -> tuple[int, int, bytes]:
         """``(items removed, maximal spans, the rest)`` of items ``start:stop``; spans count from ``start``."""
         marks = np.zeros(stop - start + 1, dtype=np.int64)
@@ -160,13 +167,13 @@ def _anchors(spec: Windows):
 
 
 class Runs:
-    """Two 64-bit hashes of any run of values, from running sums."""
+    """Two 64-bit hashes, or one, of any run of values, from running sums."""
 
     BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, hashes: int = 2):
         self.parts = []
-        for base in self.BASES:
+        for base in self.BASES[:hashes]:
             powers = np.cumprod(np.full(len(values) + 1, base, dtype=np.uint64))
             back = np.cumprod(np.full(len(values) + 1, pow(base, -1, 1 << 64), dtype=np.uint64))
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * powers[:-1])))
@@ -179,15 +186,10 @@ class Runs:
         ]
 
 
-#: Different segments that a task remembers having sent.
-REMEMBERED = 500_000
-
-
 def _segments(spec: Windows):
-    """Places of segments; the task's first row of a segment has its anchor and items too."""
+    """Places of segments, with the number of their items and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
         for batch in slices(batches, "text", SLICE_BYTES):
             items = Items(batch.column(2), spec.words)
             values = items.values()
@@ -199,32 +201,49 @@ def _segments(spec: Windows):
             chosen = np.flatnonzero(np.isin(mix(anchor, row), mix(flat, owner)))
             row, first, anchor = row[chosen], first[chosen], anchor[chosen].view(np.int64)
             length = size[chosen] + spec.width - 1
-            key_a, key_b = Runs(values).keys(first, length)
-            if len(sent) > REMEMBERED:
-                sent.clear()
-            texts: list[bytes | None] = []
-            for k, key in enumerate(key_a.tolist()):
-                new = key not in sent
-                sent.add(key)
-                texts.append(items.text(first[k], first[k] + length[k]) if new else None)
+            (key,) = Runs(values, 1).keys(first, length)
             rows = pa.array(row)
-            segments = pa.array(texts, pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(rows),
                     batch.column(1).take(rows),
                     pa.array(first - items.bounds[row]),
-                    pa.array(key_a),
-                    pa.array(key_b),
-                    pa.array(anchor, mask=segments.is_null().to_numpy(zero_copy_only=False)),
-                    segments,
+                    pa.array(anchor),
+                    pa.array(key),
+                    pa.array(length),
+                    pa.array(items.byte_spans(first, first + length)[1]),
                 ],
-                names=["d", "t", "start", "key_a", "key_b", "route", "segment"],
+                names=["d", "t", "start", "route", "key", "n", "bytes"],
             )
 
     return run
 
 
+def _taken_out(spec: Windows):
+    """The bytes of the segments that documents are asked for; words are parted by one space."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE_BYTES):
+            items = Items(batch.column(1), spec.words)
+            wanted = batch.column(2)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
+            route, key, start, n = wanted.flatten().flatten()
+            first = items.bounds[row] + start.to_numpy()
+            begin, sizes = items.byte_spans(first, first + n.to_numpy())
+            number = np.cumsum(sizes) // (8 * SLICE_BYTES)
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(row)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                offsets = np.concatenate(([0], np.cumsum(sizes[a:b]))).astype(np.int32)
+                data = items.data[runs_expanded(begin[a:b], sizes[a:b])]
+                segments = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays(
+                    [route[a:b], key[a:b], batch.column(0).take(pa.array(row[a:b])), start[a:b], segments],
+                    names=["route", "key", "first_d", "first_start", "segment"],
+                )
+
+    return run
+
+
 def _single_windows(spec: Windows):
     """The windows of segments, by 128-bit hash, with the place where each occurs first in the segment."""
 
@@ -248,28 +267,37 @@ def _single_windows(spec: Windows):
                     batch.column(2).take(rows),
                     pa.array(batch.column(3).to_numpy()[row] + nth),
                 ],
-                names=["key_a", "key_b", "nth", "window_a", "window_b", "first_d", "first_start"],
+                names=["route", "key", "nth", "window_a", "window_b", "first_d", "first_start"],
             )
 
     return run
 
 
-def _indexed(index: Index):
+def _indexed(spec: Windows, index: Index):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["route", "segment"])
+        # rows of one id and text give their segments twice
+        rows = rows.sort_values(["route", "segment"]).drop_duplicates(["route", "key"])
         firsts, starts, counts = index(
             rows["segment"].tolist(),
             rows["route"].to_numpy(),
             rows["first_d"].to_numpy(),
             rows["first_start"].to_numpy(),
         )
-        cuts = np.cumsum(counts)[:-1]
+        begins = np.cumsum(counts) - counts
+        nth = np.arange(len(firsts)) - np.repeat(begins, counts)
+        moved = starts - nth if spec.within else starts
+        new = nth == 0
+        new[1:] |= (firsts[1:] != firsts[:-1]) | (moved[1:] != moved[:-1])
+        at = np.flatnonzero(new)
+        cuts = np.searchsorted(at, begins[1:])
         return pd.DataFrame(
             {
-                "key_a": rows["key_a"].to_numpy(),
-                "key_b": rows["key_b"].to_numpy(),
-                "first_ds": np.split(firsts, cuts),
-                "first_starts": np.split(starts, cuts),
+                "route": rows["route"].to_numpy(),
+                "key": rows["key"].to_numpy(),
+                "windows": counts,
+                "nths": np.split(nth[at], cuts),
+                "first_ds": np.split(firsts[at], cuts),
+                "first_starts": np.split(starts[at], cuts),
             }
         )
 
@@ -283,23 +311,29 @@ def _earlier(spec: Windows):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            documents, texts, starts = (batch.column(k).to_numpy() for k in range(3))
-            counts = np.diff(batch.column(3).offsets.to_numpy())
-            first_d, first_start = batch.column(3).flatten().to_numpy(), batch.column(4).flatten().to_numpy()
+            documents, texts, starts, windows = (batch.column(k).to_numpy() for k in range(4))
+            counts = np.diff(batch.column(4).offsets.to_numpy())
+            nth, first_d, first_start = (batch.column(k).flatten().to_numpy() for k in (4, 5, 6))
             row = np.repeat(np.arange(batch.num_rows), counts)
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            at = starts[row] + nth
+            # a run of windows ends where the next one of its segment begins
+            stop = np.append(nth[1:], 0)
+            stop[np.cumsum(counts) - 1] = windows
             gone = first_d < documents[row]
             if spec.within:
-                gone |= (first_d == documents[row]) & (first_start < at)
+                gone |= (first_d == documents[row]) & (first_start < starts[row] + nth)
             hit = np.flatnonzero(gone)
             new = np.ones(len(hit), dtype=bool)
             new[1:] = (row[hit][1:] != row[hit][:-1]) | (hit[1:] != hit[:-1] + 1)
-            begin = np.flatnonzero(new)
-            length = np.diff(begin, append=len(hit))
-            begin = hit[begin]
+            begin = hit[new]
+            end = hit[np.append(new[1:], True)] if len(hit) else hit
+            own = row[begin]
             yield pa.RecordBatch.from_pydict(
-                {"d": documents[row[begin]], "t": texts[row[begin]], "b": at[begin], "e": at[begin] + length + spec.width - 1}
+                {
+                    "d": documents[own],
+                    "t": texts[own],
+                    "b": starts[own] + nth[begin],
+                    "e": starts[own] + stop[end] + spec.width - 1,
+                }
             )
 
     return run
@@ -359,46 +393,37 @@ def repeated_spans(docs: DataFrame, spec: Windows, index: Index) -> DataFrame:
         "hits",
     )
     dropped(anchors)
-    place = "d long, t long, start long, key_a long, key_b long, route long, segment binary"
+    place = "d long, t long, start long, route long, key long, n long, bytes long"
     segments = stored(
         rows.select("d", "t", "text").join(hits, ["d", "t"]).mapInArrow(_segments(spec), place), "segments"
     )
     dropped(hits)
-    keys = ["key_a", "key_b"]
-    firsts = segments.groupBy(*keys).agg(
-        F.min("d").alias("first_d"), *([F.min(F.struct("d", "start")).alias("first")] if spec.within else [])
-    )
-    # what every task sent of a segment is the same
-    items = segments.where("segment is not null").groupBy(*keys).agg(F.min_by(F.struct("route", "segment"), "route").alias("i"))
-    different = stored(
-        firsts.join(items, keys).select(
-            *keys,
-            "i.route",
-            "i.segment",
-            "first_d",
-            (F.col("first.start") if spec.within else F.lit(0).cast("long")).alias("first_start"),
-        ),
-        "different",
-    )
+    keys = ["route", "key"]
+    first = F.min(F.struct("d", "start", "t", "n", "bytes")).alias("first")
+    different = stored(segments.groupBy(*keys).agg(first).select(*keys, "first.*"), "different")
     hot = stored(
         different.groupBy("route").agg(F.count("*").alias("n")).where(F.col("n") > spec.hot_segments).select("route"), "hot"
     )
     has_hot = hot.count() > 0
     usual = different.join(hot, "route", "left_anti") if has_hot else different
-    size = usual.agg(F.sum(F.length("segment"))).first()[0] or 0
+    size = usual.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, -(-size // spec.shard_bytes))
-    answer = "key_a long, key_b long, first_ds array<long>, first_starts array<long>"
+    answer = "route long, key long, windows long, nths array<long>, first_ds array<long>, first_starts array<long>"
     answers = (
-        usual.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
+        _with_items(spec, rows, usual)
+        .withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
         .groupBy("shard")
-        .applyInPandas(_indexed(index), answer)
+        .applyInPandas(_indexed(spec, index), answer)
     )
-    if has_hot:
-        answers = answers.unionByName(_answers_of_hot(spec, different.join(hot, "route")))
+    of_hot = [_answers_of_hot(spec, _with_items(spec, rows, different.join(hot, "route")))] if has_hot else []
+    for more in of_hot:
+        answers = answers.unionByName(more)
+    answers = stored(answers, "answers")
+    dropped(different, hot, *of_hot)
     spans = (
         segments.select("d", "t", "start", *keys)
         .join(answers, keys)
-        .select("d", "t", "start", "first_ds", "first_starts")
+        .select("d", "t", "start", "windows", "nths", "first_ds", "first_starts")
         .mapInArrow(_earlier(spec), "d long, t long, b long, e long")
     )
     out = stored(
@@ -408,29 +433,51 @@ def repeated_spans(docs: DataFrame, spec: Windows, index: Index) -> DataFrame:
         .select("d", "t", F.col("spans.b").alias("begins"), F.col("spans.e").alias("ends")),
         "spans",
     )
-    dropped(segments, different, hot)
+    dropped(segments, answers)
     return out
 
 
+def _with_items(spec: Windows, rows: DataFrame, different: DataFrame) -> DataFrame:
+    """``route, key, first_d, first_start, segment``: the bytes of different segments, from the documents they occur in first."""
+    asked = different.groupBy("d", "t").agg(F.collect_list(F.struct("route", "key", "start", "n")).alias("asked"))
+    return (
+        rows.select("d", "t", "text")
+        .join(asked, ["d", "t"])
+        .select("d", "text", "asked")
+        .mapInArrow(_taken_out(spec), "route long, key long, first_d long, first_start long, segment binary")
+    )
+
+
 def _answers_of_hot(spec: Windows, segments: DataFrame) -> DataFrame:
     """First places of the windows of segments whose anchor has too many for a shard, by grouping windows."""
     single = stored(
-        segments.select("key_a", "key_b", "first_d", "first_start", "segment").mapInArrow(
+        segments.select("route", "key", "first_d", "first_start", "segment").mapInArrow(
             _single_windows(spec),
-            "key_a long, key_b long, nth long, window_a long, window_b long, first_d long, first_start long",
+            "route long, key long, nth long, window_a long, window_b long, first_d long, first_start long",
         ),
         "single",
     )
     windows = ["window_a", "window_b"]
     earliest = single.groupBy(*windows).agg(F.min(F.struct("first_d", "first_start")).alias("first"))
-    placed = F.sort_array(F.collect_list(F.struct("nth", "first.first_d", "first.first_start")))  # one segment's windows
-    return (
-        single.select("key_a", "key_b", "nth", *windows)
+    # one segment's windows, each a run of its own
+    placed = F.sort_array(F.collect_set(F.struct("nth", "first.first_d", "first.first_start")))
+    answers = (
+        single.select("route", "key", "nth", *windows)
         .join(earliest, windows)
-        .groupBy("key_a", "key_b")
+        .groupBy("route", "key")
         .agg(placed.alias("p"))
-        .select("key_a", "key_b", F.col("p.first_d").alias("first_ds"), F.col("p.first_start").alias("first_starts"))
+        .select(
+            "route",
+            "key",
+            F.size("p").cast("long").alias("windows"),
+            F.col("p.nth").alias("nths"),
+            F.col("p.first_d").alias("first_ds"),
+            F.col("p.first_start").alias("first_starts"),
+        )
     )
+    answers = stored(answers, "hot-answers")
+    dropped(single)
+    return answers
 
 
 def without_repeats(docs: DataFrame, spec: Windows, index: Index, unit: str) -> DataFrame:
