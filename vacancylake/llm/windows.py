@@ -227,7 +227,7 @@ def _taken_out(spec: Windows):
             items = Items(batch.column(1), spec.words)
             wanted = batch.column(2)
             row = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
-            route, key, start, n = wanted.flatten().flatten()
+            start, n, route, key = wanted.flatten().flatten()
             first = items.bounds[row] + start.to_numpy()
             begin, sizes = items.byte_spans(first, first + n.to_numpy())
             number = np.cumsum(sizes) // (8 * SLICE_BYTES)
@@ -405,21 +405,24 @@ def repeated_spans(docs: DataFrame, spec: Windows, index: Index) -> DataFrame:
         different.groupBy("route").agg(F.count("*").alias("n")).where(F.col("n") > spec.hot_segments).select("route"), "hot"
     )
     has_hot = hot.count() > 0
+    # apart from the join with whole texts, so that its shuffles are gone when shards are dealt
+    items = stored(_with_items(spec, rows, different), "items")
     usual = different.join(hot, "route", "left_anti") if has_hot else different
     size = usual.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, -(-size // spec.shard_bytes))
+    dropped(different)
     answer = "route long, key long, windows long, nths array<long>, first_ds array<long>, first_starts array<long>"
     answers = (
-        _with_items(spec, rows, usual)
+        (items.join(hot, "route", "left_anti") if has_hot else items)
         .withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
         .groupBy("shard")
         .applyInPandas(_indexed(spec, index), answer)
     )
-    of_hot = [_answers_of_hot(spec, _with_items(spec, rows, different.join(hot, "route")))] if has_hot else []
+    of_hot = [_answers_of_hot(spec, items.join(hot, "route"))] if has_hot else []
     for more in of_hot:
         answers = answers.unionByName(more)
     answers = stored(answers, "answers")
-    dropped(different, hot, *of_hot)
+    dropped(items, hot, *of_hot)
     spans = (
         segments.select("d", "t", "start", *keys)
         .join(answers, keys)
@@ -439,7 +442,9 @@ def repeated_spans(docs: DataFrame, spec: Windows, index: Index) -> DataFrame:
 
 def _with_items(spec: Windows, rows: DataFrame, different: DataFrame) -> DataFrame:
     """``route, key, first_d, first_start, segment``: the bytes of different segments, from the documents they occur in first."""
-    asked = different.groupBy("d", "t").agg(F.collect_list(F.struct("route", "key", "start", "n")).alias("asked"))
+    # in order of places: neighbours overlap, and are written in little room side by side
+    asked = F.sort_array(F.collect_list(F.struct("start", "n", "route", "key"))).alias("asked")
+    asked = different.groupBy("d", "t").agg(asked)
     return (
         rows.select("d", "t", "text")
         .join(asked, ["d", "t"])
