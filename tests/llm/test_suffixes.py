@@ -84,3 +84,26 @@ def test_windows_across_shards(shard_bytes):
             best[k] = min(best.get(k, (10**9, 0)), (doc, start + w))
     want = [best[seg[w : w + 20]] for seg in segments for w in range(len(seg) - 19)]
     assert list(zip(d, s)) == want and counts.sum() == len(want)
+
+
+def test_segments_that_differ_beyond_the_depth_of_sorting():
+    rng = random.Random(5)
+    segments = set()
+    for _ in range(6):
+        base = rng.choices("abcdefgh", k=176)
+        for _ in range(8):
+            copy = list(base)
+            for at in rng.sample([*range(40), *range(125, 176)], 2):
+                copy[at] = rng.choice("abcdefgh")
+            start = rng.randrange(40)
+            segments.add("".join(copy)[start : start + rng.randrange(100, 177)].encode())
+    segments = sorted(segments)
+    first_d = np.array([rng.randrange(50) for _ in segments])
+    first_start = np.array([rng.randrange(500) for _ in segments])
+    routes = np.zeros(len(segments), dtype=np.int64)
+    d, s, _ = byte_index(100, 1 << 20)(segments, routes, first_d, first_start)
+    windows = [(seg[w : w + 100], (doc, start + w)) for seg, doc, start in zip(segments, first_d, first_start) for w in range(len(seg) - 99)]
+    best = {}
+    for k, place in windows:
+        best[k] = min(best.get(k, place), place)
+    assert list(zip(d, s)) == [best[k] for k, _ in windows]

@@ -63,18 +63,21 @@ def common_prefixes(
 ) -> np.ndarray:
     """By text place, the bytes shared with the suffix sorted before, ``most`` being enough.
 
-    One place after another, all segments at once; the prefix shrinks by at most one each time.
+    One place after another, all segments at once; the prefix shrinks by at most one each time where
+    the place after the neighbour stays before: suffixes tied beyond ``most`` are in any order.
     """
     out = np.zeros(len(order), dtype=np.int64)
     lanes = np.argsort(-windows, kind="stable")
     starts, windows = starts[lanes], windows[lanes]
     shared = np.zeros(len(starts), dtype=np.int64)
+    neighbour = np.zeros(len(starts), dtype=np.int64)
     for step in range(int(windows[0]) if len(windows) else 0):
         live = int(np.searchsorted(-windows, -step, "left"))
         at = starts[:live] + step
         h = np.maximum(shared[:live] - 1, 0)
         before = order[np.maximum(place[at] - 1, 0)]
-        h[place[at] == 0] = 0
+        h[place[np.minimum(neighbour[:live] + 1, len(order) - 1)] >= place[at]] = 0
+        neighbour[:live] = before
         going = np.flatnonzero((place[at] > 0) & (h < most))
         while len(going):
             left = np.minimum(at[going] + h[going], len(keys) - 1)
