@@ -89,3 +89,18 @@ def test_length_limits(value):
     assert value(lambda t: text.longer_than(t, 10), " " * 20 + "x") is False
     assert value(lambda t: text.longer_than(t, 10), "a\n\n\n\n\n\n\n\nb") is True
     assert value(lambda t: text.longer_than(t, 10), None) is False
+
+
+def test_tags_before_a_rest_without_any(spark):
+    """What follows the last ``>`` is not searched for tags, however many signs of them it holds."""
+    given = ["a <b>b</b> < c <p", "<br/>x<a<b>y< z", "no tag < at & all", "x</LI >y", ""]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, t string")
+    got = [r.v for r in rows.select("i", text.tags_to_layout(F.col("t")).alias("v")).orderBy("i").collect()]
+    assert got == ["a  b  < c <p", "\nx y< z", "no tag < at & all", "x\n• y", ""]
+
+
+def test_words_are_those_of_the_match_form(value):
+    given = "  Node.js, C++/C# – kinh nghiệm_2 "
+    assert value(text.match_words, given) == ["node", "js", "c++", "c#", "kinh", "nghiệm", "2"]
+    assert value(text.match_form, given) == "node js c++ c# kinh nghiệm 2"
+    assert value(text.match_form, " .- ") == "" and value(text.match_form, None) is None
