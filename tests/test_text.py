@@ -104,3 +104,51 @@ def test_words_are_those_of_the_match_form(value):
     assert value(text.match_words, given) == ["node", "js", "c++", "c#", "kinh", "nghiệm", "2"]
     assert value(text.match_form, given) == "node js c++ c# kinh nghiệm 2"
     assert value(text.match_form, " .- ") == "" and value(text.match_form, None) is None
+
+
+ODD_SIGNS = [*" \t\n\r\x0b\x1c\x1f\x85\xa0\u2003\u2028\u3000", *"•·▪‣1٣²ⓐaZé_-–.)!?:;,+#&<>/", "e\u0301", "İ", "Σ", "\u200d", "𝒜", "😀", "x. ", "\n", "\n•", "\n2. ",
+             "&amp;", "&lt;", "&nbsp;", "&eacute;", "&#8226;", "<p>", "</P>", "<br />", "<BR\xa0/>", "<lı>", "<li class='a'>", "</ul>", "<div", "<pre\n>", ". A"]
+
+
+def _odd_texts():
+    rnd = random.Random(11)
+    return ["".join(rnd.choices(ODD_SIGNS, k=rnd.randint(0, 40))) for _ in range(3000)]
+
+
+def _single_steps(t):
+    """``clean`` put together from the column functions of its steps."""
+    marked = F.contains(t, F.lit("<")) | F.contains(t, F.lit("&"))
+    result = F.when(marked, text.tags_to_layout(unescape(t))).otherwise(t)
+    result = text.collapse_whitespace(text.numbered_bullets(text.symbol_bullets(result)))
+    return F.when(text.longer_than(t, 10), text._tidy_line(F.trim(result))).otherwise(F.lit(""))
+
+
+def test_a_text_is_cleaned_at_once_as_step_by_step(spark):
+    df = spark.createDataFrame([(t,) for t in _odd_texts()], "t string")
+    for row in df.select("t", text.clean(F.col("t")).alias("u"), _single_steps(F.col("t")).alias("v")).collect():
+        assert row.u == row.v, row.t
+
+
+def test_words_and_counts_of_odd_texts(spark):
+    t = F.col("t")
+    words = F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{M}\p{N}+#]+"), F.lit(0))
+    stripped = text.strip(t)
+    count = F.when(stripped == "", F.lit(0)).otherwise(F.size(F.split(stripped, rf"(?U)[{text.SPACE}]+")))
+    df = spark.createDataFrame([(t,) for t in _odd_texts()], "t string")
+    for row in df.select("t", text.match_words(t).alias("w"), words.alias("x"), text.word_count(t).alias("n"), count.alias("m")).collect():
+        assert (row.w, row.n) == (row.x, row.m), row.t
+
+
+def test_bytes_that_are_no_text_are_cleaned_with_replacements(spark):
+    given = spark.sql("SELECT CAST(X'61626364FF2020656667686970' AS STRING) AS t")
+    assert given.select(text.clean(F.col("t")).alias("c")).first().c == "abcd\ufffd efghip"
+
+
+def test_cleaning_and_matching_take_plain_searches(spark):
+    """No pattern is tried at every sign of a text in the steps that all queries on descriptions share."""
+    from vacancylake.operators.term_match import TermIndex
+
+    df = spark.createDataFrame([("a",)], "t string")
+    for step in (text.clean(F.col("t")), text.match_form(F.col("t")), TermIndex([]).match(F.col("t"))):
+        plan = df.select(step.alias("v"))._jdf.queryExecution().executedPlan().toString()
+        assert "regexp_replace" not in plan and "regexp_extract_all" not in plan and "ArrowEvalPython" in plan
