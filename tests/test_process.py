@@ -249,3 +249,18 @@ def test_combination_key(spark):
     )
     got = [r.k for r in df.select(reports.combination_key(F.col("s"), F.col("v")).alias("k")).collect()]
     assert got == ["lead+senior|bảo hiểm+devops", "senior", "|a+a"]
+
+
+def test_reports_of_some_fields_run_no_rules(spark):
+    """Two or more fields read in one report must not bring the patterns of all others into the plan."""
+    postings = spark.createDataFrame([(1, "t", "c", "linkedin", "Senior engineer with Python, tiếng anh and Docker, at least fifty signs")],
+                                     "job_id long, title string, company string, source string, description string")
+    enriched = enrich(postings, keep_short=True)
+    for report in (reports.detection_rates, reports.run_summary, reports.detailed_jobs):
+        plan = report(enriched)._jdf.queryExecution().executedPlan().toString()
+        assert "regexp_extract_all" not in plan
+    assert reports.detection_rates(enriched).first().asDict() == {
+        "seniority_rate": 100.0, "extended_rate": 100.0, "vietnamese_rate": 100.0
+    }
+    counts = reports.run_summary(enriched).first()
+    assert (counts.processed, counts.skipped, counts.errors, counts.vietnamese_detected) == (1, 0, 0, 1)

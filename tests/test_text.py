@@ -152,3 +152,17 @@ def test_cleaning_and_matching_take_plain_searches(spark):
     for step in (text.clean(F.col("t")), text.match_form(F.col("t")), TermIndex([]).match(F.col("t"))):
         plan = df.select(step.alias("v"))._jdf.queryExecution().executedPlan().toString()
         assert "regexp_replace" not in plan and "regexp_extract_all" not in plan and "ArrowEvalPython" in plan
+
+
+def test_texts_of_one_batch_do_not_touch_each_other(spark):
+    """Signs that part texts inside a batch, bytes that are no text, and letters whose case depends on their place."""
+    texts = ["\x00Java\x00\x00SQL", "", None, "ΟΔΟΣ ΣΑΣ", "İstanbul Kelvin K", " , x . Next", "É•é–Ⓐ", "A" * 300_000 + " B"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    forms = dict(df.select("i", text.match_form(F.col("t"))).collect())
+    assert forms == {
+        0: "java sql", 1: "", 2: None, 3: "οδος σας", 4: "i̇stanbul kelvin k", 5: "x next", 6: "é é", 7: "a" * 300_000 + " b"
+    }
+    cleaned = dict(df.select("i", text.clean(F.col("t"), min_length=2)).collect())
+    assert (cleaned[0], cleaned[1], cleaned[2], cleaned[5]) == ("\x00Java\x00\x00SQL", "", "", ", x. Next")
+    bad = spark.sql("select cast(X'4AC33A20FF41' as string) t")
+    assert bad.select(text.word_count(F.col("t")), text.match_form(F.col("t"))).first() == (2, "j a")
