@@ -277,3 +277,12 @@ def test_user_dictionary_fields(spark):
     e = enrich(df, terms=surface_forms(entries, "mine"), fuzzy=True).first()
     assert [(m.keyword, m.match_type) for m in e.extracted.matched_mine] == [("hammer", "alias")]
     assert e.extracted.matched_skills == [] and e.extraction_stats.total_matches == 0
+
+
+def test_texts_are_searched_again_for_fuzzy_hits_alone(spark):
+    """The runs of words that are like no term are not joined; texts without any hit have no rows."""
+    df = spark.createDataFrame([(1, "Pythn, and machine lerning"), (2, "zzzz qqqq"), (3, None), (4, "")], "id int, t string")
+    found = fuzzy_matches(df, "id", "t", flatten(DICTIONARIES))
+    assert "array_join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.keyword) for r in found.collect()} >= {(1, "python"), (1, "machine learning")}
+    assert fuzzy_matches(df.where("id > 1"), "id", "t", flatten(DICTIONARIES)).count() == 0
