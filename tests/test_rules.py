@@ -84,3 +84,29 @@ def test_requirements(value):
     assert found.education_levels == ["master's degree"]
     assert found.work_arrangements == ["remote"]
     assert value(rules.requirements, "nothing of the kind") is None
+
+
+def test_signs_of_many_texts(spark):
+    """Texts are searched together: hits end where a text ends, and letters beyond ASCII keep their places."""
+    texts = ["5", "years", None, "10–15 TRIỆU ĐỒNG, ٣ years", "worK from home; maſter's", "é 1/2/", "2024", "a@b.com@c.org www.", "x.y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    kinds = list(rules.RULES)
+    got = df.select("i", *[rules.extract(F.col("t"), k).alias(k) for k in kinds]).orderBy("i").collect()
+    found = {(r.i, k): r[k] for r in got for k in kinds if r[k]}
+    assert found == {
+        (3, "durations"): ["٣ years"],
+        (3, "salaries"): ["10–15 TRIỆU ĐỒNG"],
+        (4, "work_arrangements"): ["work from home"],
+        (4, "education_levels"): ["master's"],
+        (7, "emails"): ["a@b.com"],
+    }
+
+
+def test_cleaned_text_is_made_once(spark):
+    """Several kinds of hits read one cleaned text, and no pattern of the JVM is left."""
+    df = spark.createDataFrame([("<p>call 555-123-4567 in Jan 2024, a@b.co</p>",)], "t string")
+    found = df.select(*[c.alias(k) for k, c in rules.extract_all(clean(F.col("t"))).items()])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and "regexp" not in plan
+    row = found.first()
+    assert (row.dates, row.phone_numbers, row.emails) == (["Jan 2024"], ["555-123-4567"], ["a@b.co"])

@@ -38,3 +38,10 @@ def test_confidence(spark):
     got = df.select(spotting.pattern_confidence([F.col("x"), F.col("y")]).alias("c")).first().c
     assert abs(got - (0.2 + 1 / 6 * 0.2)) < 1e-12
     assert df.select(spotting.pattern_confidence([F.col("y")]).alias("c")).first().c == 0
+
+
+def test_substrings_in_batches(spark):
+    df = spark.createDataFrame([(0, "KUBERNETES and Kubernetes, gİt, Java"), (1, None), (2, "")], "i int, t string").coalesce(1)
+    found = df.select("i", spotting.substrings(F.col("t"), "skills").alias("s"))
+    assert "contains" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r.s for r in found.orderBy("i").collect()] == [["java", "kubernetes"], [], []]
