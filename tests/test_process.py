@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vacancylake.plans import reports
 from vacancylake.plans.enrich import DONE, enrich, full_record, text_guards
-from vacancylake.plans.process import backfill, process_all, process_urls, quick_sample, reprocess, run, select_pending
+from vacancylake.plans.process import backfill, merge, process_all, process_urls, quick_sample, reprocess, run, select_pending
 from vacancylake.schemas import POSTING
 from vacancylake.sources.postings import append_postings, as_postings, from_records, get_postings, read_postings, write_json
 from vacancylake.sources.store import BUCKETS, read_current, touched_buckets
@@ -264,3 +264,39 @@ def test_reports_of_some_fields_run_no_rules(spark):
     }
     counts = reports.run_summary(enriched).first()
     assert (counts.processed, counts.skipped, counts.errors, counts.vietnamese_detected) == (1, 0, 0, 1)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_merge_leaves_other_rows_in_place(spark):
+    """Stored rows meet keys alone, none is sorted for a join, and keys may repeat or be missing."""
+    stored = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "c", "z"), (None, "d", "w")], "job_id long, text string, old string")
+    fresh = spark.createDataFrame([(1, "e", 5), (1, "f", 6), (3, "g", 7), (None, "h", 8)], "job_id long, text string, new int")
+    got = merge(stored, fresh)
+    assert got.columns == ["job_id", "text", "old", "new"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [
+        (1, "f", "x", 6), (1, "f", "y", 6), (2, "c", "z", None), (3, "g", None, 7), (None, "d", "w", None), (None, "h", None, 8),
+    ]))
+    assert "FullOuter" not in plan_of(got) and "LeftAnti" in plan_of(got)
+
+
+def test_facts_compute_no_rules(postings):
+    """Counters are read without all that lies beside them."""
+    plan = plan_of(reports.facts(enrich(postings, keep_short=True)))
+    assert "_skills#" in plan and "_emails#" not in plan and "_dates#" not in plan
+
+
+def test_texts_meet_keys_without_a_shuffle(spark, postings, tmp_path, monkeypatch):
+    """A later run sends stored ids, and urls that are there again, to the postings."""
+    from vacancylake.plans import process
+
+    root, plans = str(tmp_path / "store"), []
+    process_all(spark, postings.where("job_id = 2"), root)
+    add = process.add_rows
+    monkeypatch.setattr(process, "add_rows", lambda rows, root: plans.append(rows._jdf.queryExecution().sparkPlan().toString()) or add(rows, root))
+    twin = postings.where("job_id = 2").withColumn("job_id", F.lit(99).cast("long"))
+    process_all(spark, postings.unionByName(twin), root)
+    assert sorted(r.job_id for r in read_current(spark, root).collect()) == [1, 2, 6, 7]
+    assert "BroadcastHashJoin [job_id" in plans[0] and "known-again" in plans[0] and "SortMergeJoin" not in plans[0]
