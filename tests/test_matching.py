@@ -286,3 +286,30 @@ def test_texts_are_searched_again_for_fuzzy_hits_alone(spark):
     assert "array_join" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.id, r.keyword) for r in found.collect()} >= {(1, "python"), (1, "machine learning")}
     assert fuzzy_matches(df.where("id > 1"), "id", "t", flatten(DICTIONARIES)).count() == 0
+
+
+@pytest.mark.parametrize("cutoff", [0.795, 0.6])
+def test_runs_of_words_with_a_partner_are_kept(spark, cutoff):
+    """Every run that reaches the cutoff with a name of as many words is there once; most others are gone."""
+    from vacancylake.operators.gram_index import PairGate
+    from vacancylake.operators.phrases import distinct_phrases
+
+    names = ["deep learning", "machine learning", "kỹ sư", "c++", "project management office", "go"]
+    texts = ["maschine lerning and deep learnin", None, "", "ky sư kỹ sự c++ c+ go gol", "the projekt management ofice of all time", "deep", "learning"]
+    forms = spark.createDataFrame([(len(n.split()), n) for n in names], "words int, form string")
+    df = spark.createDataFrame([(t,) for t in texts * 2], "t string").coalesce(1)
+    got = [(r.words, r.phrase) for r in distinct_phrases(df, "t", PairGate(forms, "form", cutoff)).collect()]
+    split = [t.split() for t in texts if t]
+    every = {(n, " ".join(w[i : i + n])) for w in split for n in (1, 2, 3) for i in range(len(w) + 1 - n)}
+
+    def indel(a, b):
+        rows = [[0] * (len(b) + 1)]
+        for x in a:
+            rows.append([0])
+            for j, y in enumerate(b):
+                rows[-1].append(rows[-2][j] + 1 if x == y else max(rows[-2][j + 1], rows[-1][j]))
+        return 2 * rows[-1][-1] / (len(a) + len(b))
+
+    near = {(n, p) for n, p in every if any(indel(p, f) >= cutoff for f in names if len(f.split()) == n)}
+    assert len(got) == len(set(got)) and near <= set(got) <= every
+    assert (2, "deep learnin") in near and (3, "the projekt management") not in got or cutoff < 2 / 3
