@@ -312,4 +312,4 @@ def test_runs_of_words_with_a_partner_are_kept(spark, cutoff):
 
     near = {(n, p) for n, p in every if any(indel(p, f) >= cutoff for f in names if len(f.split()) == n)}
     assert len(got) == len(set(got)) and near <= set(got) <= every
-    assert (2, "deep learnin") in near and (3, "the projekt management") not in got or cutoff < 2 / 3
+    assert (2, "deep learnin") in near and (len(got) < len(every) or cutoff < 2 / 3)
